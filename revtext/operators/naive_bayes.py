@@ -74,10 +74,9 @@ class NaiveBayesModel:
 
     def scores(self, encoded: DataFrame) -> DataFrame:
         """Add ``scores``: the joint log likelihood of each class."""
-        prior = {row["class"]: row.log_prior for row in self.prior.collect()}
         if self.num_classes * self.vocab_size > MAX_ENTRIES:
-            return self._scores_by_join(encoded, prior)
-        weights = self.weights()
+            return self.scores_by_join(encoded)
+        prior, weights = self.log_priors(), self.weights()
 
         def score(c: int) -> Column:
             table = constant_array(weights[c])
@@ -94,12 +93,16 @@ class NaiveBayesModel:
             table[row["class"]][row.idx] = row.loglik
         return table
 
-    def _scores_by_join(self, encoded: DataFrame, prior: dict[int, float]) -> DataFrame:
+    def log_priors(self) -> dict[int, float]:
+        return {row["class"]: row.log_prior for row in self.prior.collect()}
+
+    def scores_by_join(self, encoded: DataFrame) -> DataFrame:
         """Scores by a join on the word index, for vocabularies of any size.
 
         Occurrences are counted per row first; the weights of all classes of
         one index travel in one row.
         """
+        prior = self.log_priors()
         by_index = self.words.groupBy("idx").agg(
             F.array_sort(F.collect_list(F.struct("class", "loglik"))).alias("weights")
         )

@@ -48,7 +48,7 @@ def index_tokens(df: DataFrame, vocab: DataFrame, tokens: str = "tokens") -> Dat
     """Add ``idx``: every word's index, order kept, 0 for unknown words."""
     lookup = vocabulary_lookup(vocab)
     if lookup is None:
-        return _index_by_join(df, vocab, tokens)
+        return index_by_join(df, vocab, tokens)
     return df.withColumn("idx", F.transform(tokens, lambda t: word_index(lookup, t)))
 
 
@@ -69,7 +69,7 @@ def flag_tokens(
     """
     lookup = vocabulary_lookup(vocab)
     if lookup is None:
-        indexed = _index_by_join(df, vocab, tokens)
+        indexed = index_by_join(df, vocab, tokens)
         features, known = pad_trim(F.col("idx"), length), has_known_word(F.col("idx"))
         return indexed.select(*df.columns, features.alias("features"), known.alias("known"))
     head = F.transform(F.slice(tokens, 1, length), lambda t: word_index(lookup, t))
@@ -77,7 +77,7 @@ def flag_tokens(
     return df.select("*", pad_trim(head, length).alias("features"), known.alias("known"))
 
 
-def _index_by_join(
+def index_by_join(
     df: DataFrame, vocab: DataFrame, tokens: str, key: str = "review_id"
 ) -> DataFrame:
     """Index words by a shuffled join, for dictionaries of any size.
