@@ -275,6 +275,7 @@ def _parts(spark, folder, num_classes=2) -> tuple[DataFrame, DataFrame, DataFram
     labelled = labels.keep_labelled(reviews(spark, folder), num_classes)
     work, held_out = splitting.split_test(labelled)
     encoded, vocab = encode.encode_reviews(work, num_classes)
+    encoded = stage(encoded, "encoded")
     train, evaluation = splitting.split_train_eval(encoded, TEST_FRACTION, EVAL_FRACTION)
     return train, evaluation, vocab, held_out
 

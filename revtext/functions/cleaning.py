@@ -5,21 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from revtext.functions.rules import NON_SPACE, Rule, apply_rules
+from revtext.functions.rules import NON_SPACE, apply_rules, guarded
 
 _ADDRESS = r"[A-Za-z0-9.\-+_]"
 
-MARKUP = Rule(r"<[^>]+>", " ", ("<",))
-HTTP = Rule(f"http{NON_SPACE}+", "", ("http",))
+MARKUP = guarded(r"<[^>]+>", " ", "<")
+HTTP = guarded(f"http{NON_SPACE}+", "", "http")
 # Any character but a line feed may follow "www".
-WWW = Rule(rf"www[^\n]{NON_SPACE}+", "", ("www",))
-ENTITY = Rule(r"&#[0-9]+;", "", ("&#",))
+WWW = guarded(rf"www[^\n]{NON_SPACE}+", "", "www")
+ENTITY = guarded(r"&#[0-9]+;", "", "&#")
 # An address starts where a run of its characters starts, or where the last
 # match ended; saying so keeps the search linear on long runs.
-EMAIL = Rule(
-    rf"(?:\G|(?<!{_ADDRESS})){_ADDRESS}++@{_ADDRESS}+\.[A-Za-z0-9]+",
-    "",
-    ("@",),
+EMAIL = guarded(
+    rf"(?:\G|(?<!{_ADDRESS})){_ADDRESS}++@{_ADDRESS}+\.[A-Za-z0-9]+", "", "@"
 )
 
 

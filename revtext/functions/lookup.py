@@ -30,14 +30,15 @@ class Lookup:
     def __init__(self, entries: Mapping[str, object], value_type: str):
         if len(entries) > MAX_ENTRIES:
             raise ValueError(f"{len(entries)} entries exceed the {MAX_ENTRIES} a lookup may hold")
-        self.cells = 1 << max(4, (2 * len(entries)).bit_length())
-        cells: list[dict[str, object]] = [{} for _ in range(self.cells)]
+        self.cells = 1 << max(4, len(entries).bit_length())
+        cells: list[dict[str, object] | None] = [None] * self.cells
         self._long: dict[str, object] = {}
         for key, value in entries.items():
             if len(key) > MAX_JSON_KEY:
                 self._long[key] = value
             else:
-                cells[crc32(key.encode()) % self.cells][key] = value
+                at = crc32(key.encode()) % self.cells
+                cells[at] = {**(cells[at] or {}), key: value}
         self._type = value_type
         text = json.dumps(cells, ensure_ascii=False, separators=(",", ":"))
         self._table = F.from_json(F.lit(text), f"array<map<string,{value_type}>>")

@@ -1,7 +1,6 @@
 """Rewrite rules shared by cleaning and tokenising.
 
-A rule is a pattern, its replacement and the literals that must occur for the
-pattern to match at all. ``{1}`` names a group. Patterns avoid ``\\s``, ``\\S``
+A rule is a pattern and its replacement, where ``{1}`` names a group. Patterns avoid ``\\s``, ``\\S``
 and ``.``, whose meaning depends on the regex engine, and spell the class out.
 """
 
@@ -28,20 +27,28 @@ NON_SPACE = f"[^{_SPACE_LATIN}{_SPACE_OTHER}]"
 class Rule:
     pattern: str
     replacement: str
-    needs: tuple[str, ...] = ()
 
     def apply(self, text: Column) -> Column:
         replacement = re.sub(r"\{(\d)\}", r"$\1", self.replacement)
+        return F.regexp_replace(text, F.lit(self.pattern), F.lit(replacement))
 
-        def replace(t: Column) -> Column:
-            return F.regexp_replace(t, F.lit(self.pattern), F.lit(replacement))
 
+@dataclass(frozen=True)
+class Guarded:
+    """Rules for texts containing one of some literals; others stay as they are.
+
+    A byte scan for a literal costs far less than a failing regex.
+    """
+
+    needs: tuple[str, ...]
+    rules: tuple[Rule, ...]
+
+    def apply(self, text: Column) -> Column:
         def replace_if_present(t: Column) -> Column:
-            # A byte scan for a literal costs far less than a failing regex.
             present = reduce(or_, (F.contains(t, F.lit(literal)) for literal in self.needs))
-            return F.when(present, replace(t)).otherwise(t)
+            return F.when(present, apply_rules(t, self.rules)).otherwise(t)
 
-        return bind(text, replace_if_present) if self.needs else replace(text)
+        return bind(text, replace_if_present)
 
 
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -49,5 +56,9 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def apply_rules(text: Column, rules: tuple[Rule, ...]) -> Column:
+def apply_rules(text: Column, rules: tuple[Rule | Guarded, ...]) -> Column:
     return reduce(lambda col, rule: rule.apply(col), rules, text)
+
+
+def guarded(pattern: str, replacement: str, *needs: str) -> Guarded:
+    return Guarded(needs, (Rule(pattern, replacement),))

@@ -7,43 +7,56 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from revtext.functions.rules import SPACE, Rule, apply_rules
+from revtext.functions.rules import SPACE, Guarded, Rule, apply_rules, guarded
 
 # Treebank-style rules over lower-case text, in order. Every period before
 # white space ends a sentence.
 OPENING = (
-    Rule("([«“‘„]|`+)", " {1} ", ("«", "“", "‘", "„", "`")),
-    Rule('^"', "`` ", ('"',)),
-    Rule(r"""([ (\[{<])("|'')""", "{1} `` ", ('"', "''")),
-    Rule(r"(?U)(')([a-ce-lo-ru-z0-9_])\b", "{1} {2}", ("'",)),
+    guarded("([«“‘„]|`+)", " {1} ", "«", "“", "‘", "„", "`"),
+    Guarded(
+        ('"', "'"),
+        (
+            Rule('^"', "`` "),
+            Rule(r"""([ (\[{<])("|'')""", "{1} `` "),
+            Rule(r"(?U)(')([a-ce-lo-ru-z0-9_])\b", "{1} {2}"),
+        ),
+    ),
 )
 PUNCTUATION = (
     # Starting at the period, not before it, lets the search skip to periods.
-    Rule(rf"""(\.)(?<=[^.]\.)([\])}}>"'»”’ ]*)({SPACE}+|\z)""", " {1} {2} {3}", (".",)),
-    Rule(r"([:,])(\P{Nd}|\z)", " {1} {2}", (":", ",")),
+    Rule(rf"""(\.)(?<=[^.]\.)([\])}}>"'»”’ ]*)({SPACE}+|\z)""", " {1} {2} {3}"),
+    Rule(r"([:,])(\P{Nd}|\z)", " {1} {2}"),
     Rule(r"([;@#$%&?!*\]\[(){}<>»])", " {1} "),
-    Rule("([”’])", " {1} ", ("”", "’")),
-    Rule(r"(\.\.+)", " {1} ", ("..",)),
-    Rule(r"--", " -- ", ("--",)),
-    Rule(r"([^'])' ", "{1} ' ", ("' ",)),
+    guarded("([”’])", " {1} ", "”", "’"),
+    guarded(r"(\.\.+)", " {1} ", ".."),
+    guarded(r"--", " -- ", "--"),
+    guarded(r"([^'])' ", "{1} ' ", "' "),
 )
 CLOSING = (
-    Rule("''", " '' ", ("''",)),
-    Rule('"', " '' ", ('"',)),
-    Rule(r"([^' ])('s|'m|'d|') ", "{1} {2} ", ("'",)),
-    Rule(r"([^' ])('ll|'re|'ve|n't) ", "{1} {2} ", ("'",)),
-)
-# Contractions written as one word.
-CONTRACTIONS = (
-    Rule(r"(?U)\b(can)(not)\b", " {1} {2} ", ("cannot",)),
-    Rule(r"(?U)\b(d)('ye)\b", " {1} {2} ", ("d'ye",)),
-    Rule(r"(?U)\b(gim)(me)\b", " {1} {2} ", ("gimme",)),
-    Rule(r"(?U)\b(gon)(na)\b", " {1} {2} ", ("gonna",)),
-    Rule(r"(?U)\b(got)(ta)\b", " {1} {2} ", ("gotta",)),
-    Rule(r"(?U)\b(lem)(me)\b", " {1} {2} ", ("lemme",)),
-    Rule(r"(?U)\b(more)('n)\b", " {1} {2} ", ("more'n",)),
-    Rule(rf"(?U)\b(wan)(na)({SPACE})", " {1} {2}{3}", ("wanna",)),
-    Rule(r"(?U) ('t)(is|was)\b", " {1} {2} ", (" 't",)),
+    Guarded(
+        ('"', "'"),
+        (
+            Rule("''", " '' "),
+            Rule('"', " '' "),
+            Rule(r"([^' ])('s|'m|'d|') ", "{1} {2} "),
+            Rule(r"([^' ])('ll|'re|'ve|n't) ", "{1} {2} "),
+        ),
+    ),
+    # Contractions written as one word.
+    Guarded(
+        ("cannot", "d'ye", "gimme", "gonna", "gotta", "lemme", "more'n", "wanna", " 't"),
+        (
+            Rule(r"(?U)\b(can)(not)\b", " {1} {2} "),
+            Rule(r"(?U)\b(d)('ye)\b", " {1} {2} "),
+            Rule(r"(?U)\b(gim)(me)\b", " {1} {2} "),
+            Rule(r"(?U)\b(gon)(na)\b", " {1} {2} "),
+            Rule(r"(?U)\b(got)(ta)\b", " {1} {2} "),
+            Rule(r"(?U)\b(lem)(me)\b", " {1} {2} "),
+            Rule(r"(?U)\b(more)('n)\b", " {1} {2} "),
+            Rule(rf"(?U)\b(wan)(na)({SPACE})", " {1} {2}{3}"),
+            Rule(r"(?U) ('t)(is|was)\b", " {1} {2} "),
+        ),
+    ),
 )
 
 # English stop words.
@@ -71,7 +84,7 @@ def tokenize(text: Column) -> Column:
     """Split cleaned text into word tokens, order kept."""
     spaced = apply_rules(text, OPENING + PUNCTUATION)
     spaced = F.concat(F.lit(" "), spaced, F.lit(" "))
-    spaced = apply_rules(spaced, CLOSING + CONTRACTIONS)
+    spaced = apply_rules(spaced, CLOSING)
     return F.filter(F.split(spaced, f"{SPACE}+"), lambda t: t != "")
 
 

@@ -148,9 +148,12 @@ def fit_naive_bayes(
 ) -> NaiveBayesModel:
     check_classes(num_classes)
     counts = stage(class_word_counts(encoded), "nb-counts")
-    prior = stage(class_priors(counts, num_classes).coalesce(1), "nb-prior")
-    words = stage(word_likelihoods(counts, num_classes, vocab_size).coalesce(1), "nb-words")
-    return NaiveBayesModel(prior, words, num_classes, vocab_size)
+    return NaiveBayesModel(
+        class_priors(counts, num_classes),
+        word_likelihoods(counts, num_classes, vocab_size),
+        num_classes,
+        vocab_size,
+    )
 
 
 def load_naive_bayes(spark: SparkSession, path: str) -> NaiveBayesModel:

@@ -42,6 +42,11 @@ def word_tokens(
     return (lemmatizer or _seed_lemmatizer()).lemmas(words)
 
 
+@lru_cache(maxsize=4)
+def _default_word_tokens(column: str) -> Column:
+    return word_tokens(F.col(column))
+
+
 def review_tokens(
     reviews: DataFrame,
     stop_words: Iterable[str] = STOP_WORDS,
@@ -49,7 +54,10 @@ def review_tokens(
 ) -> DataFrame:
     """``review_id``, ``star_rating`` where there is one, and ``tokens``."""
     kept = [c for c in ("review_id", "star_rating") if c in reviews.columns]
-    tokens = word_tokens(F.col("review_body"), stop_words, lemmatizer)
+    if lemmatizer is None and stop_words is STOP_WORDS:
+        tokens = _default_word_tokens("review_body")
+    else:
+        tokens = word_tokens(F.col("review_body"), stop_words, lemmatizer)
     return reviews.select(*kept, tokens.alias("tokens"))
 
 
