@@ -147,9 +147,10 @@ words AS MATERIALIZED (
   FROM raw_words LEFT JOIN best ON token = form)"""
 
 
-def vocab_ctes(num_classes: int, rows: str = "true") -> str:
+def vocab_ctes(num_classes: int, rows: str = "true", fit: str = "true") -> str:
+    """Vocabulary of the words of ``fit`` rows, applied to all chosen rows."""
     return f"""{token_ctes(num_classes, rows)},
-counts AS (SELECT token, count(*) AS n FROM words GROUP BY token),
+counts AS (SELECT token, count(*) AS n FROM words WHERE {fit} GROUP BY token),
 vocab AS MATERIALIZED (
   SELECT token, n, row_number() OVER (ORDER BY n DESC, token)::INTEGER AS idx
   FROM counts ORDER BY n DESC, token LIMIT 10000),
@@ -157,9 +158,9 @@ indexed AS MATERIALIZED (
   SELECT review_id, pos, coalesce(idx, 0) AS idx FROM words LEFT JOIN vocab USING (token))"""
 
 
-def encoded_ctes(num_classes: int, rows: str = "true") -> str:
+def encoded_ctes(num_classes: int, rows: str = "true", fit: str = "true") -> str:
     """``encoded(review_id, star_rating, features)``, features a list of 100."""
-    return f"""{vocab_ctes(num_classes, rows)},
+    return f"""{vocab_ctes(num_classes, rows, fit)},
 encoded AS MATERIALIZED (
   SELECT review_id, any_value(star_rating) AS star_rating,
     list_resize(coalesce(list(idx ORDER BY pos) FILTER (WHERE pos <= 100), []), 100, 0) AS features
@@ -182,10 +183,10 @@ EVAL = f"{bucket('review_id')} BETWEEN 9000 AND 9499"
 TEST = f"{bucket('review_id')} >= 9500"
 
 
-def bayes_ctes(num_classes: int) -> str:
+def bayes_ctes(num_classes: int, rows: str = WORK) -> str:
     """``prior`` and ``loglik`` of the training rows, fitted on features."""
     k = num_classes
-    return f"""{encoded_ctes(k, WORK)},
+    return f"""{encoded_ctes(k, rows, WORK)},
 train AS (
   SELECT review_id, {class_index(k)} AS class, features FROM encoded WHERE {TRAIN}),
 classes AS (SELECT unnest(range({k}))::INTEGER AS class),
@@ -206,17 +207,17 @@ loglik AS MATERIALIZED (
   LEFT JOIN seen s ON s.class = t.class AND s.idx = g.idx)"""
 
 
-def score_ctes(num_classes: int, rows: str = EVAL, source: str = "encoded") -> str:
+def score_ctes(num_classes: int, rows: str = EVAL, encode: str = WORK) -> str:
     """``scored(review_id, class, score, p)`` of the chosen encoded rows."""
-    return f"""{bayes_ctes(num_classes)},
+    return f"""{bayes_ctes(num_classes, encode)},
 occurrences AS (
-  SELECT review_id, unnest(features) AS idx FROM {source} WHERE {rows}),
+  SELECT review_id, unnest(features) AS idx FROM encoded WHERE {rows}),
 sums AS (
   SELECT review_id, class, sum(loglik) AS s
   FROM occurrences JOIN loglik USING (idx) GROUP BY review_id, class),
 joint AS (
   SELECT e.review_id, e.star_rating, p.class, log_prior + coalesce(s, 0) AS score
-  FROM {source} e CROSS JOIN prior p LEFT JOIN sums s
+  FROM encoded e CROSS JOIN prior p LEFT JOIN sums s
     ON s.review_id = e.review_id AND s.class = p.class
   WHERE {rows.replace("review_id", "e.review_id")}),
 tops AS (SELECT *, max(score) OVER (PARTITION BY review_id) AS top FROM joint),
@@ -405,6 +406,15 @@ ORACLE: dict[str, str] = {
         f"SELECT count(*) AS n, round(avg((prediction = {class_index(2)})::INTEGER), 6) AS accuracy "
         "FROM predicted",
     ),
+    "accuracy": sql(
+        score_ctes(2, TEST, "true"),
+        f"SELECT count(*) AS n, round(avg((prediction = {class_index(2)})::INTEGER), 6) AS accuracy "
+        "FROM predicted",
+    ),
+    "job_predict": sql(
+        score_ctes(5, "true", "true"),
+        "SELECT review_id, prediction + 1 AS stars FROM reviews LEFT JOIN predicted USING (review_id)",
+    ),
     "log_loss": sql(
         score_ctes(2),
         "SELECT count(*) AS n, round(-avg(ln(least(greatest(p, 1e-7), 1 - 1e-7))), 6) AS log_loss "

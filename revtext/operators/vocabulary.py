@@ -16,7 +16,9 @@ SALTS = 32
 
 def term_counts(df: DataFrame, tokens: str = "tokens") -> DataFrame:
     """Occurrences of each word; counted per partition before the shuffle."""
-    words = df.select(F.explode(tokens).alias("token"))
+    # A plain explode makes Catalyst test the size of the array first, and so
+    # compute it twice when it is an expression.
+    words = df.select(F.explode_outer(tokens).alias("token")).where("token IS NOT NULL")
     return words.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -86,9 +88,9 @@ def index_by_join(
     it does not end in one task. ``key`` must identify a row.
     """
     salts = F.array(*[F.lit(s) for s in range(SALTS)])
-    words = df.select(key, F.posexplode(tokens).alias("pos", "token")).withColumn(
-        "salt", F.pmod(F.xxhash64(key, "pos"), F.lit(SALTS)).cast("int")
-    )
+    words = df.select(key, F.posexplode_outer(tokens).alias("pos", "token"))
+    salt = F.pmod(F.xxhash64(key, "pos"), F.lit(SALTS)).cast("int")
+    words = words.where("token IS NOT NULL").withColumn("salt", salt)
     entries = vocab.select("token", "idx", F.explode(salts).alias("salt"))
     found = words.join(entries, ["token", "salt"], "left").select(
         key, F.struct("pos", F.coalesce("idx", F.lit(OOV)).alias("idx")).alias("at")
