@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -19,6 +21,11 @@ from revtext.schemas import SEED, VOCAB_SIZE, check_classes
 EMBEDDING = 128
 HIDDEN = {2: (128, 128), 5: (256, 128)}
 
+# Fewer rows than these do not pay for a task of their own in every pass: sums
+# over sparse counts are cheap, dense layers are not.
+REGRESSION_ROWS_PER_TASK = 20_000
+PERCEPTRON_ROWS_PER_TASK = 500
+
 
 @dataclass
 class SparkMLModel:
@@ -47,11 +54,23 @@ def _words() -> SQLTransformer:
     )
 
 
-def _training_rows(encoded: DataFrame, num_classes: int) -> DataFrame:
+@contextmanager
+def _training_rows(
+    encoded: DataFrame, num_classes: int, rows_per_task: int
+) -> Iterator[DataFrame]:
+    """Labelled rows, kept for the passes of a solver.
+
+    Every pass starts one task per partition, so tiny partitions are merged
+    (without a shuffle); those of a large table stay as they are.
+    """
     label = class_of(F.col("label_ohe")).cast("double")
     # Naming the classes keeps those absent from the training rows.
     nominal = {"ml_attr": {"type": "nominal", "num_vals": check_classes(num_classes)}}
-    return encoded.select("features", label.alias("label", metadata=nominal))
+    rows = encoded.select("features", label.alias("label", metadata=nominal)).persist()
+    try:
+        yield rows.coalesce(max(1, rows.count() // rows_per_task))
+    finally:
+        rows.unpersist()
 
 
 def fit_logistic_regression(
@@ -67,7 +86,8 @@ def fit_logistic_regression(
     counts = CountVectorizerModel.from_vocabulary(vocabulary, "words", "counts")
     classifier = LogisticRegression(featuresCol="counts", maxIter=max_iter, tol=tol, regParam=reg)
     pipe = Pipeline(stages=[_words(), counts, classifier])
-    return SparkMLModel(pipe.fit(_training_rows(encoded, num_classes)))
+    with _training_rows(encoded, num_classes, REGRESSION_ROWS_PER_TASK) as rows:
+        return SparkMLModel(pipe.fit(rows))
 
 
 def fit_perceptron(
@@ -82,15 +102,6 @@ def fit_perceptron(
 ) -> SparkMLModel:
     """Perceptron over averaged word vectors learned from the same rows."""
     cores = encoded.sparkSession.sparkContext.defaultParallelism
-    vectors = Word2Vec(
-        inputCol="words",
-        outputCol="vector",
-        vectorSize=embedding,
-        minCount=1,
-        maxIter=embedding_iter,
-        numPartitions=cores,
-        seed=seed,
-    )
     classifier = MultilayerPerceptronClassifier(
         featuresCol="vector",
         layers=[embedding, *HIDDEN[check_classes(num_classes)], num_classes],
@@ -99,5 +110,15 @@ def fit_perceptron(
         blockSize=block_size,
         seed=seed,
     )
-    pipe = Pipeline(stages=[_words(), vectors, classifier])
-    return SparkMLModel(pipe.fit(_training_rows(encoded, num_classes)))
+    with _training_rows(encoded, num_classes, PERCEPTRON_ROWS_PER_TASK) as rows:
+        vectors = Word2Vec(
+            inputCol="words",
+            outputCol="vector",
+            vectorSize=embedding,
+            minCount=1,
+            maxIter=embedding_iter,
+            numPartitions=min(cores, rows.rdd.getNumPartitions()),
+            seed=seed,
+        )
+        pipe = Pipeline(stages=[_words(), vectors, classifier])
+        return SparkMLModel(pipe.fit(rows))

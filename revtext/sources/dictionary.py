@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
-    """``(token, idx)`` rows of a JSON dictionary."""
-    # Spark's readers skip names starting with "_" or "."; a word never names a file.
+    """``(token, idx)`` rows of a JSON dictionary.
+
+    Spark's JSON reader refuses field names above 50,000 characters, which a
+    word may have, so a small Python step parses the one document.
+    """
+
+    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for document in batch["value"]:
+                pairs = list(json.loads(document).items())
+                yield pd.DataFrame(pairs, columns=["token", "idx"])
+
     text = spark.read.text(path, wholetext=True)
-    # Pairs rather than a JSON map keep words of any length.
-    entries = F.from_json("value", "map<string,int>")
-    return text.select(F.explode(entries).alias("token", "idx"))
+    return text.mapInPandas(entries, "token string, idx int")
