@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -54,11 +52,8 @@ def _words() -> SQLTransformer:
     )
 
 
-@contextmanager
-def _training_rows(
-    encoded: DataFrame, num_classes: int, rows_per_task: int
-) -> Iterator[DataFrame]:
-    """Labelled rows, kept for the passes of a solver.
+def _training_rows(encoded: DataFrame, num_classes: int, rows_per_task: int) -> DataFrame:
+    """Labelled rows of a stored table for a solver, which keeps its own copy.
 
     Every pass starts one task per partition, so tiny partitions are merged
     (without a shuffle); those of a large table stay as they are.
@@ -66,11 +61,8 @@ def _training_rows(
     label = class_of(F.col("label_ohe")).cast("double")
     # Naming the classes keeps those absent from the training rows.
     nominal = {"ml_attr": {"type": "nominal", "num_vals": check_classes(num_classes)}}
-    rows = encoded.select("features", label.alias("label", metadata=nominal)).persist()
-    try:
-        yield rows.coalesce(max(1, rows.count() // rows_per_task))
-    finally:
-        rows.unpersist()
+    rows = encoded.select("features", label.alias("label", metadata=nominal))
+    return rows.coalesce(max(1, encoded.count() // rows_per_task))
 
 
 def fit_logistic_regression(
@@ -86,8 +78,8 @@ def fit_logistic_regression(
     counts = CountVectorizerModel.from_vocabulary(vocabulary, "words", "counts")
     classifier = LogisticRegression(featuresCol="counts", maxIter=max_iter, tol=tol, regParam=reg)
     pipe = Pipeline(stages=[_words(), counts, classifier])
-    with _training_rows(encoded, num_classes, REGRESSION_ROWS_PER_TASK) as rows:
-        return SparkMLModel(pipe.fit(rows))
+    rows = _training_rows(encoded, num_classes, REGRESSION_ROWS_PER_TASK)
+    return SparkMLModel(pipe.fit(rows))
 
 
 def fit_perceptron(
@@ -110,15 +102,15 @@ def fit_perceptron(
         blockSize=block_size,
         seed=seed,
     )
-    with _training_rows(encoded, num_classes, PERCEPTRON_ROWS_PER_TASK) as rows:
-        vectors = Word2Vec(
-            inputCol="words",
-            outputCol="vector",
-            vectorSize=embedding,
-            minCount=1,
-            maxIter=embedding_iter,
-            numPartitions=min(cores, rows.rdd.getNumPartitions()),
-            seed=seed,
-        )
-        pipe = Pipeline(stages=[_words(), vectors, classifier])
-        return SparkMLModel(pipe.fit(rows))
+    rows = _training_rows(encoded, num_classes, PERCEPTRON_ROWS_PER_TASK)
+    vectors = Word2Vec(
+        inputCol="words",
+        outputCol="vector",
+        vectorSize=embedding,
+        minCount=1,
+        maxIter=embedding_iter,
+        numPartitions=min(cores, rows.rdd.getNumPartitions()),
+        seed=seed,
+    )
+    pipe = Pipeline(stages=[_words(), vectors, classifier])
+    return SparkMLModel(pipe.fit(rows))

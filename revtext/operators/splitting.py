@@ -26,6 +26,19 @@ def _rows(fraction: float) -> int:
     return round(fraction * BUCKETS)
 
 
+def part_of(
+    key: Column,
+    test: float | None = TEST_FRACTION,
+    evaluation: float = EVAL_FRACTION,
+    seed: int = SEED,
+) -> Column:
+    """``train``, ``eval`` or ``test``: the part a key falls into."""
+    first_test = BUCKETS - _rows(test or 0)
+    first_eval = first_test - _rows(evaluation)
+    at = bucket(key, seed)
+    return F.when(at < first_eval, "train").when(at < first_test, "eval").otherwise("test")
+
+
 def split_test(
     df: DataFrame,
     test: float | None = TEST_FRACTION,

@@ -19,7 +19,7 @@ from revtext.operators.spark_ml import (
     fit_perceptron,
     load_spark_ml,
 )
-from revtext.operators.splitting import sample_rows, split_test, split_train_eval
+from revtext.operators.splitting import part_of, sample_rows, split_test
 from revtext.operators.vocabulary import encode_tokens, flag_tokens
 from revtext.plans.encode import add_label, build_vocabulary, encode_reviews, review_tokens
 from revtext.schemas import EVAL_FRACTION, MAX_LEN, SEED, TEST_FRACTION, VOCAB_SIZE
@@ -68,19 +68,25 @@ def prepare(
     rows never shape the vocabulary; evaluation rows do unless
     ``vocab_from_train_only``.
     """
-    spark = reviews.sparkSession
     labelled = keep_labelled(reviews, num_classes)
     work, held_out = split_test(labelled, test, seed)
-    tokens = stage(review_tokens(work, stop_words, lemmatizer), "tokens", f"{out}/tokens")
-    fit_rows = split_train_eval(tokens, test, evaluation, seed)[0]
-    vocab = build_vocabulary(fit_rows if vocab_from_train_only else tokens, vocab_size)
+    # Stored by part, so that each part is read once and its small files are
+    # packed into full tasks.
+    part = part_of(F.col("review_id"), test, evaluation, seed)
+    tokens = stage(
+        review_tokens(work, stop_words, lemmatizer).withColumn("part", part),
+        "tokens",
+        f"{out}/tokens",
+        partition_by="part",
+    )
+    fit_rows = tokens.where("part = 'train'") if vocab_from_train_only else tokens
+    vocab = build_vocabulary(fit_rows, vocab_size)
 
     encoded = add_label(encode_tokens(tokens, vocab, max_len).drop("tokens"), num_classes)
-    train_rows, eval_rows = split_train_eval(encoded, test, evaluation, seed)
-    write_encoded(train_rows, f"{out}/train", num_classes, "parquet", max_len)
-    write_encoded(eval_rows, f"{out}/eval", num_classes, "parquet", max_len)
-    train_rows = spark.read.schema(train_rows.schema).parquet(f"{out}/train")
-    eval_rows = spark.read.schema(eval_rows.schema).parquet(f"{out}/eval")
+    train_rows, eval_rows = (
+        stage(encoded.where(F.col("part") == name).drop("part"), name, f"{out}/{name}")
+        for name in ("train", "eval")
+    )
     write_dictionary(vocab, f"{out}/dictionary")
     if fmt == "csv":
         write_encoded(train_rows, f"{out}/train_csv", num_classes, "csv", max_len)

@@ -29,14 +29,19 @@ def stage_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
+def stage(
+    df: DataFrame, label: str, path: str | None = None, partition_by: str | None = None
+) -> DataFrame:
     """Write ``df`` as parquet and read it back.
 
     Cuts the lineage with a table that outlives lost executors; being
     columnar, later readers fetch only the columns they use.
     """
     path = path or stage_path(df.sparkSession, label)
-    df.write.mode("overwrite").parquet(path)
+    writer = df.write.mode("overwrite")
+    if partition_by:
+        writer = writer.partitionBy(partition_by)
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

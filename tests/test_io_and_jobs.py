@@ -153,6 +153,10 @@ def test_prepare_train_evaluate_predict(spark, tmp_path, from_train):
     assert len(lines(f"{out}/eval_x")) == len(lines(f"{out}/eval_y")) == sizes[1]
     assert 0 < len(lines(f"{out}/train_sample")) < sizes[0]
 
+    from_csv = jobs.train(read_encoded_csv(spark, f"{out}/train_csv", 2), "nb", 2)
+    xy = read_xy_csv(spark, f"{out}/eval_x", f"{out}/eval_y", 2)
+    assert jobs.evaluate(from_csv, xy).first().accuracy > 0.95
+
     model = jobs.train(prepared.train, "nb", 2, path=f"{out}/model")
     assert jobs.evaluate(model, prepared.evaluation).first().accuracy > 0.95
     vocab = read_dictionary(spark, f"{out}/dictionary")
