@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -74,54 +75,68 @@ class NaiveBayesModel:
 
     def scores(self, encoded: DataFrame) -> DataFrame:
         """Add ``scores``: the joint log likelihood of each class."""
-        if self.num_classes * self.vocab_size > MAX_ENTRIES:
-            return self.scores_by_join(encoded)
-        prior, weights = self.log_priors(), self.weights()
+        head = MAX_ENTRIES // self.num_classes
+        if self.vocab_size > head:
+            return self.scores_by_join(encoded, head)
+        score = self._scores_in_place(self.vocab_size)
+        return encoded.withColumn("scores", F.array(*[score(c) for c in range(self.num_classes)]))
+
+    def _scores_in_place(self, head: int) -> Callable[[int], Column]:
+        """Score of a class by the prior and the words up to index ``head``."""
+        prior, weights = self.log_priors(), self.weights(head)
 
         def score(c: int) -> Column:
             table = constant_array(weights[c])
             return F.aggregate(
-                "features", F.lit(prior[c]), lambda acc, i: acc + F.get(table, i)
+                "features",
+                F.lit(prior[c]),
+                lambda acc, i: acc + F.coalesce(F.get(table, i), F.lit(0.0)),
             )
 
-        return encoded.withColumn("scores", F.array(*[score(c) for c in range(self.num_classes)]))
+        return score
 
-    def weights(self) -> list[list[float]]:
+    def weights(self, head: int | None = None) -> list[list[float]]:
         """Log likelihoods by class and index; index 0 weighs nothing."""
-        table = [[0.0] * (self.vocab_size + 1) for _ in range(self.num_classes)]
-        for row in self.words.select("class", "idx", "loglik").collect():
+        size = min(head or self.vocab_size, self.vocab_size)
+        table = [[0.0] * (size + 1) for _ in range(self.num_classes)]
+        words = self.words.where(F.col("idx") <= size)
+        for row in words.select("class", "idx", "loglik").collect():
             table[row["class"]][row.idx] = row.loglik
         return table
 
     def log_priors(self) -> dict[int, float]:
         return {row["class"]: row.log_prior for row in self.prior.collect()}
 
-    def scores_by_join(self, encoded: DataFrame) -> DataFrame:
-        """Scores by a join on the word index, for vocabularies of any size.
+    def scores_by_join(self, encoded: DataFrame, head: int) -> DataFrame:
+        """Scores for vocabularies of any size; ``review_id`` must identify a row.
 
-        Occurrences are counted per row first; the weights of all classes of
-        one index travel in one row.
+        Frequent words, those up to index ``head``, are scored in place. The
+        rarer rest is counted per row and joined with one row per index that
+        holds the weights of all classes.
         """
-        prior = self.log_priors()
-        by_index = self.words.groupBy("idx").agg(
-            F.array_sort(F.collect_list(F.struct("class", "loglik"))).alias("weights")
+        classes = range(self.num_classes)
+        by_index = (
+            self.words.where(F.col("idx") > head)
+            .groupBy("idx")
+            .agg(F.array_sort(F.collect_list(F.struct("class", "loglik"))).alias("weights"))
         )
-        known = F.filter("features", lambda i: i > 0)
-        words = encoded.select("review_id", F.explode(known).alias("idx"))
-        counted = words.groupBy("review_id", "idx").agg(F.count(F.lit(1)).alias("times"))
-        weighted = counted.join(by_index, "idx")
-        sums = weighted.groupBy("review_id").agg(
-            *[
-                F.sum(F.col("times") * F.get("weights", F.lit(c))["loglik"]).alias(f"_s{c}")
-                for c in range(self.num_classes)
-            ]
+        rare = F.filter("features", lambda i: i > head)
+        words = encoded.select("review_id", F.explode_outer(rare).alias("idx"))
+        counted = words.where("idx IS NOT NULL").groupBy("review_id", "idx").agg(
+            F.count(F.lit(1)).alias("times")
         )
-        scores = F.array(
-            *[
-                F.lit(prior[c]) + F.coalesce(f"_s{c}", F.lit(0.0))
-                for c in range(self.num_classes)
-            ]
+        sums = (
+            counted.join(by_index, "idx")
+            .groupBy("review_id")
+            .agg(
+                *[
+                    F.sum(F.col("times") * F.get("weights", F.lit(c))["loglik"]).alias(f"_s{c}")
+                    for c in classes
+                ]
+            )
         )
+        score = self._scores_in_place(head)
+        scores = F.array(*[score(c) + F.coalesce(f"_s{c}", F.lit(0.0)) for c in classes])
         return encoded.join(sums, "review_id", "left").select(
             *[F.col(c) for c in encoded.columns], scores.alias("scores")
         )

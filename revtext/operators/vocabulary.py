@@ -80,22 +80,42 @@ def flag_tokens(
 
 
 def index_by_join(
-    df: DataFrame, vocab: DataFrame, tokens: str, key: str = "review_id"
+    df: DataFrame,
+    vocab: DataFrame,
+    tokens: str = "tokens",
+    key: str = "review_id",
+    head: int | None = None,
 ) -> DataFrame:
-    """Index words by a shuffled join, for dictionaries of any size.
+    """Index words by dictionaries of any size; ``key`` must identify a row.
 
-    A frequent word is spread over ``SALTS`` copies of its dictionary row, so
-    it does not end in one task. ``key`` must identify a row.
+    The ``head`` lowest indices, which belong to the most frequent words, are
+    still looked up in place. Only other words are joined, and only those the
+    join finds are brought back. A frequent word outside the dictionary is
+    spread over ``SALTS`` copies of each row it is compared with.
     """
-    salts = F.array(*[F.lit(s) for s in range(SALTS)])
+    head = MAX_ENTRIES if head is None else head
+    frequent = vocab.where(F.col("idx") <= head).select("token", "idx").collect()
+    lookup = Lookup({row.token: row.idx for row in frequent}, "int")
+    # Negated, so that sorting puts an index before the 0 of its position.
+    in_place = F.transform(
+        tokens, lambda t, pos: F.struct(pos.alias("pos"), (-word_index(lookup, t)).alias("neg"))
+    )
     words = df.select(key, F.posexplode_outer(tokens).alias("pos", "token"))
+    rest = words.where(F.col("token").isNotNull() & lookup.get(F.col("token")).isNull())
     salt = F.pmod(F.xxhash64(key, "pos"), F.lit(SALTS)).cast("int")
-    words = words.where("token IS NOT NULL").withColumn("salt", salt)
-    entries = vocab.select("token", "idx", F.explode(salts).alias("salt"))
-    found = words.join(entries, ["token", "salt"], "left").select(
-        key, F.struct("pos", F.coalesce("idx", F.lit(OOV)).alias("idx")).alias("at")
+    salts = F.array(*[F.lit(s) for s in range(SALTS)])
+    entries = vocab.where(F.col("idx") > head).select(
+        "token", (-F.col("idx")).alias("neg"), F.explode(salts).alias("salt")
+    )
+    joined = rest.withColumn("salt", salt).join(entries, ["token", "salt"])
+    found = joined.groupBy(key).agg(F.collect_list(F.struct("pos", "neg")).alias("found"))
+
+    none = F.array().cast("array<struct<pos:int,neg:int>>")
+    at = F.array_sort(F.concat(F.coalesce(in_place, none), F.coalesce("found", none)))
+    merged = df.join(found, key, "left").withColumn("found", at)
+    first = F.filter(
+        "found",
+        lambda x, i: (i == 0) | (F.get("found", i - 1)["pos"] != x["pos"]),
     )
-    sequences = found.groupBy(key).agg(F.array_sort(F.collect_list("at")).alias("at"))
-    joined = df.join(sequences, key, "left")
-    idx = F.coalesce(F.transform("at", lambda x: x["idx"]), F.array().cast("array<int>"))
-    return joined.withColumn("idx", idx).drop("at")
+    idx = F.transform(first, lambda x: -x["neg"])
+    return merged.select(*[F.col(c) for c in df.columns], idx.alias("idx"))

@@ -78,7 +78,7 @@ def test_encoding_edges(spark, monkeypatch, limit):
 def test_hot_word_is_spread_over_salts(spark):
     df = spark.createDataFrame([(i, ["hot"] * 50) for i in range(40)], TOKEN_ROWS)
     vocab = spark.createDataFrame([("hot", 2000, 1)], "token string, n long, idx int")
-    indexed = vocabulary.index_by_join(df, vocab, "tokens")
+    indexed = vocabulary.index_by_join(df, vocab, head=0)
     assert rows(indexed, "review_id", "idx") == [(i, [1] * 50) for i in range(40)]
 
 
@@ -170,7 +170,7 @@ def test_naive_bayes_against_loops(spark):
                     score += math.log(words.count(w) + 1) - math.log(len(words) + 10)
             scores.append(score)
         expected[row_id] = scores
-    for scored in (model.scores(df), model.scores_by_join(df)):
+    for scored in (model.scores(df), model.scores_by_join(df, 3)):
         for row in scored.collect():
             assert row.scores == pytest.approx(expected[row.review_id], abs=1e-9)
     for row in model.predict(df).collect():
