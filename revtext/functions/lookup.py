@@ -16,8 +16,9 @@ from zlib import crc32
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The constant travels with every stage; larger tables have to be joined.
-MAX_ENTRIES = 200_000
+# Every task unpacks the constant, which takes about a second at this size; larger
+# tables have to be joined.
+MAX_ENTRIES = 100_000
 
 # JSON parsers bound the length of a field name; longer words are compared one
 # by one.
