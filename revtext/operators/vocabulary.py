@@ -58,25 +58,38 @@ def encode_tokens(
     df: DataFrame, vocab: DataFrame, length: int = MAX_LEN, tokens: str = "tokens"
 ) -> DataFrame:
     """Add ``features``, dropping rows without any known word."""
-    return flag_tokens(df, vocab, length, tokens).where("known").drop("known")
+    indexed, features, known = _features(df, vocab, length, tokens)
+    # A filter on ``known`` would sink below the tokens and so compute them a
+    # second time; a generator's output stays above them.
+    kept = F.explode_outer(F.when(known, F.array(features)))
+    columns = [F.col(c) for c in df.columns]
+    return indexed.select(*columns, kept.alias("features")).where("features IS NOT NULL")
 
 
 def flag_tokens(
     df: DataFrame, vocab: DataFrame, length: int = MAX_LEN, tokens: str = "tokens"
 ) -> DataFrame:
-    """Add ``features`` and ``known``: whether any word of the row has an index.
+    """Add ``features`` and ``known``: whether any word of the row has an index."""
+    indexed, features, known = _features(df, vocab, length, tokens)
+    columns = [F.col(c) for c in df.columns]
+    return indexed.select(*columns, features.alias("features"), known.alias("known"))
+
+
+def _features(
+    df: DataFrame, vocab: DataFrame, length: int, tokens: str
+) -> tuple[DataFrame, Column, Column]:
+    """A frame and the columns to take from it: indices and the known flag.
 
     All words of a row decide, also those past the first ``length``; the test
     ends at the first known one.
     """
     lookup = vocabulary_lookup(vocab)
     if lookup is None:
-        indexed = index_by_join(df, vocab, tokens)
-        features, known = pad_trim(F.col("idx"), length), has_known_word(F.col("idx"))
-        return indexed.select(*df.columns, features.alias("features"), known.alias("known"))
+        idx = F.col("idx")
+        return index_by_join(df, vocab, tokens), pad_trim(idx, length), has_known_word(idx)
     head = F.transform(F.slice(tokens, 1, length), lambda t: word_index(lookup, t))
     known = F.exists(tokens, lambda t: lookup.get(t).isNotNull())
-    return df.select("*", pad_trim(head, length).alias("features"), known.alias("known"))
+    return df, pad_trim(head, length), known
 
 
 def index_by_join(

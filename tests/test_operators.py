@@ -10,7 +10,7 @@ from revtext.functions import arrays, labels
 from revtext.functions.lemma import VerbLemmatizer
 from revtext.operators import naive_bayes, scoring, splitting, vocabulary
 from revtext.operators.metrics import evaluate_predictions
-from revtext.plans.encode import encode_reviews
+from revtext.plans.encode import encode_reviews, review_tokens
 from revtext.plans.jobs import train
 
 TOKEN_ROWS = "review_id long, tokens array<string>"
@@ -259,3 +259,6 @@ def test_encode_reviews_is_map_only_with_a_given_vocabulary(spark):
     assert rows(encoded, "review_id", "features", "label_ohe") == [(1, [1, 0, 0], [0, 1])]
     plan = encoded._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
+    tokens = review_tokens(reviews, lemmatizer=VerbLemmatizer(()))
+    once = tokens._jdf.queryExecution().executedPlan().toString().count("regexp_replace(")
+    assert plan.count("regexp_replace(") == once
