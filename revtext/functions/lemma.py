@@ -143,5 +143,7 @@ class VerbLemmatizer:
             ).otherwise(state)
 
         start = F.struct(word.alias("stem"), F.lit(None).cast("string").alias("lemma"))
-        rounds = F.sequence(F.lit(1), F.length(word))
+        # No more rounds than letters in the run of suffixes at the end.
+        run = F.regexp_extract(word, r"((?:e?s|ed|ing)+)\z", 1)
+        rounds = F.sequence(F.lit(1), F.length(run))
         return F.aggregate(rounds, start, step, lambda state: state["lemma"])

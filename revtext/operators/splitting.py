@@ -44,10 +44,18 @@ def split_test(
     test: float | None = TEST_FRACTION,
     seed: int = SEED,
     key: str = "review_id",
+    hashed: bool = True,
 ) -> tuple[DataFrame, DataFrame | None]:
-    """Rows to work on and rows held out; no hold-out when ``test`` is None."""
+    """Rows to work on and rows held out; no hold-out when ``test`` is None.
+
+    ``hashed=False`` draws the parts at random, which needs no key but gives
+    other parts at another partitioning; so it does in the functions below.
+    """
     if test is None:
         return df, None
+    if not hashed:
+        work, held_out = df.randomSplit([1 - test, test], seed)
+        return work, held_out
     held_out = bucket(F.col(key), seed) >= BUCKETS - _rows(test)
     return df.where(~held_out), df.where(held_out)
 
@@ -58,15 +66,25 @@ def split_train_eval(
     evaluation: float = EVAL_FRACTION,
     seed: int = SEED,
     key: str = "review_id",
+    hashed: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """Training and evaluation rows among those not held out."""
+    if not hashed:
+        train, held_back = df.randomSplit([1 - (test or 0) - evaluation, evaluation], seed)
+        return train, held_back
     first_eval = BUCKETS - _rows(test or 0) - _rows(evaluation)
     in_eval = bucket(F.col(key), seed) >= first_eval
     return df.where(~in_eval), df.where(in_eval)
 
 
 def sample_rows(
-    df: DataFrame, fraction: float, seed: int = SEED, key: str = "review_id"
+    df: DataFrame,
+    fraction: float,
+    seed: int = SEED,
+    key: str = "review_id",
+    hashed: bool = True,
 ) -> DataFrame:
     """Bernoulli sample without replacement, independent of the splits."""
+    if not hashed:
+        return df.sample(False, fraction, seed)
     return df.where(bucket(F.col(key), seed, "sample") < _rows(fraction))

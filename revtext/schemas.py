@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 # Sizes, fractions and seed of the encoded data sets.
 MAX_LEN = 100
 VOCAB_SIZE = 10_000
@@ -22,30 +20,13 @@ FIRST_INDEX = 1
 BINARY_STARS = (1, 2, 4, 5)
 MULTI_STARS = (1, 2, 3, 4, 5)
 
-REVIEWS = T.StructType(
-    [
-        T.StructField("review_id", T.LongType()),
-        T.StructField("review_body", T.StringType()),
-        T.StructField("star_rating", T.IntegerType()),
-    ]
-)
-
-VOCAB = T.StructType(
-    [
-        T.StructField("token", T.StringType()),
-        T.StructField("n", T.LongType()),
-        T.StructField("idx", T.IntegerType()),
-    ]
-)
-
-
 def check_classes(num_classes: int) -> int:
     if num_classes not in (2, 5):
         raise ValueError("num_classes must be 2 or 5")
     return num_classes
 
 
-def wide_schema(width: int, keyed: bool) -> T.StructType:
+def wide_schema(width: int, keyed: bool, key_type: str = "bigint") -> str:
     """Schema of a flat CSV: an optional ``review_id``, then ``_1.._width``."""
-    key = [T.StructField("review_id", T.LongType())] if keyed else []
-    return T.StructType(key + [T.StructField(f"_{i}", T.LongType()) for i in range(1, width + 1)])
+    key = [f"review_id {key_type}"] if keyed else []
+    return ", ".join(key + [f"_{i} bigint" for i in range(1, width + 1)])

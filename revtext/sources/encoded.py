@@ -12,8 +12,11 @@ def _array(first: int, last: int) -> Column:
     return F.array(*[F.col(f"_{i}").cast("int") for i in range(first, last + 1)])
 
 
-def _read_wide(spark: SparkSession, path: str, width: int, keyed: bool, header: bool) -> DataFrame:
-    return spark.read.schema(wide_schema(width, keyed)).csv(path, sep=",", header=header)
+def _read_wide(
+    spark: SparkSession, path: str, width: int, keyed: bool, header: bool, key_type: str
+) -> DataFrame:
+    schema = wide_schema(width, keyed, key_type)
+    return spark.read.schema(schema).csv(path, sep=",", header=header)
 
 
 def read_encoded_csv(
@@ -23,10 +26,11 @@ def read_encoded_csv(
     length: int = MAX_LEN,
     keyed: bool = False,
     header: bool = False,
+    key_type: str = "bigint",
 ) -> DataFrame:
     """One CSV of ``length`` index columns, then the one-hot label columns."""
     width = length + check_classes(num_classes)
-    wide = _read_wide(spark, path, width, keyed, header)
+    wide = _read_wide(spark, path, width, keyed, header, key_type)
     key = ["review_id"] if keyed else []
     return wide.select(
         *key,
@@ -43,13 +47,14 @@ def read_xy_csv(
     length: int = MAX_LEN,
     keyed: bool = True,
     header: bool = False,
+    key_type: str = "bigint",
 ) -> DataFrame:
     """Features and labels from two CSVs, paired by ``review_id``.
 
     Files without a key column pair their rows by line number instead.
     """
-    x = _read_wide(spark, x_path, length, keyed, header)
-    y = _read_wide(spark, y_path, check_classes(num_classes), keyed, header)
+    x = _read_wide(spark, x_path, length, keyed, header, key_type)
+    y = _read_wide(spark, y_path, check_classes(num_classes), keyed, header, key_type)
     key = "review_id"
     if not keyed:
         key = "line"

@@ -70,6 +70,15 @@ def test_xy_files_pair_rows(spark, tmp_path, keyed):
     assert sorted((r.features, r.label_ohe) for r in got) == sorted((f, label) for _, f, label in data)
 
 
+def test_string_keys(spark, tmp_path):
+    data, df = encoded_rows(spark, 30)
+    df = df.withColumn("review_id", F.concat(F.lit("R"), "review_id"))
+    x, y = str(tmp_path / "x"), str(tmp_path / "y")
+    datasets.write_xy_csv(df, x, y, 2, 3)
+    got = read_xy_csv(spark, x, y, 2, 3, key_type="string").collect()
+    assert sorted((int(r.review_id[1:]), r.features, r.label_ohe) for r in got) == data
+
+
 def test_header_line_is_read_only_when_declared(spark, tmp_path):
     path = tmp_path / "one.csv"
     path.write_text("a,b,c\n1,0,1\n")

@@ -144,6 +144,15 @@ def test_sample_is_independent_of_the_split(spark):
     assert splitting.sample_rows(fit, 1.0).count() == fit.count()
 
 
+def test_random_splits(spark):
+    df = spark.range(4000).withColumnRenamed("id", "review_id")
+    work, test = splitting.split_test(df, 0.1, hashed=False)
+    fit, evaluation = splitting.split_train_eval(work, 0.1, 0.2, hashed=False)
+    sizes = [part.count() for part in (fit, evaluation, test)]
+    assert sum(sizes) == 4000 and 300 < sizes[2] < 500 and 650 < sizes[1] < 950
+    assert 0 < splitting.sample_rows(df, 0.1, hashed=False).count() < 800
+
+
 def labelled_rows(spark, n=60):
     rng = np.random.default_rng(3)
     data = []

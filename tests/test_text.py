@@ -150,6 +150,12 @@ def test_lemma_cases(spark):
     assert column(spark, ["hoping"], VerbLemmatizer(()).lemma) == ["hoping"]
 
 
+def test_long_words_are_lemmatised_in_time(spark):
+    words = ["x" * 200_000 + "ss", "work" + "s" * 500, "http" * 50_000 + "ingss"]
+    got = column(spark, words, VerbLemmatizer().lemma)
+    assert got == [words[0], "work", words[2]]
+
+
 def test_lookup_long_and_odd_keys(spark):
     long = "k" * (MAX_JSON_KEY + 1)
     entries = {long: 1, 'q"\\': 2, "é ": 3, "": 4, "a": 5}
