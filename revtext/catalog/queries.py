@@ -123,7 +123,11 @@ def _tokens_of_texts(name: str, step: Callable[[Column], Column]) -> None:
         words = step(cleaning.clean_text(F.col("text")))
         split = texts(spark, folder).select("kind", "id", "part", words.alias("words"))
         return split.select(
-            "kind", "id", "part", F.size("words").alias("n"), F.array_join("words", " ").alias("tokens")
+            "kind",
+            "id",
+            "part",
+            F.size("words").alias("n"),
+            F.array_join("words", " ").alias("tokens"),
         )
 
     QUERIES[name] = build
@@ -463,9 +467,8 @@ def src_one_file(spark, folder):
         arrays.flat_row(F.col("features"), F.col("label_ohe")).alias("row")
     )
     x = F.transform(arrays.split_features(F.col("row"), 2), lambda v: v.cast("int"))
-    return flat.select(
-        _joined(x).alias("features"), _joined(arrays.split_labels(F.col("row"), 2)).alias("label_ohe")
-    )
+    y = arrays.split_labels(F.col("row"), 2)
+    return flat.select(_joined(x).alias("features"), _joined(y).alias("label_ohe"))
 
 
 def _xy_files(spark, folder, keyed: bool) -> DataFrame:

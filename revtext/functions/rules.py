@@ -1,7 +1,8 @@
 """Rewrite rules shared by cleaning and tokenising.
 
-A rule is a pattern and its replacement, where ``{1}`` names a group. Patterns avoid ``\\s``, ``\\S``
-and ``.``, whose meaning depends on the regex engine, and spell the class out.
+A rule is a pattern and its replacement, where ``{1}`` names a group. Patterns
+avoid ``\\s``, ``\\S`` and ``.``, whose meaning depends on the regex engine, and
+spell the class out.
 """
 
 from __future__ import annotations

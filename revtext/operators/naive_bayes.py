@@ -25,7 +25,9 @@ def class_word_counts(encoded: DataFrame) -> DataFrame:
     """
     known = F.filter("features", lambda i: i > 0)
     slots = F.concat(F.array(F.lit(PRIOR_SLOT)), known)
-    words = encoded.select(class_of(F.col("label_ohe")).alias("class"), F.explode_outer(slots).alias("idx"))
+    words = encoded.select(
+        class_of(F.col("label_ohe")).alias("class"), F.explode_outer(slots).alias("idx")
+    )
     return words.groupBy("class", "idx").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -1,11 +1,10 @@
-"""Shared constants and explicit schemas."""
+"""Shared constants and schemas."""
 
 from __future__ import annotations
 
 # Sizes, fractions and seed of the encoded data sets.
 MAX_LEN = 100
 VOCAB_SIZE = 10_000
-TRAIN_FRACTION = 0.90
 EVAL_FRACTION = 0.05
 TEST_FRACTION = 0.05
 SEED = 1234
@@ -20,6 +19,7 @@ FIRST_INDEX = 1
 BINARY_STARS = (1, 2, 4, 5)
 MULTI_STARS = (1, 2, 3, 4, 5)
 
+
 def check_classes(num_classes: int) -> int:
     if num_classes not in (2, 5):
         raise ValueError("num_classes must be 2 or 5")
