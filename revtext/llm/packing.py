@@ -210,8 +210,13 @@ def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None) -> Data
     )
 
 
-def placements(sequences: DataFrame) -> DataFrame:
-    """One row per piece of packed ``sequences``."""
-    rows = sequences.select("sequence_id", F.explode("pieces").alias("p"))
+def placements(sequences: DataFrame, ids: bool = False) -> DataFrame:
+    """One row per piece of packed ``sequences``, with its own ``ids`` if wanted."""
+    rows = sequences.select("sequence_id", "n_tokens", "ids", F.explode("pieces").alias("p"))
     names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
-    return rows.select(*(f"p.{n}" for n in names), "sequence_id", "p.offset")
+    found = [*(F.col(f"p.{n}") for n in names), F.col("sequence_id"), F.col("p.offset")]
+    if ids:
+        width = (F.octet_length("ids") / F.col("n_tokens")).cast("int")
+        first, size = (F.col("p.offset") * width + 1).cast("int"), (F.col("p.length") * width).cast("int")
+        found.append(F.substr("ids", first, size).alias("ids"))
+    return rows.select(*found)

@@ -10,7 +10,6 @@ depend on its place, so a worker computes it once per word and keeps it.
 from __future__ import annotations
 
 import uuid
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -26,7 +25,7 @@ from revtext.llm.compression import labelled_sample
 WINDOW, STEP = 48, 32
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 12, 16, 10, 8
 KNOWN_WORDS = 4_000
-CHAR_SLOTS = 1 << 14
+CHAR_BITS = 14
 WORD_CHARS = 24
 #: Bounds of the labelled sample: texts and bytes of each class.
 SAMPLE_TEXTS = 2_500
@@ -34,13 +33,15 @@ SAMPLE_BYTES = 4 << 20
 EPOCHS, BATCH, RATE = 3, 128, 4e-3
 #: Words whose gate inputs a worker keeps, and windows scored at once.
 KEPT_WORDS = 150_000
-SCORED = 1_024
+SCORED = 512
 FLOOR = -12.0
 
 
 def normalised(token: str) -> str:
     """Letters and digits at the core of a token, lower case."""
     token = token.lower()
+    if token.isalnum():
+        return token
     a, b = 0, len(token)
     while a < b and not token[a].isalnum():
         a += 1
@@ -49,14 +50,33 @@ def normalised(token: str) -> str:
     return token[a:b]
 
 
-def char_slots(word: str) -> list[int]:
-    """Hash slots of beginnings, endings and trigrams of a word, of its two ends if it is long."""
-    if len(word) > 2 * WORD_CHARS:
-        word = word[:WORD_CHARS] + word[-WORD_CHARS:]
-    grams = ["^" + word[:k] for k in range(2, min(9, len(word) + 1))]
-    grams += [word[-k:] + "$" for k in range(2, min(6, len(word) + 1))]
-    grams += [word[k : k + 3] for k in range(len(word) - 2)]
-    return [zlib.crc32(g.encode("utf-8", "replace")) % CHAR_SLOTS for g in grams or [f"^{word}$"]]
+def char_slots(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash slots of all words in a row, and their number per word.
+
+    A word has its beginnings of 2 to 8 characters and its trigrams, both
+    between end marks. Of a long word the two ends count.
+    """
+    cut = [w if len(w) <= WORD_CHARS else w[: WORD_CHARS - 8] + w[-8:] for w in words]
+    sizes = np.array([len(w) for w in cut])
+    marked = np.array([f"^{w}$" for w in cut], f"U{WORD_CHARS + 2}")
+    points = marked.view(np.uint32).reshape(len(cut), -1).astype(np.uint64)
+    grams, there = [], []
+    running = np.zeros(len(cut), np.uint64)
+    for k in range(9):
+        running = running * np.uint64(1_000_003) + points[:, k]
+        if k >= 2:
+            grams.append(running ^ np.uint64(k << 40))
+            there.append(sizes >= k)
+    for k in range(WORD_CHARS):
+        gram = points[:, k] << np.uint64(42) | points[:, k + 1] << np.uint64(21) | points[:, k + 2]
+        grams.append(gram)
+        there.append(sizes >= max(k + 1, 1))
+    grams.append(points[:, 1] + np.uint64(1 << 50))  # so that no word is without a slot
+    there.append(np.ones(len(cut), bool))
+    mixed = np.stack(grams, axis=1) * np.uint64(0x9E3779B97F4A7C15)
+    kept = np.stack(there, axis=1)
+    slots = (mixed >> np.uint64(64 - CHAR_BITS)).astype(np.int64)
+    return slots[kept], kept.sum(axis=1)
 
 
 def window_rows(ids: np.ndarray) -> np.ndarray:
@@ -85,12 +105,9 @@ class Network:
         return np.concatenate([self.p["words"][words], chars], axis=1)
 
     def gates(self, words: list[str]) -> np.ndarray:
-        """What each word adds to the gates of both directions."""
-        lists = [char_slots(w) for w in words]
-        counts = np.array([len(x) for x in lists])
-        slots = np.fromiter((s for x in lists for s in x), np.int64, counts.sum())
+        """What each word adds to the gates of both directions, a row per word."""
         ids = np.array([self.known.get(w, 0) for w in words])
-        return self.inputs(ids, slots, counts) @ self.p["wx"] + self.p["bx"]
+        return self.inputs(ids, *char_slots(words)) @ self.p["wx"] + self.p["bx"]
 
 
 def start(vocabulary: list[str], seed: int = 7) -> Network:
@@ -102,7 +119,7 @@ def start(vocabulary: list[str], seed: int = 7) -> Network:
     h = HIDDEN
     p = {
         "words": draw(len(vocabulary) + 1, WORD_DIM, scale=0.3),
-        "chars": draw(CHAR_SLOTS, CHAR_DIM, scale=0.5),
+        "chars": draw(1 << CHAR_BITS, CHAR_DIM, scale=0.5),
         "wx": draw(WORD_DIM + CHAR_DIM, 6 * h),
         "bx": np.zeros(6 * h, np.float32),
         "uf": draw(h, 3 * h),
@@ -116,48 +133,61 @@ def start(vocabulary: list[str], seed: int = 7) -> Network:
 
 
 def _direction(gates, rows, mask, u, steps, trace=None):
-    """States of one direction; ``trace`` keeps what the way back needs."""
+    """States of one direction, (time, unit, window); ``gates`` has a line per word row.
+
+    ``trace`` keeps what the way back needs.
+    """
     h = HIDDEN
-    state = np.zeros((rows.shape[1], h), np.float32)
-    states = np.empty((*rows.shape, h), np.float32)
+    state = np.zeros((h, rows.shape[1]), np.float32)
+    states = np.empty((len(rows), h, rows.shape[1]), np.float32)
+    turned, halves = np.ascontiguousarray(u.T), np.float32(0.5)
     for t in steps:
-        x, hu = gates[rows[t]], state @ u
-        zr = _sigmoid(x[:, : 2 * h] + hu[:, : 2 * h])
-        z, r = zr[:, :h], zr[:, h:]
-        n = np.tanh(x[:, 2 * h :] + r * hu[:, 2 * h :])
+        x, hu = np.ascontiguousarray(gates[rows[t]].T), turned @ state
+        zr = x[: 2 * h] + hu[: 2 * h]
+        zr *= halves
+        np.tanh(zr, out=zr)
+        zr *= halves
+        zr += halves
+        z, r = zr[:h], zr[h:]
+        n = np.tanh(x[2 * h :] + r * hu[2 * h :])
         if trace is not None:
-            trace[t] = (state, z, r, n, hu[:, 2 * h :])
-        state = np.where(mask[t][:, None], n + z * (state - n), state)
+            trace[t] = (state, z, r, n, hu[2 * h :])
+        new = state - n
+        new *= z
+        new += n
+        state = new if mask[t].all() else np.where(mask[t], new, state)
         states[t] = state
     return states
 
 
 def _pool(p, states, mask):
-    a = np.tanh(states @ p["wa"])
-    e = np.where(mask, a @ p["va"], -1e9)
+    """Attention over time; ``states`` are (time, unit, window)."""
+    a = np.tanh(p["wa"].T @ states)
+    e = np.where(mask, p["va"] @ a, np.float32(-1e9))
     e = np.exp(e - e.max(axis=0))
     weights = e / e.sum(axis=0)
-    pooled = (weights[:, :, None] * states).sum(axis=0)
-    return a, weights, pooled, pooled @ p["wo"] + p["bo"][0]
+    pooled = (weights[:, None, :] * states).sum(axis=0)
+    return a, weights, pooled, p["wo"] @ pooled + p["bo"][0]
+
+
+def _rows_and_mask(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    rows = np.ascontiguousarray(windows.T)
+    return np.maximum(rows, 0), rows >= 0
 
 
 def window_scores(net: Network, gates: np.ndarray, windows: np.ndarray) -> np.ndarray:
-    """Logit of each window of word rows."""
+    """Logit of each window of word rows; ``gates`` has a line per word row."""
     p, h = net.p, HIDDEN
-    forward = np.ascontiguousarray(gates[:, : 3 * h])
-    back = np.ascontiguousarray(gates[:, 3 * h :])
+    forward, back = (np.ascontiguousarray(gates[:, i : i + 3 * h]) for i in (0, 3 * h))
     out = np.empty(len(windows), np.float32)
     for at in range(0, len(windows), SCORED):
-        rows = np.ascontiguousarray(windows[at : at + SCORED].T)
-        mask = rows >= 0
-        rows = np.maximum(rows, 0)
-        steps = range(WINDOW)
+        rows, mask = _rows_and_mask(windows[at : at + SCORED])
         states = np.concatenate(
             [
-                _direction(forward, rows, mask, p["uf"], steps),
-                _direction(back, rows, mask, p["ub"], steps[::-1]),
+                _direction(forward, rows, mask, p["uf"], range(WINDOW)),
+                _direction(back, rows, mask, p["ub"], range(WINDOW)[::-1]),
             ],
-            axis=2,
+            axis=1,
         )
         out[at : at + SCORED] = _pool(p, states, mask)[3]
     return out
@@ -166,45 +196,43 @@ def window_scores(net: Network, gates: np.ndarray, windows: np.ndarray) -> np.nd
 def gradients(net: Network, windows, targets, words, slots, counts):
     """Loss gradient over one batch; word rows index ``words`` and their slot lists."""
     p, h = net.p, HIDDEN
-    rows = np.ascontiguousarray(windows.T)
-    mask = rows >= 0
-    rows = np.maximum(rows, 0)
+    rows, mask = _rows_and_mask(windows)
     x = net.inputs(words, slots, counts)
     gates = x @ p["wx"] + p["bx"]
     traces, states = ({}, {}), []
     parts = ((0, "uf", range(WINDOW)), (1, "ub", range(WINDOW)[::-1]))
     for d, u, steps in parts:
-        own = gates[:, 3 * h * d : 3 * h * (d + 1)]
+        own = np.ascontiguousarray(gates[:, 3 * h * d : 3 * h * (d + 1)])
         states.append(_direction(own, rows, mask, p[u], steps, traces[d]))
-    both = np.concatenate(states, axis=2)
+    both = np.concatenate(states, axis=1)
     a, weights, pooled, logit = _pool(p, both, mask)
     slip = ((_sigmoid(logit) - targets) / len(targets)).astype(np.float32)
-    g = {"wo": pooled.T @ slip, "bo": slip.sum(keepdims=True)}
-    d_pooled = slip[:, None] * p["wo"]
-    d_weights = (both * d_pooled).sum(axis=2)
+    g = {"wo": pooled @ slip, "bo": slip.sum(keepdims=True)}
+    d_pooled = p["wo"][:, None] * slip
+    d_weights = (both * d_pooled).sum(axis=1)
     d_e = weights * (d_weights - (weights * d_weights).sum(axis=0))
-    g["va"] = np.tensordot(d_e, a, 2)
-    d_a = d_e[:, :, None] * p["va"] * (1 - a * a)
-    g["wa"] = np.tensordot(both, d_a, ((0, 1), (0, 1)))
-    d_both = weights[:, :, None] * d_pooled + d_a @ p["wa"].T
-    d_gates = np.zeros_like(gates)
+    g["va"] = np.einsum("tb,tab->a", d_e, a)
+    d_a = d_e[:, None, :] * p["va"][:, None] * (1 - a * a)
+    g["wa"] = np.einsum("tub,tab->ua", both, d_a, optimize=True)
+    d_both = weights[:, None, :] * d_pooled + p["wa"] @ d_a
+    d_gates = np.zeros((len(x), 6 * h), np.float32)
     for d, u, steps in parts:
-        d_u, d_h = np.zeros_like(p[u]), np.zeros((rows.shape[1], h), np.float32)
+        d_u, d_h = np.zeros_like(p[u]), np.zeros((h, rows.shape[1]), np.float32)
         d_x = np.zeros((*rows.shape, 3 * h), np.float32)
         for t in steps[::-1]:
             state, z, r, n, hun = traces[d][t]
-            d_h = d_h + d_both[t][:, h * d : h * (d + 1)]
-            m = mask[t][:, None]
-            new = d_h * m
+            d_h = d_h + d_both[t][h * d : h * (d + 1)]
+            new = d_h * mask[t]
             d_n = new * (1 - z) * (1 - n * n)
             d_z = new * (state - n) * z * (1 - z)
             d_r = d_n * hun * r * (1 - r)
-            d_hu = np.concatenate([d_z, d_r, d_n * r], axis=1)
-            d_x[t] = np.concatenate([d_z, d_r, d_n], axis=1)
-            d_u += state.T @ d_hu
-            d_h = d_h * ~m + new * z + d_hu @ p[u].T
+            d_hu = np.concatenate([d_z, d_r, d_n * r])
+            d_x[t] = np.concatenate([d_z, d_r, d_n]).T
+            d_u += state @ d_hu.T
+            d_h = d_h * ~mask[t] + new * z + p[u] @ d_hu
         g[u] = d_u
-        flat, order = rows[mask], np.argsort(rows[mask], kind="stable")
+        flat = rows[mask]
+        order = np.argsort(flat, kind="stable")
         begin = np.flatnonzero(np.diff(flat[order], prepend=-1))
         sums = np.add.reduceat(d_x[mask][order], begin)
         d_gates[flat[order][begin], 3 * h * d : 3 * h * (d + 1)] = sums
@@ -255,11 +283,18 @@ def features(best: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 def _calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    w = np.array([1.0, 0.0, 0.0])
+    """Logistic curve over the features by damped Newton steps, held to moderate slopes."""
+    w, held = np.zeros(x.shape[1]), np.diag([1.0, 1.0, 0.01])
+    loss = lambda w: np.logaddexp(0, np.where(y > 0, -1, 1) * (x @ w)).sum() + w @ held @ w / 2
     for _ in range(60):
-        q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hessian = x.T @ (x * (q * (1 - q))[:, None]) + 1e-1 * np.eye(3)
-        w += np.linalg.solve(hessian, x.T @ (y - q) - 1e-1 * w)
+        q = _sigmoid(x @ w)
+        hessian = x.T @ (x * (q * (1 - q))[:, None]) + held
+        step = np.linalg.solve(hessian, x.T @ (y - q) - held @ w)
+        while np.abs(step).max() > 1e-9 and loss(w + step) > loss(w):
+            step = step / 2
+        w = w + step
+        if np.abs(step).max() <= 1e-9:
+            break
     return w
 
 
@@ -282,10 +317,7 @@ def train(sample: list[tuple[bytes, int]], share: float | None = None, seed: int
         return net
     words = sorted({w for s in tokens for w in s})
     row = {w: i for i, w in enumerate(words)}
-    lists = [char_slots(w) for w in words]
-    counts = np.array([len(x) for x in lists])
-    slots = np.fromiter((s for x in lists for s in x), np.int64, counts.sum())
-    table = np.array([net.known.get(w, 0) for w in words]), slots, counts
+    table = np.array([net.known.get(w, 0) for w in words]), *char_slots(words)
     parts = [window_rows(np.array([row[w] for w in s], np.int32)) for s in tokens]
     owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
     windows = np.concatenate(parts)
@@ -329,7 +361,7 @@ class Scorer:
 
     def _add(self, tokens: list[str]) -> None:
         held = len(self.rows)
-        fresh = self.net.gates([normalised(t) for t in tokens]).astype(np.float32)
+        fresh = self.net.gates([normalised(t) for t in tokens])
         if held + len(fresh) > len(self.gates):
             wider = np.empty((max(2 * len(self.gates), held + len(fresh)), 6 * HIDDEN), np.float32)
             wider[:held] = self.gates[:held]
