@@ -89,7 +89,7 @@ def plan_mix(
     bucket = F.substring("draw", 1, BUCKET_DIGITS).alias("bucket")
     histogram = sized.groupBy("source", bucket).agg(F.sum("size").alias("size"))
     histogram = stage(histogram, "mix-histogram")
-    whole = F.coalesce(F.floor(F.col("target") / F.col("source_size")), F.lit(0)).cast("long")
+    whole = F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)).cast("long")
     targets = source_targets(histogram, weights, max_epochs).withColumn("whole", whole)
     share = F.col("target") - F.col("whole") * F.col("source_size")
     running = Window.partitionBy("source").orderBy("bucket")  # at most 16 ** BUCKET_DIGITS rows
