@@ -103,7 +103,7 @@ def count_runs(docs: DataFrame) -> DataFrame:
                 held[lang] = run, n
         for lang, (run, n) in held.items():
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(run)), pa.array(run, pa.int32()), pa.array(n, pa.int64())],
+                [pa.array([lang] * len(run), pa.string()), pa.array(run, pa.int32()), pa.array(n, pa.int64())],
                 ["lang", "run", "n"],
             )
 
