@@ -31,6 +31,8 @@ WORD_CHARS = 24
 SAMPLE_TEXTS = 2_500
 SAMPLE_BYTES = 4 << 20
 EPOCHS, BATCH, RATE = 3, 128, 4e-3
+#: A small sample is gone through more often, for this many steps.
+LEAST_STEPS = 250
 #: Words whose gate inputs a worker keeps, and windows scored at once.
 KEPT_WORDS = 150_000
 SCORED = 512
@@ -255,8 +257,8 @@ def _fit_windows(net: Network, windows, targets, vocabulary, epochs: int, seed:
     rng = np.random.default_rng(seed)
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(x) for k, x in net.p.items()}
-    step = 0
-    for _ in range(epochs):
+    step, a_round = 0, -(-len(windows) // BATCH)
+    for _ in range(max(epochs, -(-LEAST_STEPS // a_round))):
         order = rng.permutation(len(windows))
         for at in range(0, len(order), BATCH):
             pick = order[at : at + BATCH]
@@ -312,10 +314,10 @@ def train(sample: list[tuple[bytes, int]], share: float | None = None, seed: int
     seen = Counter(w for words, k in zip(tokens, learn, strict=True) if k for w in set(words))
     vocabulary = sorted((w for w, n in seen.items() if n >= 5), key=lambda w: (-seen[w], w))
     net = start(vocabulary[:KNOWN_WORDS], seed)
-    if not sample or len(set(labels.tolist())) < 2:
-        net.curve = np.array([0.0, 0.0, 4.0 if sample and labels[0] else -4.0])
-        return net
     words = sorted({w for s in tokens for w in s})
+    if not words or len(set(labels.tolist())) < 2:
+        net.curve = np.array([0.0, 0.0, 4.0 if len(labels) and labels.all() else -4.0])
+        return net
     row = {w: i for i, w in enumerate(words)}
     table = np.array([net.known.get(w, 0) for w in words]), *char_slots(words)
     parts = [window_rows(np.array([row[w] for w in s], np.int32)) for s in tokens]
