@@ -2,14 +2,37 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from revtext.functions.rules import NON_SPACE, apply_rules, guarded
+from revtext.functions.rules import NON_SPACE, Guarded, apply_rules, bind, guarded
 
+# The address characters, and below the five cleaning patterns.
 _ADDRESS = r"[A-Za-z0-9.\-+_]"
 
-MARKUP = guarded(r"<[^>]+>", " ", "<")
+
+@dataclass(frozen=True)
+class UpToLast:
+    """A rule for the text up to the last ``literal``, which every match must end with.
+
+    Behind it each start of a match would be followed to the end in vain.
+    """
+
+    literal: str
+    rule: Guarded
+
+    def apply(self, text: Column) -> Column:
+        def parted(t: Column) -> Column:
+            rest = F.substring_index(t, self.literal, -1)
+            head = F.left(t, F.length(t) - F.length(rest))
+            return F.concat(self.rule.apply(head), rest)
+
+        return bind(text, parted)
+
+
+MARKUP = UpToLast(">", guarded(r"<[^>]+>", " ", "<"))
 HTTP = guarded(f"http{NON_SPACE}+", "", "http")
 # Any character but a line feed may follow "www".
 WWW = guarded(rf"www[^\n]{NON_SPACE}+", "", "www")

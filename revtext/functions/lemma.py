@@ -15,6 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from revtext.functions.lookup import Lookup
+from revtext.functions.rules import bind
 
 # Verb suffixes and what replaces them, in order.
 SUFFIX_RULES = (
@@ -36,7 +37,7 @@ VERBS = tuple(
     complain connect consider contain continue copy cost cover create cut damage deal decide
     deliver die display do download draw drive drop eat end enjoy expect explain fail fall feel
     fight fill find finish fit fix fly follow forget freeze get give go grow happen hate have hear
-    help hold hope include install keep kill know last lay lead learn leave let lie like listen
+    help hit hold hope include install keep kill know last lay lead learn leave let lie like listen
     live load look lose love make match mean meet mention mount move need notice offer open order
     pass pay plan play plug prefer print produce provide pull purchase push put read realize
     receive recommend reduce refund remember remove repair replace report require reset return
@@ -68,6 +69,9 @@ IRREGULAR = {
         stood=stand stopped=stop stuck=stick sung=sing taken=take taught=teach thought=think
         threw=throw thrown=throw told=tell took=take tried=try understood=understand went=go
         woke=wake woken=wake won=win wore=wear worn=wear written=write wrote=write
+        beginning=begin cutting=cut dropping=drop dying=die fitting=fit forgetting=forget
+        getting=get hitting=hit letting=let lying=lie planning=plan plugging=plug shipping=ship
+        stopping=stop travelled=travel travelling=travel winning=win
         """.split()
     )
 }
@@ -112,6 +116,7 @@ class VerbLemmatizer:
         lexicon = tuple(lexicon)
         regular = regular_forms(lexicon)
         self.empty = not lexicon
+        self.longest = max(map(len, regular), default=0)
         self._regular = Lookup(regular, "string")
         self._first = Lookup({**regular, **irregular_forms(lexicon, exceptions)}, "string")
 
@@ -132,9 +137,16 @@ class VerbLemmatizer:
         """Strip suffixes one by one until what is left is a form of a lemma.
 
         After a round only the stem without its whole suffix can still end in
-        one, so the rounds follow a single chain of stems.
+        one, so the rounds follow a single chain of stems. No stem longer than
+        the longest form can be one, so the chain starts at its first stem that
+        is short enough; a possessive loop finds that without recursion.
         """
+        run = rf"\A([\s\S]{{0,{self.longest}}})(?:es|ed|ing|(?<!e)s)++\z"
+        near = F.regexp_extract(word, run, 1)
+        short = F.when(F.length(word) > self.longest, near).otherwise(word)
+        return bind(short, self._rounds)
 
+    def _rounds(self, word: Column) -> Column:
         def step(state: Column, _: Column) -> Column:
             stem = F.regexp_replace(state["stem"], _LAST_SUFFIX, "")
             going = state["lemma"].isNull() & F.rlike(state["stem"], F.lit(rf"{_ENDING}\z"))
@@ -142,8 +154,8 @@ class VerbLemmatizer:
                 going, F.struct(stem.alias("stem"), self._regular.get(stem).alias("lemma"))
             ).otherwise(state)
 
-        start = F.struct(word.alias("stem"), F.lit(None).cast("string").alias("lemma"))
+        start = F.struct(word.alias("stem"), self._regular.get(word).alias("lemma"))
         # No more rounds than letters in the run of suffixes at the end.
-        run = F.regexp_extract(word, r"((?:e?s|ed|ing)+)\z", 1)
-        rounds = F.sequence(F.lit(1), F.length(run))
+        letters = F.length(F.regexp_extract(word, r"((?:e?s|ed|ing)+)\z", 1))
+        rounds = F.when(letters > 0, F.sequence(F.lit(1), letters)).otherwise(F.array(F.lit(1)))
         return F.aggregate(rounds, start, step, lambda state: state["lemma"])

@@ -1,10 +1,13 @@
 """Cleaning, tokens and lemmas, against Python's own regex and plain loops."""
 
+import random
 import re
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
-from revtext.functions.cleaning import clean_text
+from revtext.functions.cleaning import clean_text, remove_markup
 from revtext.functions.lemma import IRREGULAR, SUFFIX_RULES, VERBS, VerbLemmatizer
 from revtext.functions.lookup import MAX_JSON_KEY, Lookup
 from revtext.functions.tokens import (
@@ -49,6 +52,7 @@ def test_clean_cases(spark):
 
 def python_clean(text):
     text = text or ""
+    # The five cleaning patterns.
     for pattern, new in (
         (r"<[^>]+>", " "),
         (r"http\S+", ""),
@@ -161,3 +165,44 @@ def test_lookup_long_and_odd_keys(spark):
     entries = {long: 1, 'q"\\': 2, "é ": 3, "": 4, "a": 5}
     lookup = Lookup(entries, "int")
     assert column(spark, [*entries, "b", None], lookup.get) == [1, 2, 3, 4, 5, None, None]
+
+
+RUNS = [2_000, 20_000, 200_000]
+
+
+@pytest.mark.parametrize("n", RUNS)
+def test_any_run_of_suffixes_is_safe(spark, n):
+    runs = ["s" * n, "work" + "s" * n, "es" * n, "call" + "ing" * n, "x" + "ed" * n, "s" * n + "x" + "ss", "e" + "s" * n]
+    start = time.perf_counter()
+    got = column(spark, runs, VerbLemmatizer().lemma)
+    assert time.perf_counter() - start < 3
+    assert got == [runs[0], "work", runs[2], "call", runs[4], runs[5], runs[6]]
+
+
+def test_long_stems_agree_with_plain_rules(spark):
+    rng = random.Random(4)
+    ends = ["s", "es", "ed", "ing", "e", "d", "ss", "work", "x"]
+    words = [rng.choice(["work", "call", "x", "", "miss"]) + "".join(rng.choices(ends, k=rng.randint(6, 20))) for _ in range(2000)]
+    assert column(spark, words, VerbLemmatizer().lemma) == [python_lemma(w) for w in words]
+
+
+@pytest.mark.parametrize("text", ["<", "<a", "< >", "<<>", "<" * 5 + "b> tail <", "&#", "http", "www", "a@", "a.", "'", ".", ". ", "`", "-", ",", ")"])
+def test_cleaning_and_splitting_take_linear_time(spark, text):
+    long = text * (200_000 // len(text))
+    start = time.perf_counter()
+    column(spark, [long], lambda t: tokenize(clean_text(t)))
+    assert time.perf_counter() - start < 6
+
+
+def test_markup_up_to_the_last_sign(spark):
+    texts = ["a<b>c", "<", ">", "a < b and c", "<<x>y", "<>z", "a>b<c>d<e", "<a\nb>", "é<b>😀<"]
+    assert column(spark, texts, remove_markup) == [re.sub("<[^>]+>", " ", t) for t in texts]
+
+
+def test_everyday_forms(spark):
+    forms = {
+        "getting": "get", "stopping": "stop", "shipping": "ship", "planning": "plan", "dropping": "drop",
+        "plugging": "plug", "fitting": "fit", "cutting": "cut", "letting": "let", "winning": "win",
+        "beginning": "begin", "lying": "lie", "dying": "die", "hitting": "hit",
+    }
+    assert column(spark, [*forms], VerbLemmatizer().lemma) == [*forms.values()]
