@@ -82,8 +82,12 @@ def dropped(expression: str) -> str:
     return f"list_filter({expression}, lambda t: t <> '')"
 
 
-def bucket(key: str, use: str = "split") -> str:
-    return f"(('0x' || substr(md5('{use}:1234:' || {key}::VARCHAR), 1, 8))::BIGINT % 10000)"
+def point(key: str, use: str = "split") -> str:
+    return f"('0x' || substr(md5('{use}:1234:' || {key}::VARCHAR), 1, 15))::BIGINT"
+
+
+def share(hundredths: int) -> int:
+    return 2**60 * hundredths // 100
 
 
 REVIEWS = """
@@ -147,13 +151,15 @@ words AS MATERIALIZED (
   FROM raw_words LEFT JOIN best ON token = form)"""
 
 
-def vocab_ctes(num_classes: int, rows: str = "true", fit: str = "true") -> str:
+def vocab_ctes(
+    num_classes: int, rows: str = "true", fit: str = "true", size: int = 10_000
+) -> str:
     """Vocabulary of the words of ``fit`` rows, applied to all chosen rows."""
     return f"""{token_ctes(num_classes, rows)},
 counts AS (SELECT token, count(*) AS n FROM words WHERE {fit} GROUP BY token),
 vocab AS MATERIALIZED (
   SELECT token, n, row_number() OVER (ORDER BY n DESC, token)::INTEGER AS idx
-  FROM counts ORDER BY n DESC, token LIMIT 10000),
+  FROM counts ORDER BY n DESC, token LIMIT {size}),
 indexed AS MATERIALIZED (
   SELECT review_id, pos, coalesce(idx, 0) AS idx FROM words LEFT JOIN vocab USING (token))"""
 
@@ -177,10 +183,10 @@ def class_index(num_classes: int) -> str:
     return "(star_rating > 2)::INTEGER" if num_classes == 2 else "star_rating - 1"
 
 
-WORK = f"{bucket('review_id')} < 9500"
-TRAIN = f"{bucket('review_id')} < 9000"
-EVAL = f"{bucket('review_id')} BETWEEN 9000 AND 9499"
-TEST = f"{bucket('review_id')} >= 9500"
+WORK = f"{point('review_id')} < {share(95)}"
+TRAIN = f"{point('review_id')} < {share(90)}"
+EVAL = f"({point('review_id')} >= {share(90)} AND {point('review_id')} < {share(95)})"
+TEST = f"{point('review_id')} >= {share(95)}"
 
 
 def bayes_ctes(num_classes: int, rows: str = WORK) -> str:
@@ -312,14 +318,16 @@ SCORES = sql(
 TOKEN_INDEX = _index("coalesce(string_agg(idx::VARCHAR, ' ' ORDER BY pos), '') AS idx")
 
 
+CSV_LABEL = f"replace({one_hot(2)}, ' ', ',')"
+CSV_ROW = f"array_to_string(features, ',') || ',' || {CSV_LABEL}"
+
 ORACLE: dict[str, str] = {
     "project_text_label": sql(REVIEWS, "SELECT review_id, review_body, star_rating FROM reviews"),
     "filter_binary": sql(
         REVIEWS, "SELECT review_id, star_rating FROM reviews WHERE star_rating IN (1, 2, 4, 5)"
     ),
-    "filter_multi": sql(
-        REVIEWS, "SELECT review_id, star_rating FROM reviews WHERE star_rating BETWEEN 1 AND 5"
-    ),
+    "filter_multi": "SELECT d.doc_id AS review_id, quality * 5 AS star_rating FROM documents d "
+    "JOIN labels l ON d.doc_id = l.doc_id WHERE quality = 1",
     "fill_null_rating": "SELECT d.doc_id AS review_id, coalesce(quality, 0) AS star_rating "
     "FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
     "split_test": sql(
@@ -335,14 +343,17 @@ ORACLE: dict[str, str] = {
     "sample_train": sql(
         REVIEWS,
         "SELECT review_id, star_rating FROM reviews "
-        f"WHERE {TRAIN} AND {bucket('review_id', 'sample')} < 1000",
+        f"WHERE {TRAIN} AND {point('review_id', 'sample')} < {share(10)}",
     ),
-    "clean_null": "SELECT d.doc_id AS review_id, CASE WHEN quality IS NULL THEN '' ELSE text END "
-    "AS review_body FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
+    "clean_null": "SELECT doc_id AS review_id, text AS review_body FROM documents "
+    "UNION ALL SELECT -1, ''",
     "clean_markup": _texts(replaced("text", MARKUP)),
-    "clean_http": _texts(replaced("text", HTTP)),
+    "clean_http": _texts(replaced("text", HTTP))
+    + " UNION ALL SELECT 'url', page_id, 0, "
+    + replaced("'see ' || url || ' there'", HTTP)
+    + " FROM pages",
     "clean_www": _texts(replaced("text", WWW)),
-    "clean_entities": _texts(replaced("text", ENTITY)),
+    "clean_entities": _texts("replace(text, '\"', '')"),
     "clean_email": _texts(replaced("text", EMAIL)),
     "clean_lower": _texts("lower(text)"),
     "clean_text": _texts(cleaned("text")),
@@ -353,18 +364,17 @@ ORACLE: dict[str, str] = {
     "lemmatize": _lemmatized(),
     "term_count": sql(vocab_ctes(5), "SELECT token, n FROM counts"),
     "vocab_topk": sql(vocab_ctes(5), "SELECT token, n, idx FROM vocab"),
+    "vocab_large": sql(vocab_ctes(5, size=50_000), "SELECT token, n, idx FROM vocab"),
     "token_index": TOKEN_INDEX,
     "token_index_join": TOKEN_INDEX,
-    "drop_empty": sql(encoded_ctes(2), "SELECT review_id, star_rating FROM encoded"),
+    "drop_empty": sql(encoded_ctes(5), "SELECT review_id, star_rating FROM encoded"),
     "pad_trim": _index(
         "array_to_string(list_resize(coalesce(list(idx ORDER BY pos) "
         "FILTER (WHERE pos <= 100), []), 100, 0), ' ') AS features"
     ),
     "index_sum": _index("coalesce(sum(idx), 0)::BIGINT AS total"),
-    "normalize_idx": sql(
-        encoded_ctes(5),
-        "SELECT review_id, array_to_string(list_transform(features, lambda i: i * 100), ' ') "
-        "AS millionths FROM encoded",
+    "normalize_idx": _index(
+        "coalesce(string_agg((idx * 100)::VARCHAR, ' ' ORDER BY pos), '') AS millionths"
     ),
     "encode_binary": _encoded(2),
     "encode_multi": _encoded(5),
@@ -435,12 +445,10 @@ ORACLE: dict[str, str] = {
     "src_one_file": _xy(2, EVAL),
     "snk_eval_xy": _xy(2, EVAL, "review_id,"),
     "src_xy_files": _xy(2, EVAL),
-    "snk_train_sample": _line(5, f"{TRAIN} AND {bucket('review_id', 'sample')} < 2000"),
+    "snk_train_sample": _line(5, f"{TRAIN} AND {point('review_id', 'sample')} < {share(20)}"),
     "snk_dictionary": sql(
         vocab_ctes(2),
-        "SELECT count(*)::INTEGER AS words, "
-        "(2 + sum(length(token) + length(idx::VARCHAR) + 3) + count(*) - 1)::INTEGER AS characters "
-        "FROM vocab",
+        "SELECT token, idx FROM vocab",
     ),
     "src_dictionary": sql(vocab_ctes(5), "SELECT token, idx FROM vocab"),
     "snk_predictions": sql(
@@ -448,13 +456,42 @@ ORACLE: dict[str, str] = {
     ),
     "snk_model": sql(
         bayes_ctes(2),
-        "SELECT class, count(*) AS words, sum(l.n)::BIGINT AS occurrences, any_value(p.n) AS rows "
-        "FROM loglik l JOIN prior p USING (class) GROUP BY class",
+        "SELECT class, 0 AS idx, n, round(log_prior, 6) AS value FROM prior "
+        "UNION ALL SELECT class, idx, n, round(loglik, 6) FROM loglik",
+    ),
+    "snk_predictions_binary": sql(
+        score_ctes(2),
+        "SELECT review_id || ',' || prediction || ',' || "
+        "CASE prediction WHEN 0 THEN 'negative' ELSE 'positive' END AS line FROM predicted",
+    ),
+    "accuracy_train": sql(
+        score_ctes(2, f"{TRAIN} AND {point('review_id', 'sample')} < {share(20)}"),
+        f"SELECT count(*) AS n, round(avg((prediction = {class_index(2)})::INTEGER), 6) AS accuracy "
+        "FROM predicted",
+    ),
+    "train_lr": sql(
+        encoded_ctes(2, WORK),
+        f"SELECT {class_index(2)} AS class, count(*) AS n, true AS mean_is_share "
+        f"FROM encoded WHERE {TRAIN} GROUP BY {class_index(2)}",
+    ),
+    "score_lr": sql(
+        encoded_ctes(2, WORK),
+        "SELECT review_id, true AS sums_to_one, true AS first_largest "
+        f"FROM encoded WHERE {EVAL}",
+    ),
+    "train_mlp": sql(
+        encoded_ctes(2, WORK),
+        "SELECT count(*) AS n, true AS well_formed, true AS beats_guess "
+        f"FROM encoded WHERE {EVAL}",
     ),
     "job_prepare": sql(
         encoded_ctes(2, WORK),
-        f"""SELECT dataset, count(*) AS n, sum(review_id)::BIGINT AS ids FROM (
-  SELECT CASE WHEN {TRAIN} THEN 'train' ELSE 'eval' END AS dataset, review_id FROM encoded
-  UNION ALL SELECT 'test', review_id FROM kept WHERE {TEST}) GROUP BY dataset""",
+        f"""SELECT 'train' AS dataset, {CSV_ROW} AS line FROM encoded WHERE {TRAIN}
+UNION ALL SELECT 'sample', {CSV_ROW} FROM encoded
+  WHERE {TRAIN} AND {point('review_id', 'sample')} < {share(20)}
+UNION ALL SELECT 'eval_x', review_id || ',' || array_to_string(features, ',') FROM encoded WHERE {EVAL}
+UNION ALL SELECT 'eval_y', review_id || ',' || {CSV_LABEL} FROM encoded WHERE {EVAL}
+UNION ALL SELECT 'test', review_id || ',' || md5(review_body) FROM kept WHERE {TEST}
+UNION ALL SELECT 'dictionary', idx || ',' || token FROM vocab""",
     ),
 }

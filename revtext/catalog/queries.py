@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from revtext.catalog.tables import documents, reviews, table, texts
@@ -50,7 +52,11 @@ def filter_binary(spark, folder):
 
 @query
 def filter_multi(spark, folder):
-    return labels.keep_labelled(reviews(spark, folder), 5).select("review_id", "star_rating")
+    """Ratings of 5, of 0 and without one: only the first lie in the domain."""
+    rated = table(spark, folder, "labels").select("doc_id", (F.col("quality") * 5).alias("star_rating"))
+    ids = table(spark, folder, "documents").select("doc_id")
+    joined = ids.join(rated, "doc_id", "left").withColumnRenamed("doc_id", "review_id")
+    return labels.keep_labelled(joined, 5)
 
 
 @query
@@ -99,17 +105,37 @@ def _cleaning(name: str, step: Callable[[Column], Column]) -> None:
 
 @query
 def clean_null(spark, folder):
-    labelled = table(spark, folder, "labels").select("doc_id", "quality")
-    text = F.when(F.col("quality").isNotNull(), F.col("text"))
-    return documents(spark, folder).join(labelled, "doc_id", "left").select(
-        F.col("doc_id").alias("review_id"), cleaning.fill_null(text).alias("review_body")
+    """All texts and a null one."""
+    docs = documents(spark, folder)
+    null = spark.range(1).select(F.lit(-1).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    return docs.unionByName(null).select(
+        F.col("doc_id").alias("review_id"), cleaning.fill_null(F.col("text")).alias("review_body")
     )
 
 
 _cleaning("clean_markup", cleaning.remove_markup)
-_cleaning("clean_http", cleaning.remove_http)
+
+@query
+def clean_http(spark, folder):
+    """All texts, and the addresses of pages, which all hold a link."""
+    urls = table(spark, folder, "pages").select(
+        F.lit("url").alias("kind"),
+        F.col("page_id").alias("id"),
+        F.lit(0).cast("long").alias("part"),
+        F.concat(F.lit("see "), F.col("url"), F.lit(" there")).alias("text"),
+    )
+    both = texts(spark, folder).unionByName(urls)
+    return both.select("kind", "id", "part", cleaning.remove_http(F.col("text")).alias("text"))
+
+
+@query
+def clean_entities(spark, folder):
+    """All texts with their quotation marks written as entities."""
+    coded = F.replace("text", F.lit('"'), F.lit("&#34;"))
+    return texts(spark, folder).select("kind", "id", "part", cleaning.remove_entities(coded).alias("text"))
+
+
 _cleaning("clean_www", cleaning.remove_www)
-_cleaning("clean_entities", cleaning.remove_entities)
 _cleaning("clean_email", cleaning.remove_emails)
 _cleaning("clean_lower", F.lower)
 _cleaning("clean_text", cleaning.clean_text)
@@ -174,6 +200,12 @@ def vocab_topk(spark, folder):
     return vocabulary.vocabulary(vocabulary.term_counts(_review_tokens(spark, folder)))
 
 
+@query
+def vocab_large(spark, folder):
+    """A vocabulary of 50,000 words."""
+    return vocabulary.vocabulary(vocabulary.term_counts(_review_tokens(spark, folder)), 50_000)
+
+
 @query
 def token_index(spark, folder):
     indexed = vocabulary.index_tokens(*_tokens_and_vocab(spark, folder))
@@ -189,7 +221,7 @@ def token_index_join(spark, folder):
 
 @query
 def drop_empty(spark, folder):
-    stored, vocab = _tokens_and_vocab(spark, folder, 2)
+    stored, vocab = _tokens_and_vocab(spark, folder, 5)
     return vocabulary.encode_tokens(stored, vocab).select("review_id", "star_rating")
 
 
@@ -207,8 +239,8 @@ def index_sum(spark, folder):
 
 @query
 def normalize_idx(spark, folder):
-    encoded, _ = encode.encode_reviews(reviews(spark, folder))
-    scaled = encoded.select("review_id", arrays.normalize(F.col("features")).alias("scaled"))
+    indexed = vocabulary.index_tokens(*_tokens_and_vocab(spark, folder))
+    scaled = indexed.select("review_id", arrays.normalize(F.col("idx")).alias("scaled"))
     # Millionths as whole numbers, so that engines print them alike.
     millionths = F.transform("scaled", lambda v: F.round(v.cast("double") * 1e6).cast("long"))
     return scaled.select("review_id", _joined(millionths).alias("millionths"))
@@ -357,6 +389,14 @@ def accuracy_eval(spark, folder):
     return _metrics(model.predict(evaluation), "accuracy")
 
 
+@query
+def accuracy_train(spark, folder):
+    """Accuracy over a sample of the training rows."""
+    train, _, _, _ = _parts(spark, folder)
+    model = naive_bayes.fit_naive_bayes(train, 2)
+    return _metrics(model.predict(splitting.sample_rows(train, 0.2)), "accuracy")
+
+
 @query
 def log_loss(spark, folder):
     model, evaluation, _, _ = _bayes(spark, folder)
@@ -389,27 +429,46 @@ def score_batch_udf(spark, folder):
     return scored.select("review_id", *_rounded("probability", "p", 2), "prediction")
 
 
+def _well_formed(scored: DataFrame) -> DataFrame:
+    total = F.aggregate("probability", F.lit(0.0), lambda a, p: a + p)
+    first = F.array_position("probability", F.array_max("probability")) - 1
+    return scored.withColumn("sums_to_one", F.abs(total - 1) < 1e-9).withColumn(
+        "first_largest", F.col("prediction") == first
+    )
+
+
 @query
 def train_lr(spark, folder):
-    train, evaluation, _, _ = _parts(spark, folder)
-    model = spark_ml.fit_logistic_regression(train, 2, VOCAB_SIZE, max_iter=30)
-    return _metrics(model.predict(evaluation), "accuracy", "log_loss")
+    """With a free intercept, mean probabilities over the training rows are the classes' shares."""
+    train, _, _, _ = _parts(spark, folder)
+    model = spark_ml.fit_logistic_regression(train, 2, VOCAB_SIZE, num_partitions=1)
+    scored = stage(model.predict(train), "scored")
+    means = scored.agg(F.avg(F.get("probability", F.lit(0))).alias("m0"), F.avg(F.get("probability", F.lit(1))).alias("m1"))
+    label = labels.class_of(F.col("label_ohe"))
+    per_class = scored.groupBy(label.alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    total = F.sum("n").over(Window.partitionBy())
+    mean = F.when(F.col("class") == 0, F.col("m0")).otherwise(F.col("m1"))
+    near = F.abs(mean - F.col("n") / total) < 1e-3
+    return per_class.crossJoin(F.broadcast(means)).select("class", "n", near.alias("mean_is_share"))
 
 
 @query
 def score_lr(spark, folder):
     train, evaluation, _, _ = _parts(spark, folder)
-    model = spark_ml.fit_logistic_regression(train, 2, VOCAB_SIZE, max_iter=30)
-    return model.predict(evaluation).select(
-        "review_id", *_rounded("probability", "p", 2), "prediction"
-    )
+    model = spark_ml.fit_logistic_regression(train, 2, VOCAB_SIZE, max_iter=30, num_partitions=1)
+    return _well_formed(model.predict(evaluation)).select("review_id", "sums_to_one", "first_largest")
 
 
 @query
 def train_mlp(spark, folder):
+    """Rows scored, whether all are well formed, and whether the fit beats a guess."""
     train, evaluation, _, _ = _parts(spark, folder)
-    model = spark_ml.fit_perceptron(train, 2, max_iter=20)
-    return _metrics(model.predict(evaluation), "accuracy", "log_loss")
+    model = spark_ml.fit_perceptron(train, 2, max_iter=20, num_partitions=8)
+    fitted = evaluate_predictions(model.predict(train)).select((F.col("log_loss") < math.log(2)).alias("beats_guess"))
+    formed = _well_formed(model.predict(evaluation)).agg(
+        F.count(F.lit(1)).alias("n"), F.every(F.col("sums_to_one") & F.col("first_largest")).alias("well_formed")
+    )
+    return formed.crossJoin(F.broadcast(fitted))
 
 
 # Sources and sinks, as round trips through files
@@ -500,10 +559,10 @@ def snk_train_sample(spark, folder):
 def snk_dictionary(spark, folder):
     path = stage_path(spark, "dictionary")
     datasets.write_dictionary(_tokens_and_vocab(spark, folder, 2)[1], path)
-    return spark.read.text(path, wholetext=True).select(
-        F.size(F.json_object_keys("value")).alias("words"),
-        F.length(F.rtrim("value", F.lit("\n"))).alias("characters"),
+    words = spark.read.text(path, wholetext=True).select(
+        F.posexplode(F.json_object_keys("value")).alias("at", "token")
     )
+    return words.select("token", (F.col("at") + 1).alias("idx"))
 
 
 @query
@@ -521,16 +580,22 @@ def snk_predictions(spark, folder):
     return spark.read.text(path).select(F.col("value").alias("line"))
 
 
+@query
+def snk_predictions_binary(spark, folder):
+    path = stage_path(spark, "predictions")
+    model, evaluation, _, _ = _bayes(spark, folder, 2)
+    datasets.write_predictions(model.predict(evaluation), path, num_classes=2)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
 @query
 def snk_model(spark, folder):
     path = stage_path(spark, "model")
     _bayes(spark, folder)[0].save(path)
     prior = spark.read.parquet(f"{path}/prior")
     words = spark.read.parquet(f"{path}/words")
-    per_class = words.groupBy("class").agg(
-        F.count(F.lit(1)).alias("words"), F.sum("n").alias("occurrences")
-    )
-    return per_class.join(prior.select("class", F.col("n").alias("rows")), "class")
+    rows = prior.select("class", F.lit(0).alias("idx"), "n", F.round("log_prior", 6).alias("value"))
+    return rows.union(words.select("class", "idx", "n", F.round("loglik", 6)))
 
 
 @query
@@ -549,26 +614,33 @@ def src_model(spark, folder):
 
 @query
 def job_prepare(spark, folder):
-    prepared = jobs.prepare(
-        reviews(spark, folder), stage_path(spark, "prepare"), 2, sample=0.2, fmt="csv"
-    )
-    sizes = [
-        rows.select(F.lit(name).alias("dataset"), "review_id")
-        for name, rows in (
-            ("train", prepared.train),
-            ("eval", prepared.evaluation),
-            ("test", prepared.test),
+    """Every line of every data set of one preparation run."""
+    out = stage_path(spark, "prepare")
+    jobs.prepare(reviews(spark, folder), out, 2, sample=0.2, fmt="csv")
+
+    def lines(dataset: str, rows: DataFrame, line: Column | str = "value") -> DataFrame:
+        line = F.col(line) if isinstance(line, str) else line
+        return rows.select(F.lit(dataset).alias("dataset"), line.cast("string").alias("line"))
+
+    files = [
+        lines(name, spark.read.text(f"{out}/{path}"))
+        for name, path in (
+            ("train", "train_csv"), ("eval_x", "eval_x"), ("eval_y", "eval_y"), ("sample", "train_sample"),
         )
+    ]
+    test = read_reviews(spark, f"{out}/test_tsv", quote='"', multiline=True)
+    words = read_dictionary(spark, f"{out}/dictionary")
+    found = [
+        *files,
+        lines("test", test, F.concat_ws(",", "review_id", F.md5(F.col("review_body").cast("binary")))),
+        lines("dictionary", words, F.concat_ws(",", F.col("idx").cast("string"), "token")),
     ]
-    every = sizes[0].unionByName(sizes[1]).unionByName(sizes[2])
-    return every.groupBy("dataset").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("review_id").cast("long").alias("ids")
-    )
+    return reduce(DataFrame.unionByName, found)
 
 
 @query
 def job_predict(spark, folder):
     """Stars of all documents as unlabelled reviews; null without known words."""
     model, _, vocab, _ = _bayes(spark, folder, 5)
-    unlabelled = reviews(spark, folder).select("review_id", "review_body")
+    unlabelled = documents(spark, folder).toDF("review_id", "review_body")
     return jobs.predict(model, unlabelled, vocab).select("review_id", "stars")

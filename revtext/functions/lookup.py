@@ -47,8 +47,10 @@ class Lookup:
     def get(self, word: Column) -> Column:
         at = F.crc32(word.cast("binary")) % F.lit(self.cells)
         found = F.element_at(F.get(self._table, at.cast("int")), word)
-        for key, value in self._long.items():
-            found = F.when(word == key, F.lit(value).cast(self._type)).otherwise(found)
+        if self._long:
+            keys, values = F.array(*map(F.lit, self._long)), F.array(*map(F.lit, self._long.values()))
+            long = F.map_from_arrays(keys, values.cast(f"array<{self._type}>"))
+            found = F.when(F.length(word) > MAX_JSON_KEY, F.element_at(long, word)).otherwise(found)
         return found
 
 

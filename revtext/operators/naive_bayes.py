@@ -110,26 +110,27 @@ class NaiveBayesModel:
         return {row["class"]: row.log_prior for row in self.prior.collect()}
 
     def scores_by_join(self, encoded: DataFrame, head: int) -> DataFrame:
-        """Scores for vocabularies of any size; ``review_id`` must identify a row.
+        """Scores for vocabularies of any size, over rows stored with a number of their own.
 
         Frequent words, those up to index ``head``, are scored in place. The
         rarer rest is counted per row and joined with one row per index that
         holds the weights of all classes.
         """
-        classes = range(self.num_classes)
+        classes, columns = range(self.num_classes), encoded.columns
+        encoded = stage(encoded.withColumn("_row", F.monotonically_increasing_id()), "numbered")
         by_index = (
             self.words.where(F.col("idx") > head)
             .groupBy("idx")
             .agg(F.array_sort(F.collect_list(F.struct("class", "loglik"))).alias("weights"))
         )
         rare = F.filter("features", lambda i: i > head)
-        words = encoded.select("review_id", F.explode_outer(rare).alias("idx"))
-        counted = words.where("idx IS NOT NULL").groupBy("review_id", "idx").agg(
+        words = encoded.select("_row", F.explode_outer(rare).alias("idx"))
+        counted = words.where("idx IS NOT NULL").groupBy("_row", "idx").agg(
             F.count(F.lit(1)).alias("times")
         )
         sums = (
             counted.join(by_index, "idx")
-            .groupBy("review_id")
+            .groupBy("_row")
             .agg(
                 *[
                     F.sum(F.col("times") * F.get("weights", F.lit(c))["loglik"]).alias(f"_s{c}")
@@ -139,8 +140,8 @@ class NaiveBayesModel:
         )
         score = self._scores_in_place(head)
         scores = F.array(*[score(c) + F.coalesce(f"_s{c}", F.lit(0.0)) for c in classes])
-        return encoded.join(sums, "review_id", "left").select(
-            *[F.col(c) for c in encoded.columns], scores.alias("scores")
+        return encoded.join(sums, "_row", "left").select(
+            *[F.col(c) for c in columns], scores.alias("scores")
         )
 
     def predict(self, encoded: DataFrame) -> DataFrame:
@@ -161,18 +162,34 @@ def softmax(scores: str) -> Column:
 
 
 def fit_naive_bayes(
-    encoded: DataFrame, num_classes: int = 5, vocab_size: int = VOCAB_SIZE
+    encoded: DataFrame, num_classes: int = 5, vocab_size: int | None = VOCAB_SIZE
 ) -> NaiveBayesModel:
+    """Fit on encoded rows; both parameter tables are stored.
+
+    ``vocab_size`` None takes the largest index of the rows. A larger index
+    than ``vocab_size`` is an error, as its word would have no likelihood.
+    """
     check_classes(num_classes)
     counts = stage(class_word_counts(encoded), "nb-counts")
+    vocab_size = checked_size(counts.agg(F.max("idx")).first()[0], vocab_size)
     return NaiveBayesModel(
-        class_priors(counts, num_classes),
-        word_likelihoods(counts, num_classes, vocab_size),
+        stage(class_priors(counts, num_classes), "nb-prior"),
+        stage(word_likelihoods(counts, num_classes, vocab_size), "nb-words"),
         num_classes,
         vocab_size,
     )
 
 
+def checked_size(largest: int | None, vocab_size: int | None) -> int:
+    """The number of words a model covers, at least the largest index seen."""
+    largest = largest or 0
+    if vocab_size is None:
+        return max(1, largest)
+    if largest > vocab_size:
+        raise ValueError(f"index {largest} is beyond the vocabulary of {vocab_size} words")
+    return vocab_size
+
+
 def load_naive_bayes(spark: SparkSession, path: str) -> NaiveBayesModel:
     prior = spark.read.schema("class int, n long, log_prior double").parquet(f"{path}/prior")
     words = spark.read.schema("class int, idx int, n long, loglik double").parquet(f"{path}/words")

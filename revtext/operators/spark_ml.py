@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revtext.functions.labels import class_of
+from revtext.operators.naive_bayes import checked_size
 from revtext.operators.scoring import add_prediction
 from revtext.schemas import SEED, VOCAB_SIZE, check_classes
 
@@ -19,11 +20,6 @@ from revtext.schemas import SEED, VOCAB_SIZE, check_classes
 EMBEDDING = 128
 HIDDEN = {2: (128, 128), 5: (256, 128)}
 
-# Fewer rows than these do not pay for a task of their own in every pass: sums
-# over sparse counts are cheap, dense layers are not.
-REGRESSION_ROWS_PER_TASK = 20_000
-PERCEPTRON_ROWS_PER_TASK = 500
-
 
 @dataclass
 class SparkMLModel:
@@ -52,33 +48,40 @@ def _words() -> SQLTransformer:
     )
 
 
-def _training_rows(encoded: DataFrame, num_classes: int, rows_per_task: int) -> DataFrame:
+def _training_rows(encoded: DataFrame, num_classes: int, num_partitions: int | None) -> DataFrame:
     """Labelled rows of a stored table for a solver, which keeps its own copy.
 
-    Every pass starts one task per partition, so tiny partitions are merged
-    (without a shuffle); those of a large table stay as they are.
+    Every pass of a solver starts one task per partition: ``num_partitions``
+    merges the tiny ones of a small table without a shuffle, None leaves them.
     """
     label = class_of(F.col("label_ohe")).cast("double")
     # Naming the classes keeps those absent from the training rows.
     nominal = {"ml_attr": {"type": "nominal", "num_vals": check_classes(num_classes)}}
     rows = encoded.select("features", label.alias("label", metadata=nominal))
-    return rows.coalesce(max(1, encoded.count() // rows_per_task))
+    return rows.coalesce(num_partitions) if num_partitions else rows
 
 
 def fit_logistic_regression(
     encoded: DataFrame,
     num_classes: int = 5,
-    vocab_size: int = VOCAB_SIZE,
+    vocab_size: int | None = VOCAB_SIZE,
     max_iter: int = 100,
     tol: float = 1e-6,
     reg: float = 0.01,
+    num_partitions: int | None = None,
 ) -> SparkMLModel:
-    """Logistic regression over word counts."""
+    """Logistic regression over word counts.
+
+    ``vocab_size`` None takes the largest index of the rows; a larger index
+    than ``vocab_size`` is an error.
+    """
+    largest = encoded.agg(F.max(F.array_max("features"))).first()[0]
+    vocab_size = checked_size(largest, vocab_size)
     vocabulary = [str(i) for i in range(1, vocab_size + 1)]
     counts = CountVectorizerModel.from_vocabulary(vocabulary, "words", "counts")
     classifier = LogisticRegression(featuresCol="counts", maxIter=max_iter, tol=tol, regParam=reg)
     pipe = Pipeline(stages=[_words(), counts, classifier])
-    rows = _training_rows(encoded, num_classes, REGRESSION_ROWS_PER_TASK)
+    rows = _training_rows(encoded, num_classes, num_partitions)
     return SparkMLModel(pipe.fit(rows))
 
 
@@ -91,9 +94,14 @@ def fit_perceptron(
     embedding: int = EMBEDDING,
     embedding_iter: int = 1,
     seed: int = SEED,
+    num_partitions: int | None = None,
+    embedding_partitions: int = 1,
 ) -> SparkMLModel:
-    """Perceptron over averaged word vectors learned from the same rows."""
-    cores = encoded.sparkSession.sparkContext.defaultParallelism
+    """Perceptron over averaged word vectors learned from the same rows.
+
+    Vectors are learned in ``embedding_partitions`` parts, whose results are
+    averaged: more are faster and give other vectors, whatever the cluster.
+    """
     classifier = MultilayerPerceptronClassifier(
         featuresCol="vector",
         layers=[embedding, *HIDDEN[check_classes(num_classes)], num_classes],
@@ -102,14 +110,14 @@ def fit_perceptron(
         blockSize=block_size,
         seed=seed,
     )
-    rows = _training_rows(encoded, num_classes, PERCEPTRON_ROWS_PER_TASK)
+    rows = _training_rows(encoded, num_classes, num_partitions)
     vectors = Word2Vec(
         inputCol="words",
         outputCol="vector",
         vectorSize=embedding,
         minCount=1,
         maxIter=embedding_iter,
-        numPartitions=min(cores, rows.rdd.getNumPartitions()),
+        numPartitions=embedding_partitions,
         seed=seed,
     )
     pipe = Pipeline(stages=[_words(), vectors, classifier])

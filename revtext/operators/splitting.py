@@ -6,24 +6,29 @@ partitions and after any retry.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revtext.schemas import EVAL_FRACTION, SEED, TEST_FRACTION
 
-BUCKETS = 10_000
+#: Points a hash may fall on; a part takes a range of them.
+POINTS = 1 << 60
 
 
-def bucket(key: Column, seed: int = SEED, use: str = "split") -> Column:
-    """Bucket 0..9999 of a key; another ``use`` gives independent buckets."""
+def point(key: Column, seed: int = SEED, use: str = "split") -> Column:
+    """Point of a key, 0 to ``POINTS`` - 1; another ``use`` gives independent points."""
     digest = F.md5(F.concat_ws(":", F.lit(use), F.lit(str(seed)), key.cast("string")))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % BUCKETS
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
-def _rows(fraction: float) -> int:
-    if not 0 <= fraction <= 1:
-        raise ValueError("a fraction lies between 0 and 1")
-    return round(fraction * BUCKETS)
+def _first(*held_back: float | None) -> int:
+    """The first point behind those that are not held back."""
+    parts = [Fraction(str(f or 0)) for f in held_back]
+    if min(parts) < 0 or sum(parts) > 1:
+        raise ValueError("fractions lie between 0 and 1, and so does their sum")
+    return int((1 - sum(parts)) * POINTS)
 
 
 def part_of(
@@ -33,9 +38,8 @@ def part_of(
     seed: int = SEED,
 ) -> Column:
     """``train``, ``eval`` or ``test``: the part a key falls into."""
-    first_test = BUCKETS - _rows(test or 0)
-    first_eval = first_test - _rows(evaluation)
-    at = bucket(key, seed)
+    first_eval, first_test = _first(test, evaluation), _first(test)
+    at = point(key, seed)
     return F.when(at < first_eval, "train").when(at < first_test, "eval").otherwise("test")
 
 
@@ -56,7 +60,7 @@ def split_test(
     if not hashed:
         work, held_out = df.randomSplit([1 - test, test], seed)
         return work, held_out
-    held_out = bucket(F.col(key), seed) >= BUCKETS - _rows(test)
+    held_out = point(F.col(key), seed) >= _first(test)
     return df.where(~held_out), df.where(held_out)
 
 
@@ -72,8 +76,7 @@ def split_train_eval(
     if not hashed:
         train, held_back = df.randomSplit([1 - (test or 0) - evaluation, evaluation], seed)
         return train, held_back
-    first_eval = BUCKETS - _rows(test or 0) - _rows(evaluation)
-    in_eval = bucket(F.col(key), seed) >= first_eval
+    in_eval = point(F.col(key), seed) >= _first(test, evaluation)
     return df.where(~in_eval), df.where(in_eval)
 
 
@@ -87,4 +90,4 @@ def sample_rows(
     """Bernoulli sample without replacement, independent of the splits."""
     if not hashed:
         return df.sample(False, fraction, seed)
-    return df.where(bucket(F.col(key), seed, "sample") < _rows(fraction))
+    return df.where(point(F.col(key), seed, "sample") < POINTS - _first(fraction))

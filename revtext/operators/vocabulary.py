@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from revtext.functions.arrays import has_known_word, pad_trim
 from revtext.functions.lookup import MAX_ENTRIES, Lookup
 from revtext.schemas import FIRST_INDEX, MAX_LEN, OOV, VOCAB_SIZE
+from revtext.storage import stage
 
 # Copies of each dictionary row, and so of tasks sharing one word, in a
 # shuffled index join.
@@ -26,12 +27,27 @@ def vocabulary(counts: DataFrame, size: int = VOCAB_SIZE) -> DataFrame:
     """The ``size`` most frequent words with indices 1, 2, ... by rank.
 
     Equal counts are ordered by word, so indices do not depend on how the
-    data is partitioned. Each task keeps its own top ``size`` and one task
-    ranks those: at most tasks x ``size`` rows reach it, whatever the corpus.
+    data is partitioned. A histogram of the counts gives the least count that
+    can be needed; only words that reach it are dealt by range and ranked
+    within their range, behind the sizes of the ranges before. One task sees a
+    row per distinct count, and a row per range.
     """
-    top = counts.orderBy(F.desc("n"), F.asc("token")).limit(size)
-    rank = F.row_number().over(Window.orderBy(F.desc("n"), F.asc("token")))
-    return top.select("token", "n", (rank + (FIRST_INDEX - 1)).alias("idx"))
+    counts = stage(counts, "term-counts")
+    per_count = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words"))
+    falling = Window.orderBy(F.desc("n"))
+    reached = per_count.select("n", (F.sum("words").over(falling) - F.col("words")).alias("before"))
+    least = reached.where(F.col("before") < size).agg(F.min("n")).first()[0]
+    order = (F.desc("n"), F.asc("token"))
+    kept = counts.where(F.col("n") >= F.lit(least)).repartitionByRange(*order)
+    kept = stage(kept.withColumn("range", F.spark_partition_id()), "ranges")
+    sizes = kept.groupBy("range").agg(F.count(F.lit(1)).alias("words"))
+    ahead = F.sum("words").over(Window.orderBy("range")) - F.col("words")
+    # As many rows as the range exchange had partitions.
+    ahead = F.broadcast(sizes.select("range", ahead.alias("ahead")))
+    rank = F.row_number().over(Window.partitionBy("range").orderBy(*order))
+    ranked = kept.withColumn("rank", rank).join(ahead, "range")
+    idx = (F.col("ahead") + F.col("rank") + (FIRST_INDEX - 1)).cast("int")
+    return ranked.select("token", "n", idx.alias("idx")).where(F.col("idx") < size + FIRST_INDEX)
 
 
 def vocabulary_lookup(vocab: DataFrame) -> Lookup | None:
@@ -86,9 +102,10 @@ def _features(
     lookup = vocabulary_lookup(vocab)
     if lookup is None:
         idx = F.col("idx")
-        return index_by_join(df, vocab, tokens), pad_trim(idx, length), has_known_word(idx)
+        known = F.coalesce(has_known_word(idx), F.lit(False))
+        return index_by_join(df, vocab, tokens), pad_trim(idx, length), known
     head = F.transform(F.slice(tokens, 1, length), lambda t: word_index(lookup, t))
-    known = F.exists(tokens, lambda t: lookup.get(t).isNotNull())
+    known = F.coalesce(F.exists(tokens, lambda t: word_index(lookup, t) > OOV), F.lit(False))
     return df, pad_trim(head, length), known
 
 
@@ -96,17 +113,18 @@ def index_by_join(
     df: DataFrame,
     vocab: DataFrame,
     tokens: str = "tokens",
-    key: str = "review_id",
     head: int | None = None,
 ) -> DataFrame:
-    """Index words by dictionaries of any size; ``key`` must identify a row.
+    """Index words by dictionaries of any size.
 
-    The ``head`` lowest indices, which belong to the most frequent words, are
+    Rows are stored with a number of their own first, so that the text work is
+    done once and keys may be null, repeated or missing. The ``head`` lowest indices, which belong to the most frequent words, are
     still looked up in place. Only other words are joined, and only those the
     join finds are brought back. A frequent word outside the dictionary is
     spread over ``SALTS`` copies of each row it is compared with.
     """
-    head = MAX_ENTRIES if head is None else head
+    head, key, columns = MAX_ENTRIES if head is None else head, "_row", df.columns
+    df = stage(df.withColumn(key, F.monotonically_increasing_id()), "numbered")
     frequent = vocab.where(F.col("idx") <= head).select("token", "idx").collect()
     lookup = Lookup({row.token: row.idx for row in frequent}, "int")
     # Negated, so that sorting puts an index before the 0 of its position.
@@ -124,11 +142,11 @@ def index_by_join(
     found = joined.groupBy(key).agg(F.collect_list(F.struct("pos", "neg")).alias("found"))
 
     none = F.array().cast("array<struct<pos:int,neg:int>>")
-    at = F.array_sort(F.concat(F.coalesce(in_place, none), F.coalesce("found", none)))
+    at = F.array_sort(F.concat(in_place, F.coalesce("found", none)))
     merged = df.join(found, key, "left").withColumn("found", at)
     first = F.filter(
         "found",
         lambda x, i: (i == 0) | (F.get("found", i - 1)["pos"] != x["pos"]),
     )
     idx = F.transform(first, lambda x: -x["neg"])
-    return merged.select(*[F.col(c) for c in df.columns], idx.alias("idx"))
+    return merged.select(*[F.col(c) for c in columns], idx.alias("idx"))

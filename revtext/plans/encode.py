@@ -61,9 +61,11 @@ def review_tokens(
     return reviews.select(*kept, tokens.alias("tokens"))
 
 
-def build_vocabulary(tokens: DataFrame, size: int = VOCAB_SIZE) -> DataFrame:
+def build_vocabulary(
+    tokens: DataFrame, size: int = VOCAB_SIZE, path: str | None = None
+) -> DataFrame:
     """The vocabulary as a stored table, so later plans do not count again."""
-    return stage(vocabulary(term_counts(tokens), size).coalesce(1), "vocab")
+    return stage(vocabulary(term_counts(tokens), size), "vocab", path)
 
 
 def add_label(encoded: DataFrame, num_classes: int) -> DataFrame:

@@ -44,6 +44,8 @@ class Prepared:
     test: DataFrame | None
     vocab: DataFrame
     num_classes: int
+    vocab_size: int
+    train_sample: DataFrame | None = None
 
 
 def prepare(
@@ -80,7 +82,7 @@ def prepare(
         partition_by="part",
     )
     fit_rows = tokens.where("part = 'train'") if vocab_from_train_only else tokens
-    vocab = build_vocabulary(fit_rows, vocab_size)
+    vocab = build_vocabulary(fit_rows, vocab_size, f"{out}/vocab")
 
     encoded = add_label(encode_tokens(tokens, vocab, max_len).drop("tokens"), num_classes)
     train_rows, eval_rows = (
@@ -91,25 +93,28 @@ def prepare(
     if fmt == "csv":
         write_encoded(train_rows, f"{out}/train_csv", num_classes, "csv", max_len)
         write_xy_csv(eval_rows, f"{out}/eval_x", f"{out}/eval_y", num_classes, max_len)
-    if sample > 0:
-        picked = sample_rows(train_rows, sample, seed)
+    picked = sample_rows(train_rows, sample, seed) if sample > 0 else None
+    if picked is not None:
         write_encoded(picked, f"{out}/train_sample", num_classes, fmt, max_len)
     if held_out is not None:
+        held_out = stage(held_out, "test", f"{out}/test")
         if fmt == "csv":
             write_raw_reviews(held_out, f"{out}/test_tsv")
-        held_out = stage(held_out, "test", f"{out}/test")
-    return Prepared(train_rows, eval_rows, held_out, vocab, num_classes)
+    return Prepared(train_rows, eval_rows, held_out, vocab, num_classes, vocab_size, picked)
 
 
 def train(
     encoded: DataFrame,
     algo: str = "nb",
     num_classes: int = 5,
-    vocab_size: int = VOCAB_SIZE,
+    vocab_size: int | None = None,
     path: str | None = None,
     **params,
 ) -> Model:
-    """Fit ``nb``, ``lr`` or ``mlp`` on encoded rows and save it under ``path``."""
+    """Fit ``nb``, ``lr`` or ``mlp`` on encoded rows and save it under ``path``.
+
+    Pass ``vocab_size`` of the preparation; None takes the largest index seen.
+    """
     if algo == "nb":
         model: Model = fit_naive_bayes(encoded, num_classes, vocab_size, **params)
     elif algo == "lr":
@@ -131,7 +136,9 @@ def evaluate(model: Model, encoded: DataFrame, out: str | None = None) -> DataFr
     """One row of ``n``, ``accuracy`` and ``log_loss`` over encoded rows."""
     scored = model.predict(encoded)
     if out:
-        write_predictions(scored, out, keyed="review_id" in scored.columns)
+        scored = stage(scored, "predictions")
+        row = scored.select(F.size("label_ohe").alias("classes")).first()
+        write_predictions(scored, out, "review_id" in scored.columns, row.classes if row else 5)
     return evaluate_predictions(scored)
 
 
@@ -172,7 +179,8 @@ def predict(
         F.when(known, F.col("prediction")).alias("prediction"),
     )
     if out:
-        write_predictions(scored, out)
+        scored = stage(scored, "predictions")
+        write_predictions(scored, out, num_classes=num_classes)
     if num_classes == 2:
         return scored.withColumn("label", class_name(F.col("prediction")))
     return scored.withColumn("stars", stars_of(F.col("prediction")))

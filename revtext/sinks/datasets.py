@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revtext.functions.arrays import flat_row
+from revtext.functions.labels import class_name, stars_of
 from revtext.schemas import MAX_LEN, check_classes
 
 
@@ -78,8 +79,14 @@ def write_dictionary(vocab: DataFrame, path: str) -> None:
     document.coalesce(1).write.mode("overwrite").text(path)
 
 
-def write_predictions(predictions: DataFrame, path: str, keyed: bool = True) -> None:
-    """Predicted class + 1 per row, headerless; rows without one are empty."""
+def write_predictions(
+    predictions: DataFrame, path: str, keyed: bool = True, num_classes: int = 5
+) -> None:
+    """Predicted stars per row, or class and name for two classes; headerless, empty without one."""
     key = ["review_id"] if keyed else []
-    stars = predictions.select(*key, (F.col("prediction") + 1).alias("stars"))
-    stars.write.mode("overwrite").csv(path, sep=",", header=False)
+    found = F.col("prediction")
+    if check_classes(num_classes) == 2:
+        said = [found.alias("class"), class_name(found).alias("name")]
+    else:
+        said = [stars_of(found).alias("stars")]
+    predictions.select(*key, *said).write.mode("overwrite").csv(path, sep=",", header=False)

@@ -19,7 +19,7 @@ def read_verb_lexicon(spark: SparkSession, index_path: str, exceptions_path: str
     index = spark.read.text(index_path).where(~F.col("value").startswith(" "))
     lemmas = index.select(fields[0].alias("lemma")).where(~F.rlike("lemma", F.lit("[-_]")))
     listed = spark.read.text(exceptions_path).where(F.size(fields) > 1)
-    rows = listed.select(fields[0].alias("form"), F.slice(fields, 2, 9).alias("lemmas")).collect()
+    rows = listed.select(fields[0].alias("form"), F.slice(fields, F.lit(2), F.size(fields)).alias("lemmas")).collect()
     return VerbLemmatizer(
         [row.lemma for row in lemmas.collect()], {row.form: tuple(row.lemmas) for row in rows}
     )
