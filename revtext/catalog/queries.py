@@ -559,10 +559,8 @@ def snk_train_sample(spark, folder):
 def snk_dictionary(spark, folder):
     path = stage_path(spark, "dictionary")
     datasets.write_dictionary(_tokens_and_vocab(spark, folder, 2)[1], path)
-    words = spark.read.text(path, wholetext=True).select(
-        F.posexplode(F.json_object_keys("value")).alias("at", "token")
-    )
-    return words.select("token", (F.col("at") + 1).alias("idx"))
+    entry = F.concat(F.lit("{"), F.btrim("value", F.lit("{},")), F.lit("}"))
+    return spark.read.text(path).select(F.explode(F.from_json(entry, "map<string,int>")).alias("token", "idx"))
 
 
 @query

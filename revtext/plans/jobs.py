@@ -48,6 +48,20 @@ class Prepared:
     train_sample: DataFrame | None = None
 
 
+def keyed(reviews: DataFrame, key: str | None = "review_id", path: str | None = None) -> DataFrame:
+    """Reviews with the key ``review_id``: the column ``key``, or a number stored with the rows.
+
+    Generated numbers are written down once, so that every later step and
+    every retry sees the same.
+    """
+    if key and key in reviews.columns:
+        return reviews.withColumnRenamed(key, "review_id")
+    if key and key != "review_id":
+        raise ValueError(f"no column {key}")
+    numbered = reviews.withColumn("review_id", F.monotonically_increasing_id())
+    return stage(numbered, "keyed", path)
+
+
 def prepare(
     reviews: DataFrame,
     out: str,
@@ -62,15 +76,19 @@ def prepare(
     vocab_from_train_only: bool = False,
     stop_words: Iterable[str] = STOP_WORDS,
     lemmatizer: VerbLemmatizer | None = None,
+    key: str | None = "review_id",
 ) -> Prepared:
     """Encode labelled reviews and write every data set under ``out``.
 
+    ``key`` names the column that identifies a review. Without one, rows are
+    numbered and stored under ``out``.
+
     ``train``, ``eval`` (``eval_x`` and ``eval_y`` as CSV), raw ``test`` rows,
     ``dictionary`` and, for ``sample`` above 0, ``train_sample``. Held-out test
     rows never shape the vocabulary; evaluation rows do unless
     ``vocab_from_train_only``.
     """
-    labelled = keep_labelled(reviews, num_classes)
+    labelled = keep_labelled(keyed(reviews, key, f"{out}/keyed"), num_classes)
     work, held_out = split_test(labelled, test, seed)
     # Stored by part, so that each part is read once and its small files are
     # packed into full tasks.
@@ -163,6 +181,7 @@ def predict(
     num_classes: int = 5,
     max_len: int = MAX_LEN,
     out: str | None = None,
+    key: str | None = "review_id",
     **text_options,
 ) -> DataFrame:
     """Score unlabelled raw reviews, one output row per input row.
@@ -170,6 +189,7 @@ def predict(
     Rows without any known word get a null prediction. Binary predictions are
     named; five-class ones are given as stars.
     """
+    reviews = keyed(reviews, key)
     tokens = review_tokens(reviews.select("review_id", "review_body"), **text_options)
     encoded = flag_tokens(tokens, vocab, max_len).drop("tokens")
     known = F.col("known")

@@ -72,11 +72,19 @@ def write_raw_reviews(reviews: DataFrame, path: str, quote: str = '"') -> None:
 
 
 def write_dictionary(vocab: DataFrame, path: str) -> None:
-    """The vocabulary as one JSON object of word to index."""
-    entries = F.collect_list(F.struct("idx", "token"))
-    by_index = F.transform(F.array_sort(entries), lambda e: F.struct(e["token"], e["idx"]))
-    document = vocab.agg(F.to_json(F.map_from_entries(by_index)).alias("value"))
-    document.coalesce(1).write.mode("overwrite").text(path)
+    """The vocabulary as a JSON object of word to index, an entry per line in index order.
+
+    Lines are dealt by index, so a dictionary of any size is written by many
+    tasks; its part files, one behind the other, are the one JSON document.
+    """
+    ends = vocab.agg(F.min("idx").alias("first"), F.max("idx").alias("last")).first()
+    # The only entry of an object, without its braces.
+    entry = F.to_json(F.create_map("token", "idx"))
+    entry = F.substr(entry, F.lit(2), F.length(entry) - 2)
+    opening = F.when(F.col("idx") == F.lit(ends.first), "{").otherwise(",")
+    closing = F.when(F.col("idx") == F.lit(ends.last), "}").otherwise("")
+    lines = vocab.repartitionByRange("idx").sortWithinPartitions("idx")
+    lines.select(F.concat(opening, entry, closing).alias("value")).write.mode("overwrite").text(path)
 
 
 def write_predictions(

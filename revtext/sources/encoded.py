@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from revtext.schemas import MAX_LEN, check_classes, wide_schema
+from revtext.storage import stage
+
+#: Input splits whose row numbers are sent to every task, about 100 bytes each.
+BROADCAST_SPLITS = 500_000
 
 
 def _array(first: int, last: int) -> Column:
@@ -68,7 +72,8 @@ def with_line_number(scan: DataFrame, name: str = "line") -> DataFrame:
     """Number the rows of a file scan in file order, from 0.
 
     Rows are numbered within each input split; only one row per split is
-    counted up globally, so no task sees more than the splits' sizes.
+    counted up globally, so no task sees more than the splits' sizes. These
+    are broadcast, unless there are over ``BROADCAST_SPLITS``.
     """
     order = Window.orderBy("path", "start")
     numbered = scan.select(
@@ -80,6 +85,8 @@ def with_line_number(scan: DataFrame, name: str = "line") -> DataFrame:
     splits = numbered.groupBy("path", "start").agg(
         F.count(F.lit(1)).alias("rows"), F.min("serial").alias("first")
     )
+    splits = stage(splits, "splits")
+    few = splits.count() <= BROADCAST_SPLITS
     offsets = splits.select(
         "path",
         "start",
@@ -87,6 +94,7 @@ def with_line_number(scan: DataFrame, name: str = "line") -> DataFrame:
         (F.sum("rows").over(order) - F.col("rows")).alias("offset"),
     )
     line = F.col("offset") + F.col("serial") - F.col("first")
+    offsets = F.broadcast(offsets) if few else offsets
     return numbered.join(offsets, ["path", "start"]).select(
         *[F.col(c) for c in scan.columns], line.alias(name)
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from revtext.storage import spread
+
 
 def read_reviews(
     spark: SparkSession,
@@ -20,6 +22,8 @@ def read_reviews(
     data infers them and one bad line cannot turn ratings into text. Quoting is
     off by default: a body that opens a quote must not swallow its neighbours.
     ``quote='"'`` with ``multiline`` reads what ``write_raw_reviews`` wrote.
+    A compressed or multi-line file can't be split, so rows of such files are
+    dealt over all cores before any text work, where they are too few.
     """
     raw = spark.read.csv(
         path,
@@ -32,6 +36,8 @@ def read_reviews(
         ignoreLeadingWhiteSpace=False,
         ignoreTrailingWhiteSpace=False,
     )
+    if multiline or path.endswith((".gz", ".bz2", ".zst")):
+        raw = spread(raw)
     raw = raw.withColumnRenamed(body, "review_body")
     if star in raw.columns:
         raw = raw.withColumn(star, F.col(star).try_cast("int"))

@@ -45,8 +45,8 @@ def stage(
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(scan: DataFrame, key: str) -> DataFrame:
-    """Hash a scan over all cores, but only when its splits are too few.
+def spread(scan: DataFrame, key: str | None = None) -> DataFrame:
+    """Deal a scan over all cores, by ``key`` if given, but only when its splits are too few.
 
     Text work is CPU-bound, so one small file read by one task leaves the other
     cores idle. A large table already has more splits than cores and stays
@@ -55,4 +55,4 @@ def spread(scan: DataFrame, key: str) -> DataFrame:
     cores = scan.sparkSession.sparkContext.defaultParallelism
     if scan.rdd.getNumPartitions() >= cores:
         return scan
-    return scan.repartition(cores, F.col(key))
+    return scan.repartition(cores, *([F.col(key)] if key else []))

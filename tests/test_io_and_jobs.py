@@ -1,6 +1,7 @@
 """Files in and out, and the jobs end to end."""
 
 import json
+import os
 from pathlib import Path
 
 import pytest
@@ -108,9 +109,10 @@ def test_dictionary_round_trip(spark, tmp_path):
     )
     path = str(tmp_path / "dictionary")
     datasets.write_dictionary(vocab, path)
-    (line,) = lines(path)
-    assert json.loads(line) == {w: i + 1 for i, w in enumerate(words)}
-    assert list(json.loads(line)) == words
+    parts = sorted(p for p in os.listdir(path) if p.startswith("part-"))
+    document = "".join((tmp_path / "dictionary" / p).read_text() for p in parts)
+    assert json.loads(document) == {w: i + 1 for i, w in enumerate(words)}
+    assert list(json.loads(document)) == words
     got = read_dictionary(spark, path)
     assert {r.token: r.idx for r in got.collect()} == {w: i + 1 for i, w in enumerate(words)}
     pretty = tmp_path / "pretty.json"
