@@ -29,10 +29,12 @@ CHAR_BITS = 14
 WORD_CHARS = 24
 #: Bounds of the labelled sample: texts and bytes of each class.
 SAMPLE_TEXTS = 2_500
-SAMPLE_BYTES = 4 << 20
-EPOCHS, BATCH, RATE = 3, 128, 4e-3
+SAMPLE_BYTES = 2 << 20
+EPOCHS, BATCH, RATE = 2, 128, 4e-3
+#: Windows of label 0 trained on for each of label 1.
+CLEAN_WINDOWS = 2
 #: A small sample is gone through more often, for this many steps.
-LEAST_STEPS = 250
+LEAST_STEPS = 200
 #: Words whose gate inputs a worker keeps, and windows scored at once.
 KEPT_WORDS = 150_000
 SCORED = 512
@@ -325,12 +327,12 @@ def train(sample: list[tuple[bytes, int]], share: float | None = None, seed: int
     windows = np.concatenate(parts)
     used = learn[owner]
     target = labels[owner].copy()
-    # Toxic windows are few beside clean ones: as many of either are trained on.
+    # Toxic windows are few beside clean ones, of which a share is enough.
     rng = np.random.default_rng(seed)
 
     def chosen() -> np.ndarray:
         yes, no = np.flatnonzero(used & (target > 0)), np.flatnonzero(used & (target == 0))
-        return np.concatenate([yes, rng.permutation(no)[: max(3 * len(yes), 200)]])
+        return np.concatenate([yes, rng.permutation(no)[: max(CLEAN_WINDOWS * len(yes), 200)]])
 
     pick = chosen()
     _fit_windows(net, windows[pick], target[pick], table, EPOCHS, seed)
