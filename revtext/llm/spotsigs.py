@@ -131,17 +131,18 @@ def edited_and_next(docs: DataFrame) -> DataFrame:
         known = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
         return [known.alias(f"{prefix}_id"), F.col(doc_id).isNull().alias(f"{prefix}_null"), F.col(h).alias(f"{prefix}_h")]
 
-    keyed = docs.select("doc_id", "text", *key("d", "doc_id", "h"))
+    # Both joins take the same columns of this, so that Spark exchanges the texts once.
+    keyed = docs.select("text", *key("d", "doc_id", "h"))
     quarter = F.floor(F.col("n_chars") / 4).cast("int").alias("quarter")
-    order = order.select(quarter, *key("k", "doc_id", "h"), *key("n", "next_id", "next_h"))
+    order = order.select("doc_id", quarter, *key("k", "doc_id", "h"), *key("n", "next_id", "next_h"))
     parts = ("id", "null", "h")
     reached = order.join(keyed, [F.col(f"n_{p}") == F.col(f"d_{p}") for p in parts])
     own = [f"k_{p}" for p in parts]
     pieces = reached.select(
-        *own, "quarter", F.left("text", F.col("quarter")).alias("piece"), signatures(F.col("text")).alias("next_set")
+        *own, "doc_id", "quarter", F.left("text", F.col("quarter")).alias("piece"), signatures(F.col("text")).alias("next_set")
     )
     # A next document that occurs repeatedly gives one piece.
-    pieces = pieces.groupBy(*own).agg(*(F.first(c).alias(c) for c in ("quarter", "piece", "next_set")))
+    pieces = pieces.groupBy(*own).agg(*(F.first(c).alias(c) for c in ("doc_id", "quarter", "piece", "next_set")))
     joined = pieces.join(keyed, [F.col(f"k_{p}") == F.col(f"d_{p}") for p in parts])
     n = F.length("text")
     texts = joined.select(
