@@ -9,16 +9,18 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
-#: Pieces kept by one worker, and the longest piece that is kept.
-CACHE_ENTRIES = 400_000
+#: Pieces of one generation of the cache; two are kept. Longer pieces are not.
+CACHE_ENTRIES = 250_000
 CACHE_CHARS = 40
-#: New pieces encoded in one call.
-CHUNK = 2_000
+#: Punctuation that may follow a word; the pre-tokenizer parts it from letters.
+TAIL = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
 
 _spaces_meet = re.compile(r" \s|\s ").search
+_space = re.compile(r"\s").search
 _safe_cut = re.compile(r"(?<=\S) (?=\S)").split
 
 _encoders: dict[str, Encoder] = {}
@@ -44,64 +46,69 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        size = self.tokenizer.get_vocab_size()
-        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-        self.opens = np.zeros(size, bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.opens[i] = token.startswith("Ġ")
-        self.cache: dict[str, bytes] = {}
+        self.size = self.tokenizer.get_vocab_size()
+        self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
+        # The byte-level alphabet: bytes without a visible character stand 256 and up.
+        hidden = [*range(33), *range(127, 161), 173]
+        self.shown = {b: 256 + i for i, b in enumerate(hidden)}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, without special tokens."""
-        if len(self.cache) > CACHE_ENTRIES:
-            self.cache.clear()
-        known = self.cache.get
-        heads, rows, new = [], [], set()
+        if len(self.recent) > CACHE_ENTRIES:
+            self.older, self.recent = self.recent, {}
+        known, out = self.recent.get, []
         for text in texts:
             pieces = _safe_cut(text) if _spaces_meet(text) else text.split(" ")
-            heads.append(pieces[0])
             found = list(map(known, pieces))
+            found[0] = self._head(pieces[0])
             if None in found:
-                new.update(p for p, ids in zip(pieces, found, strict=True) if ids is None)
-            rows.append((pieces, found))
-        fresh = self._encode_new([*new])
-        starts = self._one_by_one(heads)
-        out = []
-        for head, (pieces, found) in zip(starts, rows, strict=True):
-            if None in found:
-                found = [
-                    fresh[p] if ids is None else ids
-                    for p, ids in zip(pieces, found, strict=True)
-                ]
-            found[0] = head
+                for i, ids in enumerate(found):
+                    if ids is None:
+                        found[i] = self._after_space(pieces[i])
             out.append(np.frombuffer(b"".join(found), self.dtype))
         return out
 
-    def _bytes(self, ids) -> bytes:
-        return np.asarray(ids, self.dtype).tobytes()
-
-    def _one_by_one(self, pieces: list[str]) -> list[bytes]:
-        batch = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [self._bytes(e.ids) for e in batch]
-
-    def _encode_new(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of pieces that follow a space. Plain ones are encoded as one text and cut at its spaces."""
-        plain = [p for p in pieces if p and " " not in p and p == p.strip()]
-        rest = [p for p in pieces if not (p and " " not in p and p == p.strip())]
-        out = dict(zip(rest, self._one_by_one([f" {p}" for p in rest]), strict=True))
-        for at in range(0, len(plain), CHUNK):
-            part = plain[at : at + CHUNK]
-            text = " " + " ".join(part)
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
-            begin = np.flatnonzero(self.opens[ids])
-            if len(begin) == len(part) and begin[0] == 0:
-                raw, width = self._bytes(ids), self.dtype.itemsize
-                ends = [*(begin[1:] * width).tolist(), len(raw)]
-                out.update(
-                    (p, raw[a:b])
-                    for p, a, b in zip(part, (begin * width).tolist(), ends, strict=True)
-                )
-            else:
-                out.update(zip(part, self._one_by_one([f" {p}" for p in part]), strict=True))
-        self.cache.update((p, ids) for p, ids in out.items() if len(p) <= CACHE_CHARS)
-        return out
+    def _bytes(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes()
+
+    def _head(self, piece: str) -> bytes:
+        """Ids of a piece that no space precedes."""
+        ids = self.heads.get(piece)
+        if ids is None:
+            ids = self._split(piece, "")
+            if len(piece) <= CACHE_CHARS:
+                if len(self.heads) > CACHE_ENTRIES // 5:
+                    self.heads.clear()
+                self.heads[piece] = ids
+        return ids
+
+    def _after_space(self, piece: str) -> bytes:
+        """Ids of a piece and the space before it."""
+        ids = self.recent.get(piece) or self.older.get(piece) or self._split(piece, " ")
+        if len(piece) <= CACHE_CHARS:
+            self.recent[piece] = ids
+        return ids
+
+    def _split(self, piece: str, space: str) -> bytes:
+        """A word, its punctuation and what follows a line end are units apart; anything else stays whole."""
+        word = piece.rstrip(TAIL)
+        if word.isalpha() and len(word) <= CACHE_CHARS:
+            if len(word) == len(piece):
+                return self._word(word, "Ġ" if space else "")
+            own = self._after_space(word) if space else self._head(word)
+            return own + self._head(piece[len(word) :])
+        lines = piece.split("\n")
+        if len(lines) > 1 and all(x and not _space(x) for x in lines):
+            first = self._after_space(lines[0]) if space else self._head(lines[0])
+            return self._head("\n").join([first, *map(self._head, lines[1:])])
+        return self._bytes(self.tokenizer.encode(space + piece, add_special_tokens=False).ids)
+
+    def _word(self, word: str, start: str) -> bytes:
+        """Ids of letters, with a space before them or not, which are one unit of the pre-tokenizer."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.shown)
+        return self._bytes([t.id for t in self.tokenizer.model.tokenize(start + word)])
