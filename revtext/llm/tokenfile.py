@@ -6,6 +6,7 @@ that number less one, four values to a control byte, first value in the low
 bits. A block is a row of a Parquet file and holds whole documents:
 
 ``part, block``  place of the block: parts ascend, and blocks within a part
+``first``  ids of the part before the block
 ``doc_ids, lengths``  of its documents, in order
 ``control, data``  the bytes of all ids of its documents
 
@@ -82,7 +83,7 @@ def frequency_ranks(encoded: DataFrame, path: str) -> np.ndarray:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        counts = np.zeros(len(enc.opens), np.int64)
+        counts = np.zeros(enc.size, np.int64)
         for batch in batches:
             joined = np.frombuffer(b"".join(batch.column(0).to_pylist()), enc.dtype)
             counts += np.bincount(joined, minlength=len(counts))
@@ -91,7 +92,7 @@ def frequency_ranks(encoded: DataFrame, path: str) -> np.ndarray:
 
     counts = map_batches(encoded.select("ids"), work, "id long, n long")
     rows = counts.groupBy("id").agg(F.sum("n").alias("n")).collect()  # one per vocabulary entry at most
-    totals = np.zeros(len(encoder(path).opens), np.int64)
+    totals = np.zeros(encoder(path).size, np.int64)
     for row in rows:
         totals[row.id] = row.n
     return np.argsort(-totals, kind="stable")
@@ -116,16 +117,17 @@ def write_token_files(
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dtype, part, block = encoder(path).dtype, TaskContext.get().partitionId(), 0
-        keys, rows, size = [], [], 0
+        keys, rows, size, first = [], [], 0, 0
 
         def close(kind: pa.DataType) -> pa.RecordBatch:
             joined = np.concatenate(rows)
             control, data = encode_values(table.value[joined])
-            names = ["part", "block", "doc_ids", "lengths", "control", "data"]
+            names = ["part", "block", "first", "doc_ids", "lengths", "control", "data"]
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([part], pa.int64()),
                     pa.array([block], pa.int64()),
+                    pa.array([first], pa.int64()),
                     pa.array([keys], pa.list_(kind)),
                     pa.array([[len(r) for r in rows]], pa.list_(pa.int64())),
                     pa.array([control], pa.binary()),
@@ -141,7 +143,7 @@ def write_token_files(
                 ids = np.frombuffer(raw, dtype)
                 if rows and size + len(ids) > BLOCK_IDS:
                     yield close(kind)
-                    block, keys, rows, size = block + 1, [], [], 0
+                    block, first, keys, rows, size = block + 1, first + size, [], [], 0
                 keys.append(key)
                 rows.append(ids)
                 size += len(ids)
@@ -152,7 +154,7 @@ def write_token_files(
     blocks = map_batches(
         ordered,
         work,
-        f"part long, block long, doc_ids array<{id_type}>, lengths array<bigint>, "
+        f"part long, block long, first long, doc_ids array<{id_type}>, lengths array<bigint>, "
         "control binary, data binary",
     )
     blocks.write.parquet(f"{out}/blocks")
@@ -171,15 +173,11 @@ def read_token_files(spark: SparkSession, out: str) -> DataFrame:
         id_of[row.rank] = row.id
     table = spark.sparkContext.broadcast(id_of)
     size = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)
-    sizes = blocks.select("part", "block", size.alias("n"))
-    before = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per part: as many as the range exchange had partitions.
-    parts = sizes.groupBy("part").agg(F.sum("n").alias("n"))
-    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # A row per part; there are as many as the range exchange had partitions.
+    parts = blocks.groupBy("part").agg(F.max(F.col("first") + size).alias("n"))
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow - 1)
     parts = parts.select("part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
-    within = F.coalesce(F.sum("n").over(before), F.lit(0))
-    starts = sizes.select("part", "block", within.alias("within")).join(parts, "part")
-    starts = starts.select("part", "block", (F.col("within") + F.col("ahead")).alias("start"))
+    start = (F.col("first") + F.col("ahead")).alias("start")
     id_type = blocks.schema["doc_ids"].dataType.elementType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,9 +197,9 @@ def read_token_files(spark: SparkSession, out: str) -> DataFrame:
                     ["doc_id", "start", "ids"],
                 )
 
-    placed = blocks.join(starts, ["part", "block"])
+    placed = blocks.join(F.broadcast(parts), "part")
     return map_batches(
-        placed.select("doc_ids", "lengths", "control", "data", "start"),
+        placed.select("doc_ids", "lengths", "control", "data", start),
         work,
         f"doc_id {id_type}, start long, ids binary",
     )
