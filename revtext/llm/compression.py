@@ -8,6 +8,7 @@ dictionaries have not seen.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,6 +23,8 @@ from revtext.llm.batches import map_batches, utf8
 #: Bounds of the labelled sample: texts of each class, and bytes of each class.
 SAMPLE_TEXTS = 6_000
 SAMPLE_BYTES = 12 << 20
+#: Longer texts are not learned from.
+LONGEST = 1 << 20
 DICTIONARY_BYTES = 110 << 10
 LEVEL = 3
 #: Texts are compressed in blocks, so that a dictionary counts all through long ones.
@@ -39,26 +42,35 @@ def labelled_sample(
     """At most ``max_texts`` texts and ``max_bytes`` bytes of each class where ``learn`` holds.
 
     Rows are taken by the hash of their id, so the sample is the same in every
-    run. Ids and sizes are chosen first; only chosen texts reach the driver.
+    run. The size of a class sets the hash below which rows come into question,
+    so what tasks send to the driver is bounded like the sample. Ids and sizes
+    are chosen first; only chosen texts reach the driver.
     """
-    sized = docs.where(learn).select("doc_id", F.octet_length("text").alias("bytes"))
+    spark = docs.sparkSession
     known = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("y"))
-    order = F.xxhash64("doc_id")
-    rows = sized.where("bytes <= 1048576").join(known, "doc_id")
+    known = known.where(learn).withColumn("o", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)))
+    counts = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    reach = {y: _hash_reach(counts.get(y, 0), max_texts) for y in (0, 1)}
+    few = known.where(F.col("o") < F.when(F.col("y") == 1, reach[1]).otherwise(reach[0]))
+    sized = docs.select("doc_id", F.octet_length("text").alias("bytes")).where(f"bytes <= {LONGEST}")
+    rows = sized.join(few, "doc_id").groupBy("doc_id", "y", "o").agg(F.max("bytes").alias("bytes"))
     chosen: dict = {}
-    for y in (0, 1):
-        size = 0
-        few = rows.where(F.col("y") == y).select("doc_id", "bytes", order.alias("o"))
-        for r in few.orderBy("o", "doc_id").limit(max_texts).collect():
-            size += r.bytes
-            if size > max_bytes:
-                break
-            chosen[r.doc_id] = y
-    spark = docs.sparkSession
-    keys = spark.createDataFrame([*chosen.items()], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int")
-    picked = docs.select("doc_id", "text").join(F.broadcast(keys), "doc_id")  # max_texts rows a class
-    found = picked.orderBy(F.xxhash64("doc_id"), "text").collect()
-    return [(r.text.encode(), r.y) for r in found if r.text is not None]
+    left = {y: [max_texts, max_bytes] for y in (0, 1)}
+    for r in sorted(rows.collect(), key=lambda r: (r.o, r.doc_id)):
+        if left[r.y][0] > 0 and left[r.y][1] >= r.bytes:
+            left[r.y] = [left[r.y][0] - 1, left[r.y][1] - r.bytes]
+            chosen[r.doc_id] = r.y
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    keys = spark.createDataFrame([*chosen.items()], f"doc_id {id_type}, y int")
+    texts = docs.select("doc_id", "text").where(F.octet_length("text") <= LONGEST)
+    picked = texts.join(F.broadcast(keys), "doc_id")  # max_texts rows a class
+    found = picked.groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()
+    return [(r.text.encode(), r.y) for r in sorted(found, key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id))]
+
+
+def _hash_reach(count: int, wanted: int) -> int:
+    """Below this of 2 ** 30, hashes of ``count`` rows are near one and a half times ``wanted``, or all."""
+    return 1 << 30 if count <= 1.5 * wanted else int((1 << 30) * 1.5 * wanted / count)
 
 
 @dataclass
