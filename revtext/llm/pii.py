@@ -30,7 +30,8 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+_ALNUM = _LOCAL - frozenset("._%+-")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+.-])\(?0[0-9]{1,4}\)?[ /-][0-9]{2,4}(?:[ -][0-9]{2,4}){1,3}(?![0-9-])")
 _CONTEXT = {
@@ -106,23 +107,41 @@ def _weighed(text: str, kind: str, start: int, end: int, checked: bool) -> float
     return min(1.0, max(0.0, score))
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """The longest reading of each start that ends with a word and has a right check sum.
+
+    What follows a number may look like a part of it, so shorter readings are
+    tried; behind a start without any, the search goes on.
+    """
+    at = 0
+    while m := _IBAN.search(text, at):
+        at = m.start() + 1
+        for end in range(m.end(), m.start() + 14, -1):
+            if text[end - 1] == " " or (end < len(text) and text[end] in _ALNUM):
+                continue
+            found = text[m.start() : end].replace(" ", "")
+            if len(found) < 15:
+                break
+            if mod97(found):
+                yield m.start(), end
+                at = end
+                break
+
+
 def _others(text: str, taken: list[Span]) -> list[Span]:
     """Spans of the further kinds that overlap none of ``taken``, nor each other."""
     out, covered = [], bytearray()
-    for kind, pattern in (("iban", _IBAN), ("ssn", _SSN), ("local_phone", _LOCAL_PHONE)):
-        for m in pattern.finditer(text):
-            start, end = m.span()
+    finders = (("iban", _ibans), ("ssn", _SSN), ("local_phone", _LOCAL_PHONE))
+    for kind, finder in finders:
+        spans = finder(text) if kind == "iban" else (m.span() for m in finder.finditer(text))
+        for start, end in spans:
             if not covered:
                 covered = bytearray(len(text))
                 for s in taken:
                     covered[s.start : s.end] = b"\1" * (s.end - s.start)
             if 1 in covered[start:end]:
                 continue
-            found = m[0].replace(" ", "")
-            checked = kind == "iban" and len(found) <= 34 and mod97(found)
-            if kind == "iban" and not checked:
-                continue
-            score = _weighed(text, kind, start, end, checked)
+            score = _weighed(text, kind, start, end, kind == "iban")
             if score >= THRESHOLD:
                 covered[start:end] = b"\1" * (end - start)
                 out.append(Span(kind, start, end, score))
