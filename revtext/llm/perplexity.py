@@ -1,11 +1,10 @@
 """Quality rules: repetition counts and perplexity bands of an n-gram model.
 
-The model is one of characters, per language: a text becomes a sequence over
+Perplexities are those of ``wordmodel``, word trigrams per language. The
+character model below is not part of the rules: a text becomes a sequence over
 64 symbols, and Spark counts every run of ``ORDER`` symbols of every document.
-The alphabet bounds a language at 64 ** ORDER counts however large the corpus
-is, so the smoothed model may be sent to every task. Tasks send counts, not
-texts. The modified Kneser-Ney probabilities are kept in arrays sorted by the
-hash of the run.
+The modified Kneser-Ney probabilities are kept in arrays sorted by the hash of
+the run.
 """
 
 from __future__ import annotations
@@ -19,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from revtext.llm import wordmodel
 from revtext.llm.batches import map_batches, texts
 from revtext.storage import stage
 
@@ -222,45 +222,41 @@ def word_counts(text: str, points: np.ndarray) -> tuple[int, int, int, int, int]
     return len(words), len(points) - spaces, symbols, len(lines) - len(set(lines)), repeated
 
 
-def score(docs: DataFrame, models: dict[str, Model]) -> DataFrame:
-    """Counts and ``log_perplexity`` (per character, null for empty texts) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+def score(docs: DataFrame) -> DataFrame:
+    """Counts and ``log_perplexity`` (per word, null for texts without words) of every row.
 
-    def log_perplexities(langs: list, points: list[np.ndarray]) -> list[float | None]:
-        """Runs that occur in a batch are looked up once."""
-        out: list[float | None] = [None] * len(points)
-        for lang in set(langs):
-            rows = [i for i, x in enumerate(langs) if x == lang and len(points[i])]
-            if not rows:
-                continue
-            parts = [runs(points[i]) for i in rows]
-            joined = np.concatenate(parts)
-            seen = np.unique(joined)
-            table = np.zeros(1 << BITS * ORDER, np.float32)
-            table[seen] = shared.value[lang].log_probability(seen.astype(np.int64))
-            sizes = np.array([len(p) for p in parts])
-            sums = np.add.reduceat(table[joined], np.cumsum(sizes) - sizes, dtype=np.float64)
-            for i, value in zip(rows, -sums / sizes, strict=True):
-                out[i] = float(value)
-        return out
+    The model is that of the actual ``lang`` value; a null one is as an empty one.
+    """
+    id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = wordmodel.Hasher()
         for batch in batches:
-            rows = texts(batch.column(2))
-            points = [code_points(t) for t in rows]
-            langs = batch.column(1).to_pylist()
-            counted = [word_counts(t, p) for t, p in zip(rows, points, strict=True)]
+            rows, langs = texts(batch.column(2)), texts(batch.column(1))
+            counted = [word_counts(t, code_points(t)) for t in rows]
             columns = [pa.array(c, pa.int64()) for c in zip(*counted, strict=True)]
-            scores = pa.array(log_perplexities(langs, points), pa.float64())
+            half = np.array([wordmodel.half_of(t) for t in rows], np.int64)
+            number = batch.column(3).to_numpy() * 2 + half
+            lids = [wordmodel._hash(x) for x in langs]
+            words = [hashes(x, t) for x, t in zip(langs, rows, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *columns, scores],
-                ["doc_id", "lang", *COUNTS, "log_perplexity"],
+                [
+                    batch.column(0),
+                    pa.array(langs, pa.string()),
+                    *columns,
+                    pa.array(number),
+                    pa.array(lids, pa.int64()),
+                    pa.array(words, pa.list_(pa.int64())),
+                ],
+                ["doc_id", "lang", *COUNTS, "r", "lid", "words"],
             )
 
-    rows = docs.select("doc_id", language_of(F.col("lang")).alias("lang"), "text")
+    rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
     longs = ", ".join(f"{c} long" for c in COUNTS)
-    return map_batches(rows, work, f"doc_id {id_type}, lang string, {longs}, log_perplexity double")
+    kinds = f"doc_id {id_type}, lang string, {longs}, r long, lid long, words array<long>"
+    counted = stage(map_batches(rows, work, kinds), "words")
+    return counted.drop("lid", "words").join(wordmodel.log_perplexities(counted), "r", "left")
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -287,10 +283,10 @@ def quality_rules(docs: DataFrame, reach: float = BAND_REACH) -> DataFrame:
 
     Kept are rows that pass the base rules and whose log perplexity lies in the
     band of their language, ends included. Null texts count as empty and fail
-    the base rules; null and unlisted languages share the band of the others.
+    the base rules; every ``lang`` value has a model and a band, null that of the empty one.
     Repeated rows are judged alike; an empty table gives an empty result.
     """
-    scored = stage(score(docs, fit_models(docs)), "quality")
+    scored = stage(score(docs), "quality")
     inside = F.lit(False)
     for lang, (low, high) in bands(scored, reach).items():
         inside = inside | ((F.col("lang") == lang) & F.col("log_perplexity").between(low, high))

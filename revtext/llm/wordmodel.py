@@ -1,0 +1,194 @@
+"""A word trigram model per language, counted and applied by Spark joins.
+
+Interpolated modified Kneser-Ney over orders 1 to 3. Texts fall into two halves
+by the hash of the text, and a text is scored by the counts of the half it is
+not in: neither its own n-grams nor those of its exact copies make it look
+usual. Tables of n-grams grow with the corpus and stay distributed; only a row
+of sums per language reaches the driver. Each batch of texts sends a distinct
+trigram once, with the rows it occurs in, so a very frequent one is a row per
+batch in counting and in scoring.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from revtext.llm.batches import map_batches
+from revtext.storage import stage
+
+#: Words are runs of letters and digits or of other signs; scripts without spaces give a word per character.
+_SINGLE = "฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿\U00020000-\U0003ffff"
+_WORD = re.compile(rf"[{_SINGLE}]|[^\W{_SINGLE}]+|[^\w\s{_SINGLE}]+")
+#: Words whose hashes a task keeps.
+KEPT_WORDS = 300_000
+HALVES = (0, 1)
+
+
+def words_of(text: str) -> list[str]:
+    return _WORD.findall(text.lower())
+
+
+def _hash(data: str) -> int:
+    return xxhash.xxh64_intdigest(data.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+class Hasher:
+    """Hashes of the words of a text, which differ from language to language."""
+
+    def __init__(self):
+        self.known: dict[tuple[str, str], int] = {}
+
+    def __call__(self, lang: str, text: str) -> list[int]:
+        if len(self.known) > KEPT_WORDS:
+            self.known.clear()
+        out, known = [], self.known
+        for w in words_of(text):
+            h = known.get((lang, w))
+            if h is None:
+                h = known[lang, w] = _hash(f"{lang}\0{w}")
+            out.append(h)
+        return out
+
+
+def half_of(text: str) -> int:
+    return _hash(text) & 1
+
+
+def postings(rows: DataFrame) -> DataFrame:
+    """``lid, w1, w2, w3, n0, n1, rs``: distinct trigrams of each batch, counts per half, and their rows.
+
+    ``rows`` has ``r`` (its lowest bit is the half), ``lid`` and ``words``. Two
+    start signs of the language, its ``lid``, stand before the first word.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            r, lid = (batch.column(k).to_numpy() for k in (0, 1))
+            lists = batch.column(2)
+            sizes = np.diff(lists.offsets.to_numpy())
+            if not sizes.sum():
+                continue
+            flat = lists.flatten().to_numpy()
+            owner = np.repeat(np.arange(len(r)), sizes)
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            last, lids = flat, lid[owner]
+            before = np.where(place >= 1, np.roll(flat, 1), lids)
+            first = np.where(place >= 2, np.roll(flat, 2), lids)
+            order = np.lexsort((first, before, last))
+            first, before, last, lids = first[order], before[order], last[order], lids[order]
+            new = np.ones(len(last), bool)
+            new[1:] = (first[1:] != first[:-1]) | (before[1:] != before[:-1]) | (last[1:] != last[:-1])
+            at = np.flatnonzero(new)
+            rs = r[owner[order]]
+            odd = np.add.reduceat(rs & 1, at)
+            ends = np.append(at, len(last))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(pa.array(x[at]) for x in (lids, first, before, last)),
+                    pa.array(np.diff(ends) - odd),
+                    pa.array(odd),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rs)),
+                ],
+                ["lid", "w1", "w2", "w3", "n0", "n1", "rs"],
+            )
+
+    kinds = ", ".join(f"{c} long" for c in ("lid", "w1", "w2", "w3", "n0", "n1"))
+    return map_batches(rows.select("r", "lid", "words"), work, f"{kinds}, rs array<long>")
+
+
+def _kinds(f: int) -> list[Column]:
+    """Of the n-grams of a context: their sum, and how many occur once, twice and more often."""
+    n = F.col(f"n{f}")
+    return [
+        F.sum(n).alias(f"t{f}"),
+        F.sum((n == 1).cast("long")).alias(f"a{f}"),
+        F.sum((n == 2).cast("long")).alias(f"b{f}"),
+        F.sum((n > 2).cast("long")).alias(f"c{f}"),
+    ]
+
+
+def _contexts(grams: DataFrame, *key: str) -> DataFrame:
+    return grams.groupBy(*key).agg(*(x for f in HALVES for x in _kinds(f)))
+
+
+def _lower(grams: DataFrame, *key: str) -> DataFrame:
+    """The next lower order: for each n-gram the number of distinct words before it."""
+    return grams.groupBy("lid", *key).agg(*(F.sum((F.col(f"n{f}") > 0).cast("long")).alias(f"n{f}") for f in HALVES))
+
+
+def discounts(n1: float, n2: float, n3: float, n4: float) -> list[float]:
+    """Modified Kneser-Ney discounts of counts 1, 2 and 3 or more; at least 0.05, so that no word is impossible."""
+    if not (n1 and n2):
+        return [0.5, 0.5, 0.5]
+    y = n1 / (n1 + 2 * n2)
+    found = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 1.5]
+    return [min(max(d, 0.05), k - 0.05) for k, d in zip((1, 2, 3), found, strict=True)]
+
+
+def _cuts(levels: list[DataFrame]) -> DataFrame:
+    """Discounts of orders 1 to 3 and totals of order 1: a row per language."""
+    spark = levels[0].sparkSession
+    out: dict[int, dict[str, float]] = {}
+    for k, grams in enumerate(levels, 1):
+        each = [F.sum((F.col(f"n{f}") == n).cast("long")).alias(f"{f}_{n}") for f in HALVES for n in (1, 2, 3, 4)]
+        more = [x for f in HALVES for x in _kinds(f)] + [F.count(F.lit(1)).alias("size")] if k == 1 else []
+        for row in grams.groupBy("lid").agg(*each, *more).collect():
+            held = out.setdefault(row.lid, {})
+            for f in HALVES:
+                held |= {f"d{k}{f}{i}": d for i, d in enumerate(discounts(*(row[f"{f}_{n}"] for n in (1, 2, 3, 4))), 1)}
+                if k == 1:
+                    held |= {f"u{x}{f}": float(row[f"{x}{f}"]) for x in "tabc"}
+            if k == 1:
+                held["size"] = float(row["size"])
+    names = ["size", *(f"u{x}{f}" for x in "tabc" for f in HALVES)]
+    names += [f"d{k}{f}{i}" for k in (1, 2, 3) for f in HALVES for i in (1, 2, 3)]
+    schema = ", ".join(["lid long", *(f"{x} double" for x in names)])
+    return F.broadcast(spark.createDataFrame([(lid, *(held[x] for x in names)) for lid, held in out.items()], schema))
+
+
+def _probability(k: int, f: int, below: Column, total: str = "") -> Column:
+    """Of an n-gram of order ``k`` by the counts of half ``f``; ``below`` where its context is unseen."""
+    n, t = F.col(f"n{f}"), F.col(f"{total}t{f}")
+    d = [F.col(f"d{k}{f}{i}") for i in (1, 2, 3)]
+    cut = F.when(n == 0, 0.0).when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2])
+    spared = sum((d[i] * F.col(f"{total}{x}{f}") for i, x in enumerate("abc")), F.lit(0.0))
+    return F.when(t > 0, (n - cut + spared * below) / t).otherwise(below)
+
+
+def trigram_probabilities(grams: DataFrame) -> DataFrame:
+    """``w1, w2, w3, lp0, lp1``: natural logs by the counts of either half, for every trigram of the corpus.
+
+    ``grams`` has ``lid, w1, w2, w3, n0, n1`` and is read repeatedly. A word
+    new to a half has its share of the words both halves know, and one more.
+    """
+    pairs = stage(_lower(grams, "w2", "w3"), "bigrams")
+    singles = stage(_lower(pairs, "w3"), "unigrams")
+    cuts = _cuts([singles, pairs, grams])
+    even = 1.0 / (F.col("size") + 1)
+    p1 = singles.join(cuts, "lid").select("w3", *(_probability(1, f, even, "u").alias(f"q{f}") for f in HALVES))
+    p2 = (
+        pairs.join(p1, "w3").join(_contexts(pairs, "w2"), "w2").join(cuts, "lid")
+        .select("w2", "w3", *(_probability(2, f, F.col(f"q{f}")).alias(f"q{f}") for f in HALVES))
+    )
+    return (
+        grams.join(p2, ["w2", "w3"]).join(_contexts(grams, "w1", "w2"), ["w1", "w2"]).join(cuts, "lid")
+        .select("w1", "w2", "w3", *(F.log(_probability(3, f, F.col(f"q{f}"))).alias(f"lp{f}") for f in HALVES))
+    )
+
+
+def log_perplexities(rows: DataFrame) -> DataFrame:
+    """``r, log_perplexity`` (per word) of every row that has words; ``rows`` as for ``postings``, stored."""
+    posted = stage(postings(rows), "postings")
+    keys = ("lid", "w1", "w2", "w3")
+    grams = stage(posted.groupBy(*keys).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "trigrams")
+    found = posted.select(*keys[1:], "rs").join(trigram_probabilities(grams), ["w1", "w2", "w3"])
+    each = found.select(F.explode("rs").alias("r"), "lp0", "lp1")
+    other = F.when(F.col("r") % 2 == 0, F.col("lp1")).otherwise(F.col("lp0"))
+    return each.groupBy("r").agg((-F.avg(other)).alias("log_perplexity"))

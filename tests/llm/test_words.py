@@ -1,0 +1,63 @@
+"""The word model against brute force, and what the character model could not tell."""
+
+import math
+import random
+from collections import Counter
+
+import pytest
+
+from revtext.llm import perplexity, wordmodel
+
+DOCS = "doc_id long, text string, lang string"
+
+
+def plain_log_perplexity(texts, text, lang_words):
+    """Interpolated modified Kneser-Ney over word trigrams of ``texts``, by dictionaries."""
+    grams = [Counter() for _ in range(4)]
+    for t in texts:
+        w = ["", "", *wordmodel.words_of(t)]
+        grams[3].update(zip(w, w[1:], w[2:]))
+    for k in (2, 1):
+        for g in grams[k + 1]:
+            grams[k][g[1:]] += 1
+
+    def p(g):
+        k = len(g)
+        if not k:
+            return 1 / (len(lang_words) + 1)
+        d = [0, *wordmodel.discounts(*(sum(n == m for n in grams[k].values()) for m in (1, 2, 3, 4)))]
+        same = [n for x, n in grams[k].items() if x[:-1] == g[:-1]]
+        if not same:
+            return p(g[1:])
+        n = grams[k][g]
+        return (n - d[min(n, 3)] + sum(d[min(m, 3)] for m in same) * p(g[1:])) / sum(same)
+
+    w = ["", "", *wordmodel.words_of(text)]
+    return -sum(math.log(p(g)) for g in zip(w, w[1:], w[2:])) / (len(w) - 2)
+
+
+def test_perplexity_is_kneser_ney_of_the_other_half(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choices("a b c d e f g, h.".split(), k=rng.randint(1, 20))), "xy"[i % 2]) for i in range(40)]
+    rows += [(100, rows[0][1], rows[0][2]), (101, "日本語の文 中文", "ja"), (102, None, "x"), (103, " ", None)]
+    got = {r.doc_id: r.log_perplexity for r in perplexity.score(spark.createDataFrame(rows, DOCS).repartition(5)).collect()}
+    assert got.keys() == {r[0] for r in rows} and got[102] is None and got[103] is None
+    for i, text, lang in rows[:-2]:
+        own = [t for _, t, x in rows if x == lang and t]
+        known = {w for t in own for w in wordmodel.words_of(t)}
+        other = [t for t in own if wordmodel.half_of(t) != wordmodel.half_of(text)]
+        assert got[i] == pytest.approx(plain_log_perplexity(other, text, known), rel=1e-6), i
+
+
+def test_shuffled_words_of_an_unlisted_language_are_rejected(spark):
+    rng = random.Random(3)
+    nouns = [f"{a}{b}" for a in ("hill", "river", "stone", "field") for b in ("side", "top", "way", "land", "wood")]
+    line = lambda: f"the {rng.choice(nouns)} lies behind a {rng.choice(nouns)} ."
+    texts = [" ".join(line() for _ in range(6)) for _ in range(120)]
+    shuffled = texts[0].split()
+    rng.shuffle(shuffled)
+    rows = [(i, t, "nl") for i, t in enumerate(texts[1:], 1)] + [(0, " ".join(shuffled), "nl")]
+    got = {r.doc_id: r for r in perplexity.quality_rules(spark.createDataFrame(rows, DOCS)).collect()}
+    assert not got[0].base_failed and not got[0].kept
+    fair = [got[i] for i in range(1, 120) if not got[i].base_failed]
+    assert len(fair) > 20 and sum(r.kept for r in fair) >= 0.95 * len(fair)
