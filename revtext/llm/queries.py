@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 from revtext.llm import (
     chat,
     compression,
+    merkle,
     mixing,
     packing,
     perplexity,
     pii,
+    sharding,
     simhash,
     spotsigs,
     tokenfile,
     toxicity,
+    whitening,
 )
 from revtext.storage import stage_path
 
@@ -81,6 +84,19 @@ def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return spotsigs.edited_and_next(_table(spark, folder, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.digest(merkle.manifest(_table(spark, folder, "documents")))
+
+
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    made = whitening.whitened_components(_table(spark, folder, "embeddings"))
+    return made.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op13_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shard(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_chat_format": op2_chat_format,
@@ -92,6 +108,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_personal_data": op9_personal_data,
     "op10_fingerprints": op10_fingerprints,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_whitening": op12_whitening,
+    "op13_sharding": op13_sharding,
 }
 
 #: Fingerprints, trained scores, token ids and pattern searches with check sums have no SQL.
