@@ -251,6 +251,47 @@ def _token_texts(expression: str) -> str:
     )
 
 
+_BEFORE = r"""[(\[{<"'«“‘„`]*"""
+_WORD = r"[\p{L}\p{M}]+(?:['’.-][\p{L}\p{M}]+)*"
+_PIECE = rf"""^{_BEFORE}({_WORD})(\.?)[\])}}>"'»”’,;:!?]*$"""
+_SPLIT_OFF = rf"""^({_BEFORE}({_WORD}))\.([\])}}>"'»”’]*[{_WS}])$"""
+
+ABBREVIATIONS = f"""{TEXTS},
+clean AS MATERIALIZED (SELECT kind, id, part, {cleaned("text")} AS text FROM texts),
+pieces AS (SELECT unnest(string_split_regex(text, {text(f"[{_WS}]+")})) AS piece FROM clean),
+met AS (
+  SELECT regexp_extract(piece, {text(_PIECE)}, 1) AS word, regexp_extract(piece, {text(_PIECE)}, 2) = '.' AS final
+  FROM pieces),
+periods AS (
+  SELECT word, count(*) FILTER (WHERE final) AS n_final, count(*) FILTER (WHERE NOT final) AS n_plain
+  FROM met WHERE word <> '' GROUP BY word),
+share AS (SELECT sum(n_final) / (sum(n_final) + sum(n_plain)) AS p FROM periods),
+lengths AS (SELECT *, length(replace(word, '.', '')) AS letters FROM periods, share WHERE n_final > 0),
+scored AS MATERIALIZED (
+  SELECT word, n_final, n_plain,
+    -2 * (n_final * ln(p) + n_plain * ln(1 - p) - n_final * ln(0.99) - n_plain * ln(1 - 0.99))
+    * exp(-letters) * (length(word) - letters + 1) * pow(letters::DOUBLE, -n_plain) AS score
+  FROM lengths)"""
+
+
+def _tokenize_learned() -> str:
+    trimmed = f"regexp_replace(text, {text(f'[{_WS}]+$')}, '')"
+    parts = f"regexp_extract_all({trimmed}, {text(f'[^{_WS}]*[{_WS}]|[^{_WS}]+')})"
+    marked = (
+        f"list_transform({parts}, lambda p: CASE WHEN list_contains(known, regexp_extract(p, {text(_SPLIT_OFF)}, 2)) "
+        f"THEN regexp_replace(p, {text(_SPLIT_OFF)}, '\\1{chr(0xFDD0)}\\3') ELSE p END)"
+    )
+    words = f"list_transform({tokenized('text')}, lambda t: replace(t, '{chr(0xFDD0)}', '.'))"
+    return sql(
+        f"""{ABBREVIATIONS},
+known AS (SELECT coalesce(list(word), []) AS known FROM scored WHERE score >= 0.3),
+marked AS MATERIALIZED (
+  SELECT kind, id, part, coalesce(array_to_string({marked}, ''), '') AS text FROM clean, known),
+split AS (SELECT kind, id, part, {words} AS words FROM marked)""",
+        "SELECT kind, id, part, len(words)::INTEGER AS n, array_to_string(words, ' ') AS tokens FROM split",
+    )
+
+
 def _lemmatized() -> str:
     words = dropped(stripped(stopped(tokenized(cleaned("text")))))
     return sql(
@@ -358,12 +399,15 @@ ORACLE: dict[str, str] = {
     "clean_lower": _texts("lower(text)"),
     "clean_text": _texts(cleaned("text")),
     "tokenize": _token_texts(tokenized(cleaned("text"))),
+    "abbreviations": sql(ABBREVIATIONS, "SELECT word, n_final, n_plain, round(score, 6) + 0.0 AS score FROM scored"),
+    "tokenize_learned": _tokenize_learned(),
     "stop_words": _token_texts(stopped(tokenized(cleaned("text")))),
     "strip_punct": _token_texts(stripped(stopped(tokenized(cleaned("text"))))),
     "drop_empty_tokens": _token_texts(dropped(stripped(stopped(tokenized(cleaned("text")))))),
     "lemmatize": _lemmatized(),
     "term_count": sql(vocab_ctes(5), "SELECT token, n FROM counts"),
     "vocab_topk": sql(vocab_ctes(5), "SELECT token, n, idx FROM vocab"),
+    "vocab_two_pass": sql(vocab_ctes(5), "SELECT token, n, idx FROM vocab"),
     "vocab_large": sql(vocab_ctes(5, size=50_000), "SELECT token, n, idx FROM vocab"),
     "token_index": TOKEN_INDEX,
     "token_index_join": TOKEN_INDEX,

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from revtext.catalog.tables import documents, reviews, table, texts
 from revtext.functions import arrays, cleaning, labels, tokens
 from revtext.functions.lemma import VerbLemmatizer
-from revtext.operators import naive_bayes, scoring, spark_ml, splitting, vocabulary
+from revtext.operators import abbreviations as abbr
+from revtext.operators import frequent, naive_bayes, scoring, spark_ml, splitting, vocabulary
 from revtext.operators.metrics import evaluate_predictions
 from revtext.plans import encode, jobs
 from revtext.schemas import EVAL_FRACTION, TEST_FRACTION, VOCAB_SIZE
@@ -178,6 +179,29 @@ _tokens_of_texts("drop_empty_tokens", _dropped)
 _tokens_of_texts("lemmatize", lambda text: VerbLemmatizer().lemmas(_dropped(text)))
 
 
+def _clean_texts(spark: SparkSession, folder: str) -> DataFrame:
+    text = cleaning.clean_text(F.col("text"))
+    return stage(texts(spark, folder).select("kind", "id", "part", text.alias("text")), "clean")
+
+
+@query
+def abbreviations(spark, folder):
+    """Every word seen with a final period, with its score."""
+    scored = abbr.learn_abbreviations(_clean_texts(spark, folder), least=None)
+    # Zero has one sign.
+    return scored.select("word", "n_final", "n_plain", (F.round("score", 6) + 0.0).alias("score"))
+
+
+@query
+def tokenize_learned(spark, folder):
+    """All texts; the abbreviations found in them keep their period."""
+    clean = _clean_texts(spark, folder)
+    split = abbr.tokenize_learned(clean, abbr.learn_abbreviations(clean), F.col("text"), "words")
+    return split.select(
+        "kind", "id", "part", F.size("words").alias("n"), F.array_join("words", " ").alias("tokens")
+    )
+
+
 # Vocabulary and encoding
 
 
@@ -200,6 +224,13 @@ def vocab_topk(spark, folder):
     return vocabulary.vocabulary(vocabulary.term_counts(_review_tokens(spark, folder)))
 
 
+@query
+def vocab_two_pass(spark, folder):
+    """The vocabulary from a sketch and the exact counts of its candidates."""
+    stored = stage(_review_tokens(spark, folder), "tokens")
+    return vocabulary.vocabulary(frequent.frequent_counts(stored))
+
+
 @query
 def vocab_large(spark, folder):
     """A vocabulary of 50,000 words."""

@@ -13,13 +13,16 @@ import json
 from collections.abc import Mapping, Sequence
 from zlib import crc32
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 # Every task unpacks the constant, which takes about a second at this size; larger
 # tables have to be joined.
 MAX_ENTRIES = 100_000
 
+# Bytes of the words of a constant table.
+MAX_BYTES = 16 << 20
+
 # JSON parsers bound the length of a field name; longer words are compared one
 # by one.
 MAX_JSON_KEY = 10_000
@@ -54,6 +57,13 @@ class Lookup:
         return found
 
 
+def small_table(table: DataFrame) -> list[Row] | None:
+    """The rows of a table of words (first column), or None if it is too large for a constant."""
+    size = F.sum(F.octet_length(table.columns[0]).cast("long"))
+    total = table.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(size, F.lit(0)).alias("bytes")).first()
+    return table.collect() if total.rows <= MAX_ENTRIES and total.bytes <= MAX_BYTES else None
+
+
 def constant_array(values: Sequence[float], element_type: str = "double") -> Column:
     """A numeric array constant, addressed by position with ``F.get``."""
     return F.from_json(F.lit(json.dumps(list(values))), f"array<{element_type}>")

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from revtext.functions.abbreviations import mark_abbreviations, unmark
 from revtext.functions.rules import SPACE, Guarded, Rule, apply_rules, guarded
 
 # Treebank-style rules over lower-case text, in order. Every period before
-# white space ends a sentence.
+# white space ends a sentence, unless it belongs to a known abbreviation.
 OPENING = (
     guarded("([«“‘„]|`+)", " {1} ", "«", "“", "‘", "„", "`"),
     Guarded(
@@ -80,8 +81,13 @@ STOP_WORDS = tuple(
 PUNCTUATION_CLASS = r"""[!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]"""
 
 
-def tokenize(text: Column) -> Column:
-    """Split cleaned text into word tokens, order kept."""
+def tokenize(text: Column, abbreviation: Callable[[Column], Column] | None = None) -> Column:
+    """Split cleaned text into word tokens, order kept.
+
+    Words that ``abbreviation`` is true of keep their period, but for the last of the text.
+    """
+    if abbreviation is not None:
+        return unmark(tokenize(mark_abbreviations(text, abbreviation)))
     spaced = apply_rules(text, OPENING + PUNCTUATION)
     spaced = F.concat(F.lit(" "), spaced, F.lit(" "))
     spaced = apply_rules(spaced, CLOSING)

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revtext.functions.arrays import has_known_word, pad_trim
-from revtext.functions.lookup import MAX_ENTRIES, Lookup
-from revtext.schemas import FIRST_INDEX, MAX_LEN, OOV, VOCAB_SIZE
+from revtext.functions.bloom import BloomFilter
+from revtext.functions.lookup import MAX_ENTRIES, Lookup, small_table
+from revtext.schemas import FIRST_INDEX, MAX_LEN, OOV, SEED, VOCAB_SIZE
 from revtext.storage import stage
 
-# Copies of each dictionary row, and so of tasks sharing one word, in a
-# shuffled index join.
-SALTS = 32
+# Words of a sample of the rows that a shuffled index join looks up in place, as they
+# may be frequent here whatever their rank in the dictionary.
+HOT_WORDS = 1000
+HOT_SAMPLE = 0.02
+MAX_HOT_LENGTH = 200
 
 
 def term_counts(df: DataFrame, tokens: str = "tokens") -> DataFrame:
@@ -52,10 +57,8 @@ def vocabulary(counts: DataFrame, size: int = VOCAB_SIZE) -> DataFrame:
 
 def vocabulary_lookup(vocab: DataFrame) -> Lookup | None:
     """The dictionary as a constant, or None when it is too large for one."""
-    rows = vocab.select("token", "idx").limit(MAX_ENTRIES + 1).collect()
-    if len(rows) > MAX_ENTRIES:
-        return None
-    return Lookup({row.token: row.idx for row in rows}, "int")
+    rows = small_table(vocab.select("token", "idx"))
+    return None if rows is None else Lookup({row.token: row.idx for row in rows}, "int")
 
 
 def word_index(lookup: Lookup, word: Column) -> Column:
@@ -118,27 +121,30 @@ def index_by_join(
     """Index words by dictionaries of any size.
 
     Rows are stored with a number of their own first, so that the text work is
-    done once and keys may be null, repeated or missing. The ``head`` lowest indices, which belong to the most frequent words, are
-    still looked up in place. Only other words are joined, and only those the
-    join finds are brought back. A frequent word outside the dictionary is
-    spread over ``SALTS`` copies of each row it is compared with.
+    done once and keys may be null, repeated or missing. The ``head`` lowest
+    indices, which belong to the most frequent words, are still looked up in place, and so are
+    the most frequent other words of a sample of the rows, known or not. Words that a
+    Bloom filter of the rest of the dictionary rules out never move; only the
+    others are joined, and only those the join finds are brought back.
     """
     head, key, columns = MAX_ENTRIES if head is None else head, "_row", df.columns
     df = stage(df.withColumn(key, F.monotonically_increasing_id()), "numbered")
-    frequent = vocab.where(F.col("idx") <= head).select("token", "idx").collect()
-    lookup = Lookup({row.token: row.idx for row in frequent}, "int")
+    in_head = F.col("idx") <= head
+    frequent = small_table(vocab.where(in_head).select("token", "idx"))
+    if frequent is None:
+        raise ValueError("the words looked up in place must fit a constant; lower head")
+    in_place_words = {row.token: row.idx for row in frequent}
+    entries = vocab.where(~in_head).select("token", (-F.col("idx")).alias("neg"))
+    may_hold = BloomFilter(entries).may_hold
+    words = df.select(key, F.posexplode_outer(tokens).alias("pos", "token")).where("token IS NOT NULL")
+    in_place_words |= _hot_words(df, entries, Lookup(in_place_words, "int"), may_hold, tokens)
+    lookup = Lookup(in_place_words, "int")
     # Negated, so that sorting puts an index before the 0 of its position.
     in_place = F.transform(
         tokens, lambda t, pos: F.struct(pos.alias("pos"), (-word_index(lookup, t)).alias("neg"))
     )
-    words = df.select(key, F.posexplode_outer(tokens).alias("pos", "token"))
-    rest = words.where(F.col("token").isNotNull() & lookup.get(F.col("token")).isNull())
-    salt = F.pmod(F.xxhash64(key, "pos"), F.lit(SALTS)).cast("int")
-    salts = F.array(*[F.lit(s) for s in range(SALTS)])
-    entries = vocab.where(F.col("idx") > head).select(
-        "token", (-F.col("idx")).alias("neg"), F.explode(salts).alias("salt")
-    )
-    joined = rest.withColumn("salt", salt).join(entries, ["token", "salt"])
+    rest = words.where(lookup.get(F.col("token")).isNull() & may_hold(F.col("token")))
+    joined = rest.join(entries, "token")
     found = joined.groupBy(key).agg(F.collect_list(F.struct("pos", "neg")).alias("found"))
 
     none = F.array().cast("array<struct<pos:int,neg:int>>")
@@ -150,3 +156,20 @@ def index_by_join(
     )
     idx = F.transform(first, lambda x: -x["neg"])
     return merged.select(*[F.col(c) for c in columns], idx.alias("idx"))
+
+
+def _hot_words(
+    df: DataFrame,
+    entries: DataFrame,
+    in_place: Lookup,
+    may_hold: Callable[[Column], Column],
+    tokens: str,
+) -> dict[str, int]:
+    """Index, 0 for none, of the most frequent words of a sample that would go through the join."""
+    words = df.sample(False, HOT_SAMPLE, SEED).select(F.explode(tokens).alias("token"))
+    moving = words.where(in_place.get(F.col("token")).isNull() & may_hold(F.col("token")))
+    short = moving.where(F.length("token") <= MAX_HOT_LENGTH)
+    counted = short.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    hot = stage(counted.orderBy(F.desc("n"), "token").limit(HOT_WORDS), "hot-words")
+    found = F.broadcast(hot).join(entries, "token", "left")
+    return {row.token: -row.neg for row in found.select("token", F.coalesce("neg", F.lit(0)).alias("neg")).collect()}

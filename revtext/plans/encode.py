@@ -18,6 +18,7 @@ from revtext.functions.tokens import (
     strip_punctuation,
     tokenize,
 )
+from revtext.operators.abbreviations import tokenize_learned
 from revtext.operators.vocabulary import encode_tokens, term_counts, vocabulary
 from revtext.schemas import MAX_LEN, VOCAB_SIZE
 from revtext.storage import stage
@@ -33,12 +34,17 @@ def word_tokens(
     stop_words: Iterable[str] = STOP_WORDS,
     lemmatizer: VerbLemmatizer | None = None,
 ) -> Column:
-    """Clean text to word tokens: split, stop words, punctuation, lemmas.
+    """Clean text to word tokens: split, stop words, punctuation, lemmas."""
+    return finish_tokens(tokenize(clean_text(text)), stop_words, lemmatizer)
 
-    Stop words go while punctuation is still attached.
-    """
-    words = remove_stop_words(tokenize(clean_text(text)), stop_words)
-    words = drop_empty_tokens(strip_punctuation(words))
+
+def finish_tokens(
+    tokens: Column,
+    stop_words: Iterable[str] = STOP_WORDS,
+    lemmatizer: VerbLemmatizer | None = None,
+) -> Column:
+    """Stop words, which go while punctuation is still attached, then punctuation and lemmas."""
+    words = drop_empty_tokens(strip_punctuation(remove_stop_words(tokens, stop_words)))
     return (lemmatizer or _seed_lemmatizer()).lemmas(words)
 
 
@@ -51,9 +57,18 @@ def review_tokens(
     reviews: DataFrame,
     stop_words: Iterable[str] = STOP_WORDS,
     lemmatizer: VerbLemmatizer | None = None,
+    abbreviations: DataFrame | None = None,
 ) -> DataFrame:
-    """``review_id``, ``star_rating`` where there is one, and ``tokens``."""
+    """``review_id``, ``star_rating`` where there is one, and ``tokens``.
+
+    Words of a table of ``abbreviations`` keep their period until punctuation goes, and
+    so are no stop words.
+    """
     kept = [c for c in ("review_id", "star_rating") if c in reviews.columns]
+    if abbreviations is not None:
+        text = clean_text(F.col("review_body"))
+        split = tokenize_learned(reviews.select(*kept, "review_body"), abbreviations, text, "tokens")
+        return split.select(*kept, finish_tokens(F.col("tokens"), stop_words, lemmatizer).alias("tokens"))
     if lemmatizer is None and stop_words is STOP_WORDS:
         tokens = _default_word_tokens("review_body")
     else:
@@ -81,6 +96,7 @@ def encode_reviews(
     stop_words: Iterable[str] = STOP_WORDS,
     lemmatizer: VerbLemmatizer | None = None,
     tokens_path: str | None = None,
+    abbreviations: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Encode labelled reviews with ``vocab``, or with one built from them.
 
@@ -88,7 +104,7 @@ def encode_reviews(
     vocabulary. With a given vocabulary this is one map-only stage. Building
     one reads the tokens twice, so they are stored in between.
     """
-    tokens = review_tokens(keep_labelled(reviews, num_classes), stop_words, lemmatizer)
+    tokens = review_tokens(keep_labelled(reviews, num_classes), stop_words, lemmatizer, abbreviations)
     if vocab is None:
         tokens = stage(tokens, "tokens", tokens_path)
         vocab = build_vocabulary(tokens, vocab_size)

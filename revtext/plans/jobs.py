@@ -8,9 +8,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from revtext.functions.cleaning import clean_text
 from revtext.functions.labels import class_name, keep_labelled, stars_of
 from revtext.functions.lemma import VerbLemmatizer
 from revtext.functions.tokens import STOP_WORDS
+from revtext.operators import abbreviations as abbr
 from revtext.operators.metrics import evaluate_predictions
 from revtext.operators.naive_bayes import NaiveBayesModel, fit_naive_bayes, load_naive_bayes
 from revtext.operators.spark_ml import (
@@ -46,6 +48,7 @@ class Prepared:
     num_classes: int
     vocab_size: int
     train_sample: DataFrame | None = None
+    abbreviations: DataFrame | None = None
 
 
 def keyed(reviews: DataFrame, key: str | None = "review_id", path: str | None = None) -> DataFrame:
@@ -77,6 +80,7 @@ def prepare(
     stop_words: Iterable[str] = STOP_WORDS,
     lemmatizer: VerbLemmatizer | None = None,
     key: str | None = "review_id",
+    learn_abbreviations: bool = False,
 ) -> Prepared:
     """Encode labelled reviews and write every data set under ``out``.
 
@@ -87,14 +91,22 @@ def prepare(
     ``dictionary`` and, for ``sample`` above 0, ``train_sample``. Held-out test
     rows never shape the vocabulary; evaluation rows do unless
     ``vocab_from_train_only``.
+
+    With ``learn_abbreviations``, sentences do not end at abbreviations found in the same
+    rows; ``predict`` and ``evaluate_raw`` have to be given that table too.
     """
     labelled = keep_labelled(keyed(reviews, key, f"{out}/keyed"), num_classes)
     work, held_out = split_test(labelled, test, seed)
     # Stored by part, so that each part is read once and its small files are
     # packed into full tasks.
     part = part_of(F.col("review_id"), test, evaluation, seed)
+    abbreviations = None
+    if learn_abbreviations:
+        texts = work.where(part == "train") if vocab_from_train_only else work
+        texts = texts.select(clean_text(F.col("review_body")).alias("text"))
+        abbreviations = abbr.learn_abbreviations(texts, path=f"{out}/abbreviations")
     tokens = stage(
-        review_tokens(work, stop_words, lemmatizer).withColumn("part", part),
+        review_tokens(work, stop_words, lemmatizer, abbreviations).withColumn("part", part),
         "tokens",
         f"{out}/tokens",
         partition_by="part",
@@ -118,7 +130,7 @@ def prepare(
         held_out = stage(held_out, "test", f"{out}/test")
         if fmt == "csv":
             write_raw_reviews(held_out, f"{out}/test_tsv")
-    return Prepared(train_rows, eval_rows, held_out, vocab, num_classes, vocab_size, picked)
+    return Prepared(train_rows, eval_rows, held_out, vocab, num_classes, vocab_size, picked, abbreviations)
 
 
 def train(
