@@ -245,7 +245,16 @@ def test_counts_are_those_of_the_rules():
         assert perplexity.word_counts(text, perplexity.code_points(text)) == plain_counts(text)
 
 
-def plain_kneser_ney(sequences, order):
+def plain_discounts(counts):
+    c1, c2, c3, c4 = (sum(n == k for n in counts.values()) for k in (1, 2, 3, 4))
+    if not (c1 and c2):
+        return [0, 0.5, 0.5, 0.5]
+    y = c1 / (c1 + 2 * c2)
+    found = [1 - 2 * y * c2 / c1, 2 - 3 * y * c3 / c2, 3 - 4 * y * c4 / c3 if c3 else 1.5]
+    return [0, *(min(max(d, 0.05), k - 0.05) for k, d in zip((1, 2, 3), found, strict=True))]
+
+
+def plain_kneser_ney(sequences, order, symbols):
     """Interpolated modified Kneser-Ney by dictionaries of tuples."""
     counts = [Counter() for _ in range(order + 1)]
     for s in sequences:
@@ -254,12 +263,12 @@ def plain_kneser_ney(sequences, order):
     for k in range(order - 1, 0, -1):
         for gram in counts[k + 1]:
             counts[k][gram[1:]] += 1
-    cuts = [None] + [perplexity._discounts(np.array([*counts[k].values()])) for k in range(1, order + 1)]
+    cuts = [None] + [plain_discounts(counts[k]) for k in range(1, order + 1)]
 
     def p(gram):
         k = len(gram)
         if not k:
-            return 2.0**-perplexity.BITS
+            return 1 / (symbols + 1)
         same = {g: n for g, n in counts[k].items() if g[:-1] == gram[:-1]}
         if not same:
             return p(gram[1:])
@@ -271,21 +280,70 @@ def plain_kneser_ney(sequences, order):
     return p
 
 
-def test_model_is_modified_kneser_ney():
-    texts = ["the cat sat on the mat", "the dog sat", "a cat and a dog", "zzz", "tttt tttt"]
-    every = np.concatenate([perplexity.runs(perplexity.code_points(t)) for t in texts])
-    run, n = np.unique(every, return_counts=True)
-    model = perplexity.kneser_ney(run, n)
-    sequences = [[perplexity.START] * 3 + perplexity.SYMBOL_OF[perplexity.code_points(t)].tolist() for t in texts]
-    p = plain_kneser_ney(sequences, perplexity.ORDER)
-    for text in (*texts, "the cog sat on a zat", "Q7!"):
-        symbols = [perplexity.START] * 3 + perplexity.SYMBOL_OF[perplexity.code_points(text)].tolist()
-        expected = [np.log(p(tuple(symbols[i : i + 4]))) for i in range(len(text))]
-        codes = perplexity.runs(perplexity.code_points(text)).astype(np.int64)
-        assert model.log_probability(codes) == pytest.approx(expected, rel=1e-4)
-    context = perplexity.runs(perplexity.code_points("the"))[-1] << perplexity.BITS & (1 << 24) - 1
-    after = np.exp(model.log_probability(context + np.arange(64)))
-    assert after.sum() == pytest.approx(1, rel=1e-4)
+def half(text):
+    return perplexity.half_of(perplexity.runs(perplexity.code_points(text)))
+
+
+def symbols_of(text):
+    return [perplexity.START] * (perplexity.ORDER - 1) + perplexity.SYMBOL_OF[perplexity.code_points(text)].tolist()
+
+
+MODEL_TEXTS = [
+    ("the cat sat on the mat", "en"), ("the dog sat", "en"), ("a cat and a dog 12 #", "en"), ("zzz tttt tttt", None),
+    ("Über die Brücke", "de"), ("日本語の文 中文です", "ja"), ("The Cat", "en"), ("the cat sat on the mat", "en"),
+]
+
+
+@pytest.mark.parametrize("part_runs", [perplexity.PART_RUNS, 20])
+def test_perplexity_is_modified_kneser_ney(spark, part_runs):
+    rows = [(i, t, lang, "s") for i, (t, lang) in enumerate([*MODEL_TEXTS, ("", "en"), (None, "en"), ("# # 3", "en")])]
+    scored = perplexity.score(spark.createDataFrame(rows, DOCS).repartition(3), part_runs)
+    got = {r.doc_id: r for r in scored.collect()}
+    assert len(got) == len(rows)
+    for i, (text, lang) in enumerate(MODEL_TEXTS):
+        own = [t for _, t, x, _ in rows if x == lang and t]
+        known = {c for t in own for c in symbols_of(t)[perplexity.ORDER - 1 :]}
+        other = [symbols_of(t) for t in own if half(t) != half(text)]
+        p = plain_kneser_ney(other, perplexity.ORDER, len(known))
+        s = symbols_of(text)
+        nats = -sum(np.log(p(tuple(s[k : k + perplexity.ORDER]))) for k in range(len(text)))
+        words = len(re.findall(r"[\u3040-\u30ff\u3400-\u9fff]|[^\s\u3040-\u9fff]*[a-zA-ZÜü][^\s\u3040-\u9fff]*", text))
+        assert got[i].log_perplexity == pytest.approx(nats / words, rel=1e-5)
+    assert all(got[i].log_perplexity is None for i in (8, 9, 10))
+
+
+def test_near_copies_are_mostly_in_one_half():
+    rng = random.Random(7)
+    same, texts = 0, ["".join(rng.choices("abcdefgh ", k=rng.randint(1, 900))) for _ in range(600)]
+    for text in texts:
+        at = rng.randrange(len(text))
+        same += half(text) == half(text[:at] + "X" + text[at + 1 :])
+    assert same > 540 and 240 < sum(map(half, texts)) < 360
+
+
+def test_letter_words():
+    def plain(text):
+        cjk = [c for c in text if "一" <= c <= "鿿"]
+        rest = "".join("" if c in cjk else c for c in text)
+        return len(cjk) + sum(any(c.isalpha() for c in w) for w in re.split(r"[\x20\x09-\x0D]+", rest))
+
+    rng = random.Random(5)
+    for _ in range(2_000):
+        text = "".join(rng.choices(["a", "é", " ", " ", "\n", "#", "1", "中", "|", "\x0b"], k=rng.randint(0, 40)))
+        assert perplexity.letter_words(perplexity.code_points(text)) == plain(text)
+
+
+def test_signs_between_words_are_rejected_and_copies_are_not(spark):
+    rng = random.Random(6)
+    syllables = ["sto", "ne", "ri", "ver", "gre", "en", "wal", "ks", "un", "der"]
+    word = lambda: "".join(rng.choices(syllables, k=rng.randint(1, 3)))
+    texts = [" ".join(word() for _ in range(80)) for _ in range(300)]
+    bad = [" | ".join(word() for _ in range(40)), " ".join(word() + "&&&" for _ in range(60))]
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts + texts[:1] * 900 + bad)]
+    got = {r.doc_id: r for r in perplexity.quality_rules(spark.createDataFrame(rows, DOCS)).collect()}
+    assert not any(got[len(rows) - k].kept or got[len(rows) - k].base_failed for k in (1, 2))
+    assert all(got[i].kept for i in range(len(rows) - 2) if not got[i].base_failed)
+    assert all(got[i].kept for i in (0, 300, 1199))
 
 
 def test_counts_cover_the_corpus_and_bands_reject_noise(spark):
@@ -294,7 +352,7 @@ def test_counts_cover_the_corpus_and_bands_reject_noise(spark):
     texts = [" ".join(rng.choices(words, k=60)) for _ in range(300)]
     noise = "".join(rng.choices("qxzjkvw#&%", k=400)).replace("q", " ")
     df = frame(spark, [*texts, noise, *EDGES]).withColumn("run", F.lit(1)).withColumn("perplexity", F.lit(2))
-    total = perplexity.count_runs(df).agg(F.sum("n")).first()[0]
+    total = perplexity.count_runs(df).agg(F.sum(F.col("n0") + F.col("n1"))).first()[0]
     assert total == sum(len(t or "") for t in [*texts, noise, *EDGES])
     got = {r.doc_id: r for r in perplexity.quality_rules(df).collect()}
     assert len(got) == 301 + len(EDGES)
@@ -307,8 +365,13 @@ def test_counts_cover_the_corpus_and_bands_reject_noise(spark):
 
 def test_null_languages_and_nothing(spark):
     rows = [(1, "a b c " * 9, None, "s"), (None, "a b d " * 9, "xx", "s"), (2, None, None, None), (2, None, None, None)]
+    rows += [(3, "\u2003 " * 12, "en", "s"), (4, "# " * 3 + "1 2 3 4 5 6 7 8", "en", "s"), (5, "q" * 1_000_000, "en", "s")]
     df = spark.createDataFrame(rows, DOCS)
-    assert len(perplexity.quality_rules(df).collect()) == 4
+    got = perplexity.quality_rules(df).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.base_failed, r.kept) for r in got) == [
+        (0, 27, True, False), (1, 27, True, False), (2, 0, True, False), (2, 0, True, False),
+        (3, 12, True, False), (4, 11, False, False), (5, 1, True, False),
+    ]
     assert perplexity.quality_rules(df.where("doc_id > 9")).collect() == []
 
 
