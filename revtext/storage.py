@@ -30,7 +30,11 @@ def stage_path(spark: SparkSession, label: str) -> str:
 
 
 def stage(
-    df: DataFrame, label: str, path: str | None = None, partition_by: str | None = None
+    df: DataFrame,
+    label: str,
+    path: str | None = None,
+    partition_by: str | None = None,
+    codec: str | None = None,
 ) -> DataFrame:
     """Write ``df`` as parquet and read it back.
 
@@ -39,6 +43,8 @@ def stage(
     """
     path = path or stage_path(df.sparkSession, label)
     writer = df.write.mode("overwrite")
+    if codec:
+        writer = writer.option("compression", codec)
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
