@@ -1,6 +1,7 @@
 """Review-text encoding and classification as Spark DataFrame jobs."""
 
 from revtext.plans.encode import encode_reviews, review_tokens
+from revtext.plans.incremental import prepare_incremental
 from revtext.plans.jobs import evaluate, evaluate_raw, predict, prepare, train
 
 __all__ = [
@@ -9,6 +10,7 @@ __all__ = [
     "evaluate_raw",
     "predict",
     "prepare",
+    "prepare_incremental",
     "review_tokens",
     "train",
 ]

@@ -235,6 +235,10 @@ predicted AS MATERIALIZED (
   QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY p DESC, class) = 1)"""
 
 
+#: Each evaluation row's rounded score for each class, and whether it is of the class.
+_HITS = "SELECT review_id, class, round(p, 6) AS s, class = star_rating - 1 AS hit FROM scored"
+
+
 def sql(ctes: str, select: str) -> str:
     return f"WITH RECURSIVE {ctes}\n{select}"
 
@@ -528,6 +532,39 @@ ORACLE: dict[str, str] = {
         "SELECT count(*) AS n, true AS well_formed, true AS beats_guess "
         f"FROM encoded WHERE {EVAL}",
     ),
+    "prepare_incremental": sql(
+        encoded_ctes(2, WORK),
+        f"""SELECT 'train' AS dataset, review_id || ',' || array_to_string(features, ',') AS line FROM encoded WHERE {TRAIN}
+UNION ALL SELECT 'eval', review_id || ',' || array_to_string(features, ',') FROM encoded WHERE {EVAL}
+UNION ALL SELECT 'test', review_id || ',' || md5(review_body) FROM kept WHERE {TEST}
+UNION ALL SELECT 'dictionary', idx || ',' || token FROM vocab""",
+    ),
+    "auc_eval": sql(
+        score_ctes(5),
+        f"""SELECT a.class, count(DISTINCT a.review_id) FILTER (WHERE a.hit) AS positives,
+  count(DISTINCT a.review_id) FILTER (WHERE NOT a.hit) AS negatives,
+  round(sum(CASE WHEN NOT a.hit OR b.hit THEN 0 WHEN a.s > b.s THEN 1.0 WHEN a.s = b.s THEN 0.5 ELSE 0 END)
+    / nullif((count(DISTINCT a.review_id) FILTER (WHERE a.hit)) * (count(DISTINCT a.review_id) FILTER (WHERE NOT a.hit)), 0), 9) AS auc
+FROM ({_HITS}) a JOIN ({_HITS}) b ON a.class = b.class GROUP BY a.class""",
+    ),
+    "confusion": sql(
+        f"""{score_ctes(5)},
+cells AS (SELECT l.class AS label, p.class AS prediction FROM classes l CROSS JOIN classes p),
+counted AS (SELECT star_rating - 1 AS label, prediction, count(*) AS n FROM predicted GROUP BY ALL)""",
+        """SELECT c.label, c.prediction, coalesce(n, 0) AS n,
+  round(coalesce(n, 0) / nullif(sum(coalesce(n, 0)) OVER (PARTITION BY c.label), 0), 6) AS share
+FROM cells c LEFT JOIN counted USING (label, prediction)""",
+    ),
+    "calibration": sql(
+        f"""{score_ctes(5)},
+hits AS ({_HITS}),
+bins AS (
+  SELECT class, least(floor(s * 10), 9)::INTEGER AS bin, count(*) AS n, avg(s) AS mean_score, avg(hit::DOUBLE) AS observed
+  FROM hits GROUP BY ALL),
+errors AS (SELECT class, sum(abs(mean_score - observed) * n) / sum(n) AS error FROM bins GROUP BY class)""",
+        """SELECT class, bin, n, round(mean_score, 6) AS mean_score, round(observed, 6) AS observed, round(error, 6) AS error
+FROM bins JOIN errors USING (class)""",
+    ),
     "job_prepare": sql(
         encoded_ctes(2, WORK),
         f"""SELECT 'train' AS dataset, {CSV_ROW} AS line FROM encoded WHERE {TRAIN}

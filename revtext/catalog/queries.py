@@ -14,9 +14,10 @@ from revtext.catalog.tables import documents, reviews, table, texts
 from revtext.functions import arrays, cleaning, labels, tokens
 from revtext.functions.lemma import VerbLemmatizer
 from revtext.operators import abbreviations as abbr
+from revtext.operators import evaluation as quality
 from revtext.operators import frequent, naive_bayes, scoring, spark_ml, splitting, vocabulary
 from revtext.operators.metrics import evaluate_predictions
-from revtext.plans import encode, jobs
+from revtext.plans import encode, incremental, jobs
 from revtext.schemas import EVAL_FRACTION, TEST_FRACTION, VOCAB_SIZE
 from revtext.sinks import datasets
 from revtext.sources.dictionary import read_dictionary
@@ -442,6 +443,34 @@ def accuracy(spark, folder):
     return metrics.select("n", F.round("accuracy", 6).alias("accuracy"))
 
 
+def _rounded_scores(spark, folder) -> DataFrame:
+    """Scores of evaluation rows for five classes; rounded, so that engines agree on ties."""
+    model, evaluation, _, _ = _bayes(spark, folder, 5)
+    each = quality.class_scores(model.predict(evaluation))
+    return stage(each.withColumn("score", F.round("score", 6)), "class-scores")
+
+
+@query
+def auc_eval(spark, folder):
+    found = quality.auc(_rounded_scores(spark, folder))
+    return found.select("class", "positives", "negatives", F.round("auc", 9).alias("auc"))
+
+
+@query
+def confusion(spark, folder):
+    model, evaluation, _, _ = _bayes(spark, folder, 5)
+    cells = quality.confusion(model.predict(evaluation), 5)
+    return cells.select("label", "prediction", "n", F.round("share", 6).alias("share"))
+
+
+@query
+def calibration(spark, folder):
+    bins = quality.calibration(_rounded_scores(spark, folder))
+    errors = quality.calibration_error(bins).select("class", F.round("error", 6).alias("error"))
+    rounded = [F.round(c, 6).alias(c) for c in ("mean_score", "observed")]
+    return bins.join(errors, "class").select("class", "bin", "n", *rounded, "error")
+
+
 @query
 def score_batch_udf(spark, folder):
     model, evaluation, _, _ = _bayes(spark, folder)
@@ -667,6 +696,28 @@ def job_prepare(spark, folder):
     return reduce(DataFrame.unionByName, found)
 
 
+@query
+def prepare_incremental(spark, folder):
+    """A preparation of most reviews, then of the others on top: the data sets of all of them."""
+    every = reviews(spark, folder)
+    late = splitting.point(F.col("review_id"), use="late") < splitting.POINTS // 5
+    before, out = stage_path(spark, "prepare-old"), stage_path(spark, "prepare-new")
+    jobs.prepare(every.where(~late), before, 2)
+    made = incremental.prepare_incremental(spark, before, every.where(late), out)
+
+    def rows(dataset: str, table: DataFrame, *columns: Column | str) -> DataFrame:
+        return table.select(F.lit(dataset).alias("dataset"), F.concat_ws(",", *columns).alias("line"))
+
+    key, features = F.col("review_id").cast("string"), F.array_join(F.transform("features", lambda i: i.cast("string")), ",")
+    found = [
+        rows("train", made.train, key, features),
+        rows("eval", made.evaluation, key, features),
+        rows("test", made.test, key, F.md5(F.col("review_body").cast("binary"))),
+        rows("dictionary", read_dictionary(spark, f"{out}/dictionary"), F.col("idx").cast("string"), "token"),
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query
 def job_predict(spark, folder):
     """Stars of all documents as unlabelled reviews; null without known words."""

@@ -28,16 +28,18 @@ def term_counts(df: DataFrame, tokens: str = "tokens") -> DataFrame:
     return words.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
-def vocabulary(counts: DataFrame, size: int = VOCAB_SIZE) -> DataFrame:
+def vocabulary(counts: DataFrame, size: int = VOCAB_SIZE, stored: bool = False) -> DataFrame:
     """The ``size`` most frequent words with indices 1, 2, ... by rank.
 
+    ``counts`` is read more than once, so it is stored first unless it is ``stored`` already.
+
     Equal counts are ordered by word, so indices do not depend on how the
     data is partitioned. A histogram of the counts gives the least count that
     can be needed; only words that reach it are dealt by range and ranked
     within their range, behind the sizes of the ranges before. One task sees a
     row per distinct count, and a row per range.
     """
-    counts = stage(counts, "term-counts")
+    counts = counts if stored else stage(counts, "term-counts")
     per_count = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words"))
     falling = Window.orderBy(F.desc("n"))
     reached = per_count.select("n", (F.sum("words").over(falling) - F.col("words")).alias("before"))

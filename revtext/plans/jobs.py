@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,8 +23,8 @@ from revtext.operators.spark_ml import (
     load_spark_ml,
 )
 from revtext.operators.splitting import part_of, sample_rows, split_test
-from revtext.operators.vocabulary import encode_tokens, flag_tokens
-from revtext.plans.encode import add_label, build_vocabulary, encode_reviews, review_tokens
+from revtext.operators.vocabulary import encode_tokens, flag_tokens, term_counts, vocabulary
+from revtext.plans.encode import add_label, encode_reviews, review_tokens
 from revtext.schemas import EVAL_FRACTION, MAX_LEN, SEED, TEST_FRACTION, VOCAB_SIZE
 from revtext.sinks.datasets import (
     write_dictionary,
@@ -51,6 +52,32 @@ class Prepared:
     abbreviations: DataFrame | None = None
 
 
+@dataclass(frozen=True)
+class Settings:
+    """What a preparation was made with, and where the tables lie that a later one builds on.
+
+    Written last, so a folder without them was not finished.
+    """
+
+    num_classes: int
+    max_len: int
+    vocab_size: int
+    test: float | None
+    evaluation: float
+    seed: int
+    vocab_from_train_only: bool
+    tokens: list[str]
+    abbreviations: list[str]
+
+    def write(self, spark: SparkSession, out: str) -> None:
+        row = spark.range(1).select(F.lit(json.dumps(asdict(self))).alias("value"))
+        row.coalesce(1).write.mode("overwrite").text(f"{out}/settings")
+
+    @classmethod
+    def read(cls, spark: SparkSession, out: str) -> Settings:
+        return cls(**json.loads(spark.read.text(f"{out}/settings").first().value))
+
+
 def keyed(reviews: DataFrame, key: str | None = "review_id", path: str | None = None) -> DataFrame:
     """Reviews with the key ``review_id``: the column ``key``, or a number stored with the rows.
 
@@ -112,7 +139,8 @@ def prepare(
         partition_by="part",
     )
     fit_rows = tokens.where("part = 'train'") if vocab_from_train_only else tokens
-    vocab = build_vocabulary(fit_rows, vocab_size, f"{out}/vocab")
+    counts = stage(term_counts(fit_rows), "counts", f"{out}/counts")
+    vocab = stage(vocabulary(counts, vocab_size, stored=True), "vocab", f"{out}/vocab")
 
     encoded = add_label(encode_tokens(tokens, vocab, max_len).drop("tokens"), num_classes)
     train_rows, eval_rows = (
@@ -130,6 +158,11 @@ def prepare(
         held_out = stage(held_out, "test", f"{out}/test")
         if fmt == "csv":
             write_raw_reviews(held_out, f"{out}/test_tsv")
+    settings = Settings(
+        num_classes, max_len, vocab_size, test, evaluation, seed, vocab_from_train_only, [f"{out}/tokens"],
+        [f"{out}/abbreviations"] if learn_abbreviations else [],
+    )
+    settings.write(reviews.sparkSession, out)
     return Prepared(train_rows, eval_rows, held_out, vocab, num_classes, vocab_size, picked, abbreviations)
 
 
