@@ -522,6 +522,45 @@ ORACLE: dict[str, str] = {
         f"SELECT {class_index(2)} AS class, count(*) AS n, true AS mean_is_share "
         f"FROM encoded WHERE {TRAIN} GROUP BY {class_index(2)}",
     ),
+    "train_trigrams": sql(
+        encoded_ctes(2, WORK),
+        f"SELECT {class_index(2)} AS class, count(*) AS n, true AS mean_is_share "
+        f"FROM encoded WHERE {TRAIN} GROUP BY {class_index(2)}",
+    ),
+    "train_history": sql(
+        encoded_ctes(2, WORK),
+        "SELECT slice::INTEGER AS slice, (SELECT count(*) FROM encoded WHERE "
+        f"{EVAL}) AS n, true AS loss_falls, true AS best_chosen FROM range(1, 4) r(slice)",
+    ),
+    "job_reuse": " UNION ALL ".join(
+        f"SELECT {run} AS run, {reused} AS reused, r.rows, r.words FROM ("
+        + sql(
+            token_ctes(classes),
+            "SELECT (SELECT count(*) FROM kept) AS rows, (SELECT count(*) FROM words) AS words",
+        )
+        + ") r"
+        for run, reused, classes in ((1, "false", 2), (2, "true", 2), (3, "false", 5))
+    ),
+    "lemmatize_table": _lemmatized(),
+    "src_reviews_rescued": sql(
+        f"""{REVIEWS},
+flat AS (
+  SELECT review_id, star_rating, coalesce(regexp_replace(review_body, '[\\t\\r\\n]', ' ', 'g'), '') AS body,
+    {point("review_id", "damage")} % 10 AS damage
+  FROM reviews)""",
+        """SELECT CASE WHEN damage > 2 THEN review_id END AS review_id, CASE WHEN damage > 2 THEN star_rating END AS star_rating,
+  CASE WHEN damage > 2 THEN body END AS review_body,
+  CASE damage WHEN 0 THEN concat_ws(chr(9), review_id, star_rating, body, 'more')
+    WHEN 1 THEN concat_ws(chr(9), review_id, star_rating) WHEN 2 THEN concat_ws(chr(9), review_id, 'five', body) END AS rescued
+FROM flat""",
+    ),
+    "job_all": sql(
+        score_ctes(2),
+        "SELECT (SELECT count(*) FROM predicted) AS n, "
+        f"(SELECT round(avg((prediction = {class_index(2)})::INTEGER), 6) FROM predicted) AS accuracy, "
+        "(SELECT round(-avg(ln(least(greatest(p, 1e-7), 1 - 1e-7))), 6) FROM scored "
+        f"WHERE class = {class_index(2)}) AS log_loss",
+    ),
     "score_lr": sql(
         encoded_ctes(2, WORK),
         "SELECT review_id, true AS sums_to_one, true AS first_largest "

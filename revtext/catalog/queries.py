@@ -12,18 +12,27 @@ from pyspark.sql import functions as F
 
 from revtext.catalog.tables import documents, reviews, table, texts
 from revtext.functions import arrays, cleaning, labels, tokens
-from revtext.functions.lemma import VerbLemmatizer
+from revtext.functions.lemma import IRREGULAR, VERBS, VerbLemmatizer
 from revtext.operators import abbreviations as abbr
 from revtext.operators import evaluation as quality
-from revtext.operators import frequent, naive_bayes, scoring, spark_ml, splitting, vocabulary
+from revtext.operators import (
+    frequent,
+    lemmas,
+    naive_bayes,
+    scoring,
+    spark_ml,
+    splitting,
+    training,
+    vocabulary,
+)
 from revtext.operators.metrics import evaluate_predictions
 from revtext.plans import encode, incremental, jobs
 from revtext.schemas import EVAL_FRACTION, TEST_FRACTION, VOCAB_SIZE
 from revtext.sinks import datasets
 from revtext.sources.dictionary import read_dictionary
 from revtext.sources.encoded import read_encoded_csv, read_xy_csv
-from revtext.sources.reviews import read_reviews
-from revtext.storage import stage, stage_path
+from revtext.sources.reviews import read_reviews, read_reviews_rescued
+from revtext.storage import Registry, stage, stage_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -203,6 +212,17 @@ def tokenize_learned(spark, folder):
     )
 
 
+@query
+def lemmatize_table(spark, folder):
+    """The same as ``lemmatize``, with lexicon and exceptions as tables."""
+    split = texts(spark, folder).select("kind", "id", "part", _dropped(cleaning.clean_text(F.col("text"))).alias("words"))
+    lexicon = spark.createDataFrame([(v,) for v in VERBS], "lemma string")
+    listed = [(form, i, lemma) for form, found in IRREGULAR.items() for i, lemma in enumerate(found, 1)]
+    exceptions = spark.createDataFrame(listed, "form string, ord int, lemma string")
+    done = lemmas.lemmatize_table(stage(split, "words"), lexicon, exceptions, "words")
+    return done.select("kind", "id", "part", F.size("words").alias("n"), F.array_join("words", " ").alias("tokens"))
+
+
 # Vocabulary and encoding
 
 
@@ -411,7 +431,10 @@ def stars(spark, folder):
 
 
 def _metrics(scored: DataFrame, *names: str) -> DataFrame:
-    metrics = evaluate_predictions(scored)
+    return _rounded_metrics(evaluate_predictions(scored), *names)
+
+
+def _rounded_metrics(metrics: DataFrame, *names: str) -> DataFrame:
     return metrics.select("n", *[F.round(name, 6).alias(name) for name in names])
 
 
@@ -497,11 +520,8 @@ def _well_formed(scored: DataFrame) -> DataFrame:
     )
 
 
-@query
-def train_lr(spark, folder):
+def _mean_is_share(model: spark_ml.SparkMLModel, train: DataFrame) -> DataFrame:
     """With a free intercept, mean probabilities over the training rows are the classes' shares."""
-    train, _, _, _ = _parts(spark, folder)
-    model = spark_ml.fit_logistic_regression(train, 2, VOCAB_SIZE, num_partitions=1)
     scored = stage(model.predict(train), "scored")
     means = scored.agg(F.avg(F.get("probability", F.lit(0))).alias("m0"), F.avg(F.get("probability", F.lit(1))).alias("m1"))
     label = labels.class_of(F.col("label_ohe"))
@@ -512,6 +532,38 @@ def train_lr(spark, folder):
     return per_class.crossJoin(F.broadcast(means)).select("class", "n", near.alias("mean_is_share"))
 
 
+@query
+def train_lr(spark, folder):
+    train, _, _, _ = _parts(spark, folder)
+    return _mean_is_share(spark_ml.fit_logistic_regression(train, 2, VOCAB_SIZE, num_partitions=1), train)
+
+
+@query
+def train_trigrams(spark, folder):
+    """The same with runs of three words besides."""
+    train, _, _, _ = _parts(spark, folder)
+    model = spark_ml.fit_logistic_regression(train, 2, VOCAB_SIZE, num_partitions=1, trigram_cells=1 << 16)
+    return _mean_is_share(model, train)
+
+
+@query
+def train_history(spark, folder):
+    """A row per slice: rows it was evaluated on, whether it lowered the training loss, and whether one slice is best."""
+    train, evaluation, _, _ = _parts(spark, folder)
+    evaluation = stage(evaluation, "evaluation")
+    made = training.train_in_slices(
+        train, evaluation, stage_path(spark, "slices"), 2, slices=3, steps=5, patience=3, hidden=(16,),
+        embedding=32, num_partitions=1,
+    )
+    every = Window.partitionBy()  # a row per slice
+    before = F.lag("train_loss").over(Window.orderBy("slice"))
+    least = F.min(F.struct("loss", "slice")).over(every)["slice"]
+    rows = made.history.withColumns({"before": before, "least": least, "bests": F.sum(F.col("best").cast("int")).over(every)})
+    n = evaluation.agg(F.count(F.lit(1)).alias("n"))
+    falls = (F.col("before").isNull() | (F.col("train_loss") < F.col("before"))).alias("loss_falls")
+    best = ((F.col("best") == (F.col("slice") == F.col("least"))) & (F.col("bests") == 1)).alias("best_chosen")
+    return rows.crossJoin(F.broadcast(n)).select("slice", "n", falls, best)
+
 @query
 def score_lr(spark, folder):
     train, evaluation, _, _ = _parts(spark, folder)
@@ -548,6 +600,26 @@ def src_reviews_tsv(spark, folder):
     )
 
 
+@query
+def src_reviews_rescued(spark, folder):
+    """Review lines, some with a field too many, cut short, or with a rating in words."""
+    path, key = stage_path(spark, "damaged-tsv"), F.col("review_id").cast("string")
+    star, body = F.col("star_rating").cast("string"), F.col("review_body")
+    damage = splitting.point(F.col("review_id"), use="damage") % 10
+    line = (
+        F.when(damage == 0, F.concat_ws("\t", key, star, body, F.lit("more")))
+        .when(damage == 1, F.concat_ws("\t", key, star))
+        .when(damage == 2, F.concat_ws("\t", key, F.lit("five"), body))
+        .otherwise(F.concat_ws("\t", key, star, body))
+    )
+    # A column of whole lines under the header line, in every file.
+    lines = _single_line(spark, folder).select(line.alias("review_id\tstar_rating\treview_body"))
+    plain = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    lines.write.csv(path, header=True, sep="\x01", quote="", escape="", **plain)
+    read = read_reviews_rescued(spark, path)
+    return read.select(F.col("review_id").cast("long").alias("review_id"), "star_rating", "review_body", F.col("_rescued").alias("rescued"))
+
+
 @query
 def snk_test_tsv(spark, folder):
     path = stage_path(spark, "test-tsv")
@@ -718,6 +790,28 @@ def prepare_incremental(spark, folder):
     return reduce(DataFrame.unionByName, found)
 
 
+@query
+def job_reuse(spark, folder):
+    """A token table asked for twice, then with another parameter: the second time it is not made again."""
+    registry = Registry(spark, stage_path(spark, "registry"))
+    inputs = [f"{folder}/{name}.parquet" for name in ("documents", "labels")]
+    found = []
+    for run, classes in ((1, 2), (2, 2), (3, 5)):
+        made, reused = registry.table("tokens", lambda c=classes: _review_tokens(spark, folder, c), inputs, classes=classes)
+        words = F.coalesce(F.sum(F.size("tokens").cast("long")), F.lit(0))
+        flags = (F.lit(run).alias("run"), F.lit(reused).alias("reused"))
+        found.append(made.agg(F.count(F.lit(1)).alias("rows"), words.alias("words")).select(*flags, "rows", "words"))
+    return reduce(DataFrame.unionByName, found)
+
+
+@query
+def job_all(spark, folder):
+    """Preparation, training and evaluation one after the other."""
+    made = jobs.prepare(reviews(spark, folder), stage_path(spark, "job-all"), 2)
+    model = jobs.train(made.train, "nb", 2, made.vocab_size)
+    return _rounded_metrics(jobs.evaluate(model, made.evaluation), "accuracy", "log_loss")
+
+
 @query
 def job_predict(spark, folder):
     """Stars of all documents as unlabelled reviews; null without known words."""

@@ -6,7 +6,14 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.feature import CountVectorizerModel, SQLTransformer, Word2Vec
+from pyspark.ml.feature import (
+    CountVectorizerModel,
+    HashingTF,
+    NGram,
+    SQLTransformer,
+    VectorAssembler,
+    Word2Vec,
+)
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +25,8 @@ from revtext.schemas import SEED, VOCAB_SIZE, check_classes
 
 # Embedding width and hidden layers for 2 and 5 classes.
 EMBEDDING = 128
+#: Rows that one task learns word vectors from, unless told otherwise.
+EMBEDDING_ROWS = 200_000
 HIDDEN = {2: (128, 128), 5: (256, 128)}
 
 
@@ -40,7 +49,7 @@ def load_spark_ml(path: str) -> SparkMLModel:
     return SparkMLModel(PipelineModel.load(path))
 
 
-def _words() -> SQLTransformer:
+def known_words() -> SQLTransformer:
     """Known indices as strings; padding and unknown words go."""
     return SQLTransformer(
         statement="SELECT *, transform(filter(features, i -> i > 0), i -> string(i)) AS words "
@@ -48,7 +57,9 @@ def _words() -> SQLTransformer:
     )
 
 
-def _training_rows(encoded: DataFrame, num_classes: int, num_partitions: int | None) -> DataFrame:
+def training_rows(
+    encoded: DataFrame, num_classes: int, num_partitions: int | None, features: str = "features"
+) -> DataFrame:
     """Labelled rows of a stored table for a solver, which keeps its own copy.
 
     Every pass of a solver starts one task per partition: ``num_partitions``
@@ -57,7 +68,7 @@ def _training_rows(encoded: DataFrame, num_classes: int, num_partitions: int | N
     label = class_of(F.col("label_ohe")).cast("double")
     # Naming the classes keeps those absent from the training rows.
     nominal = {"ml_attr": {"type": "nominal", "num_vals": check_classes(num_classes)}}
-    rows = encoded.select("features", label.alias("label", metadata=nominal))
+    rows = encoded.select(features, label.alias("label", metadata=nominal))
     return rows.coalesce(num_partitions) if num_partitions else rows
 
 
@@ -69,19 +80,27 @@ def fit_logistic_regression(
     tol: float = 1e-6,
     reg: float = 0.01,
     num_partitions: int | None = None,
+    trigram_cells: int = 0,
 ) -> SparkMLModel:
     """Logistic regression over word counts.
 
     ``vocab_size`` None takes the largest index of the rows; a larger index
-    than ``vocab_size`` is an error.
+    than ``vocab_size`` is an error. With ``trigram_cells``, runs of three known words count too,
+    hashed to that many cells; they are made in the scoring stage and stored nowhere.
     """
     largest = encoded.agg(F.max(F.array_max("features"))).first()[0]
     vocab_size = checked_size(largest, vocab_size)
     vocabulary = [str(i) for i in range(1, vocab_size + 1)]
     counts = CountVectorizerModel.from_vocabulary(vocabulary, "words", "counts")
-    classifier = LogisticRegression(featuresCol="counts", maxIter=max_iter, tol=tol, regParam=reg)
-    pipe = Pipeline(stages=[_words(), counts, classifier])
-    rows = _training_rows(encoded, num_classes, num_partitions)
+    stages, used = [known_words(), counts], "counts"
+    if trigram_cells:
+        runs = NGram(n=3, inputCol="words", outputCol="runs")
+        hashed = HashingTF(numFeatures=trigram_cells, inputCol="runs", outputCol="run_counts")
+        stages += [runs, hashed, VectorAssembler(inputCols=["counts", "run_counts"], outputCol="both")]
+        used = "both"
+    classifier = LogisticRegression(featuresCol=used, maxIter=max_iter, tol=tol, regParam=reg)
+    pipe = Pipeline(stages=[*stages, classifier])
+    rows = training_rows(encoded, num_classes, num_partitions)
     return SparkMLModel(pipe.fit(rows))
 
 
@@ -95,13 +114,16 @@ def fit_perceptron(
     embedding_iter: int = 1,
     seed: int = SEED,
     num_partitions: int | None = None,
-    embedding_partitions: int = 1,
+    embedding_partitions: int | None = None,
 ) -> SparkMLModel:
     """Perceptron over averaged word vectors learned from the same rows.
 
     Vectors are learned in ``embedding_partitions`` parts, whose results are
-    averaged: more are faster and give other vectors, whatever the cluster.
+    averaged: more are faster and give other vectors, whatever the cluster. None
+    takes a part for every ``EMBEDDING_ROWS`` rows.
     """
+    if embedding_partitions is None:
+        embedding_partitions = 1 + encoded.count() // EMBEDDING_ROWS
     classifier = MultilayerPerceptronClassifier(
         featuresCol="vector",
         layers=[embedding, *HIDDEN[check_classes(num_classes)], num_classes],
@@ -110,7 +132,7 @@ def fit_perceptron(
         blockSize=block_size,
         seed=seed,
     )
-    rows = _training_rows(encoded, num_classes, num_partitions)
+    rows = training_rows(encoded, num_classes, num_partitions)
     vectors = Word2Vec(
         inputCol="words",
         outputCol="vector",
@@ -120,5 +142,5 @@ def fit_perceptron(
         numPartitions=embedding_partitions,
         seed=seed,
     )
-    pipe = Pipeline(stages=[_words(), vectors, classifier])
+    pipe = Pipeline(stages=[known_words(), vectors, classifier])
     return SparkMLModel(pipe.fit(rows))

@@ -1,7 +1,7 @@
 """Reproducible splits by a hash of the row key.
 
 A row's part depends on its key alone, so it is the same at any number of
-partitions and after any retry.
+partitions and after any retry. A row without a key goes by all its values.
 """
 
 from __future__ import annotations
@@ -17,6 +17,12 @@ from revtext.schemas import EVAL_FRACTION, SEED, TEST_FRACTION
 POINTS = 1 << 60
 
 
+def split_key(df: DataFrame, key: str = "review_id") -> Column:
+    """What a row's part depends on: its key, or all its values where the key is null."""
+    values = F.xxhash64(*(F.col(f"`{c}`") for c in df.columns))
+    return F.coalesce(F.col(key).cast("string"), F.concat(F.lit("null:"), values.cast("string")))
+
+
 def point(key: Column, seed: int = SEED, use: str = "split") -> Column:
     """Point of a key, 0 to ``POINTS`` - 1; another ``use`` gives independent points."""
     digest = F.md5(F.concat_ws(":", F.lit(use), F.lit(str(seed)), key.cast("string")))
@@ -60,7 +66,7 @@ def split_test(
     if not hashed:
         work, held_out = df.randomSplit([1 - test, test], seed)
         return work, held_out
-    held_out = point(F.col(key), seed) >= _first(test)
+    held_out = point(split_key(df, key), seed) >= _first(test)
     return df.where(~held_out), df.where(held_out)
 
 
@@ -76,7 +82,7 @@ def split_train_eval(
     if not hashed:
         train, held_back = df.randomSplit([1 - (test or 0) - evaluation, evaluation], seed)
         return train, held_back
-    in_eval = point(F.col(key), seed) >= _first(test, evaluation)
+    in_eval = point(split_key(df, key), seed) >= _first(test, evaluation)
     return df.where(~in_eval), df.where(in_eval)
 
 
@@ -90,4 +96,4 @@ def sample_rows(
     """Bernoulli sample without replacement, independent of the splits."""
     if not hashed:
         return df.sample(False, fraction, seed)
-    return df.where(point(F.col(key), seed, "sample") < POINTS - _first(fraction))
+    return df.where(point(split_key(df, key), seed, "sample") < POINTS - _first(fraction))

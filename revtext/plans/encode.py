@@ -59,12 +59,12 @@ def review_tokens(
     lemmatizer: VerbLemmatizer | None = None,
     abbreviations: DataFrame | None = None,
 ) -> DataFrame:
-    """``review_id``, ``star_rating`` where there is one, and ``tokens``.
+    """``review_id``, ``star_rating`` and ``part`` where there are any, and ``tokens``.
 
     Words of a table of ``abbreviations`` keep their period until punctuation goes, and
     so are no stop words.
     """
-    kept = [c for c in ("review_id", "star_rating") if c in reviews.columns]
+    kept = [c for c in ("review_id", "star_rating", "part") if c in reviews.columns]
     if abbreviations is not None:
         text = clean_text(F.col("review_body"))
         split = tokenize_learned(reviews.select(*kept, "review_body"), abbreviations, text, "tokens")

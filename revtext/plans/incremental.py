@@ -14,13 +14,13 @@ from revtext.functions.labels import keep_labelled
 from revtext.functions.lemma import VerbLemmatizer
 from revtext.functions.lookup import Lookup, constant_array, small_table
 from revtext.functions.tokens import STOP_WORDS
-from revtext.operators.splitting import part_of, split_test
+from revtext.operators.splitting import part_of, split_key, split_test
 from revtext.operators.vocabulary import encode_tokens, term_counts, vocabulary
 from revtext.plans.encode import add_label, review_tokens
 from revtext.plans.jobs import Prepared, Settings
 from revtext.schemas import OOV
 from revtext.sinks.datasets import write_dictionary
-from revtext.storage import stage
+from revtext.storage import releases_scratch, stage
 
 PARTS = ("train", "eval")
 
@@ -74,6 +74,7 @@ def _again(tokens: DataFrame, encoded: DataFrame, entering: DataFrame, moved: Co
     return holding.select("review_id").union(encoded.where(lost).select("review_id")).distinct()
 
 
+@releases_scratch
 def prepare_incremental(
     spark: SparkSession,
     before: str,
@@ -99,9 +100,9 @@ def prepare_incremental(
 
     labelled = keep_labelled(reviews, settings.num_classes)
     work, held_out = split_test(labelled, settings.test, settings.seed)
-    part = part_of(F.col("review_id"), settings.test, settings.evaluation, settings.seed)
+    part = part_of(split_key(work), settings.test, settings.evaluation, settings.seed)
     new_tokens = stage(
-        review_tokens(work, stop_words, lemmatizer, abbreviations).withColumn("part", part),
+        review_tokens(work.withColumn("part", part), stop_words, lemmatizer, abbreviations),
         "tokens",
         f"{out}/tokens",
         partition_by="part",

@@ -22,7 +22,7 @@ from revtext.operators.spark_ml import (
     fit_perceptron,
     load_spark_ml,
 )
-from revtext.operators.splitting import part_of, sample_rows, split_test
+from revtext.operators.splitting import part_of, sample_rows, split_key, split_test
 from revtext.operators.vocabulary import encode_tokens, flag_tokens, term_counts, vocabulary
 from revtext.plans.encode import add_label, encode_reviews, review_tokens
 from revtext.schemas import EVAL_FRACTION, MAX_LEN, SEED, TEST_FRACTION, VOCAB_SIZE
@@ -33,7 +33,7 @@ from revtext.sinks.datasets import (
     write_raw_reviews,
     write_xy_csv,
 )
-from revtext.storage import stage
+from revtext.storage import releases_scratch, stage
 
 Model = NaiveBayesModel | SparkMLModel
 
@@ -92,6 +92,7 @@ def keyed(reviews: DataFrame, key: str | None = "review_id", path: str | None =
     return stage(numbered, "keyed", path)
 
 
+@releases_scratch
 def prepare(
     reviews: DataFrame,
     out: str,
@@ -126,14 +127,14 @@ def prepare(
     work, held_out = split_test(labelled, test, seed)
     # Stored by part, so that each part is read once and its small files are
     # packed into full tasks.
-    part = part_of(F.col("review_id"), test, evaluation, seed)
+    work = work.withColumn("part", part_of(split_key(work), test, evaluation, seed))
     abbreviations = None
     if learn_abbreviations:
-        texts = work.where(part == "train") if vocab_from_train_only else work
+        texts = work.where("part = 'train'") if vocab_from_train_only else work
         texts = texts.select(clean_text(F.col("review_body")).alias("text"))
         abbreviations = abbr.learn_abbreviations(texts, path=f"{out}/abbreviations")
     tokens = stage(
-        review_tokens(work, stop_words, lemmatizer, abbreviations).withColumn("part", part),
+        review_tokens(work, stop_words, lemmatizer, abbreviations),
         "tokens",
         f"{out}/tokens",
         partition_by="part",
