@@ -279,10 +279,23 @@ def _seed(lang: str) -> np.uint64:
 
 @dataclass
 class Arrays:
-    """Log probabilities, a column per half, by the sorted hash of language and run."""
+    """Log probabilities, a column per half, by the sorted hash of language and run.
+
+    ``starts`` has where the hashes of each value of the leading bits begin, about one each.
+    """
 
     keys: np.ndarray
     logp: np.ndarray
+    starts: np.ndarray
+    shift: np.uint64
+
+    @classmethod
+    def sorted_by_hash(cls, keys: np.ndarray, logp: np.ndarray) -> Arrays:
+        order = np.argsort(keys)
+        bits = max(1, len(keys).bit_length())
+        shift = np.uint64(64 - bits)
+        starts = np.searchsorted(keys[order] >> shift, np.arange(1 << bits, dtype=np.uint64))
+        return cls(keys[order], logp[:, order], starts.astype(np.int32), shift)
 
     @classmethod
     def collected(cls, model: DataFrame) -> Arrays:
@@ -291,17 +304,28 @@ class Arrays:
         of_lang = table["lang"].combine_chunks().dictionary_encode()
         seeds = np.array([_seed(x) for x in of_lang.dictionary.to_pylist()], np.uint64)
         keys = _mixed(seeds[of_lang.indices.to_numpy()], table["run"].to_numpy())
-        order = np.argsort(keys)
-        return cls(keys[order], np.stack([table[f"logp{f}"].to_numpy()[order] for f in HALVES]))
+        return cls.sorted_by_hash(keys, np.stack([table[f"logp{f}"].to_numpy() for f in HALVES]))
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each hash, and whether it is there."""
+        last = len(self.keys) - 1
+        at = np.minimum(self.starts[wanted >> self.shift], last)
+        key = self.keys[at]
+        open_ = np.flatnonzero(key < wanted)
+        while len(open_):
+            at[open_] += 1
+            open_ = open_[at[open_] <= last]
+            key[open_] = self.keys[at[open_]]
+            open_ = open_[key[open_] < wanted[open_]]
+        return np.minimum(at, last), key == wanted
 
     def nats(self, lang: str, found: np.ndarray) -> float:
         """Minus the summed log probabilities, by the other half, of the runs held here."""
         if not len(self.keys) or not len(found):
             return 0.0
-        wanted = _mixed(_seed(lang), found)
-        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        at, there = self.find(_mixed(_seed(lang), found))
         logp = self.logp[1 - half_of(found)]
-        return -float(logp[at][self.keys[at] == wanted].sum(dtype=np.float64))
+        return -float(logp[at][there].sum(dtype=np.float64))
 
 
 # Rules
