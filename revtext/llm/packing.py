@@ -1,8 +1,8 @@
 """Packing of tokenized documents into windows by best-fit decreasing.
 
 A document is cut into full windows and one rest. Pieces go to shards by a
-hash of their place in the scan; a shard is packed in one task, and its size is
-bounded by ``SHARD_BYTES`` of text whatever the corpus holds. Shards only share
+hash of id, place and tokens, so a repeated task deals them alike; a shard is packed in one
+task, of about ``SHARD_BYTES`` of text whatever the corpus holds. Shards only share
 the window size, so the last windows of each are all that sharding can cost.
 """
 
@@ -18,8 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revtext.llm.batches import map_batches, texts
-from revtext.llm.tokens import encoder, tokenizer_path
+from revtext.llm.batches import map_batches
+from revtext.llm.tokens import ENCODED_ROWS, encoder, tokenizer_path
 
 WINDOW = 2048
 END_ID = 1
@@ -86,16 +86,8 @@ def best_fit_decreasing(lengths: np.ndarray, window: int = WINDOW) -> tuple[np.n
     return placed, offsets
 
 
-def _mixed(x: int) -> int:
-    """A 63-bit mix of a row's place."""
-    x = (x + 0x9E3779B97F4A7C15) % 2**64
-    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
-    x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
-    return (x ^ x >> 31) >> 1
-
-
 def pieces(docs: DataFrame, window: int = WINDOW, path: str | None = None) -> DataFrame:
-    """``slot, doc_id, start, length, doc_tokens, ids``: each document's ids and the end id, cut.
+    """``doc_id, start, length, doc_tokens, ids``: each document's ids and the end id, cut.
 
     A null text counts as empty and has the end id alone. ``ids`` are
     little-endian, two bytes each for vocabularies up to 65,536.
@@ -104,38 +96,36 @@ def pieces(docs: DataFrame, window: int = WINDOW, path: str | None = None) -> Da
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, seen = encoder(path), TaskContext.get().partitionId() << 36
+        enc = encoder(path)
         end = np.array([END_ID], enc.dtype)
         for batch in batches:
-            slots, keys, starts, lengths, totals, raw = [], [], [], [], [], []
-            encoded = enc.encode(texts(batch.column(1)))
+            keys, starts, lengths, totals, raw = [], [], [], [], []
+            encoded = enc.encode(batch.column(1))
             for key, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
                 ids = np.concatenate([ids, end])
                 for at in range(0, len(ids), window):
                     part = ids[at : at + window]
-                    slots.append(_mixed(seen))
                     keys.append(key)
                     starts.append(at)
                     lengths.append(len(part))
                     totals.append(len(ids))
                     raw.append(part.tobytes())
-                    seen += 1
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(slots, pa.int64()),
                     pa.array(keys, batch.schema.field(0).type),
                     pa.array(starts, pa.int64()),
                     pa.array(lengths, pa.int64()),
                     pa.array(totals, pa.int64()),
                     pa.array(raw, pa.binary()),
                 ],
-                ["slot", "doc_id", "start", "length", "doc_tokens", "ids"],
+                ["doc_id", "start", "length", "doc_tokens", "ids"],
             )
 
     return map_batches(
         docs.select("doc_id", "text"),
         work,
-        f"slot long, doc_id {id_type}, start long, length long, doc_tokens long, ids binary",
+        f"doc_id {id_type}, start long, length long, doc_tokens long, ids binary",
+        ENCODED_ROWS,
     )
 
 
@@ -151,7 +141,8 @@ def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None) -> Data
     id_type = docs.schema["doc_id"].dataType.simpleString()
     size = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.count(F.lit(1)).alias("n")).first()
     shards = max(1, math.ceil(((size.b or 0) + size.n) / SHARD_BYTES))
-    cut = pieces(docs, window, path).repartition(shards, "slot")
+    slot = F.xxhash64("doc_id", "start", "ids").alias("slot")
+    cut = pieces(docs, window, path).select(slot, "*").repartition(shards, "slot")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [*batches]
@@ -159,7 +150,7 @@ def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None) -> Data
             return
         rows = pa.Table.from_batches(found)
         dtype, first = encoder(path).dtype, TaskContext.get().partitionId() << 32
-        rows = rows.sort_by("slot")
+        rows = rows.sort_by([("slot", "ascending"), ("doc_id", "ascending"), ("start", "ascending")])
         keys, raw = rows["doc_id"].to_pylist(), rows["ids"].combine_chunks()
         starts, totals = rows["start"].to_numpy(), rows["doc_tokens"].to_numpy()
         lengths = rows["length"].to_numpy()

@@ -24,8 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from revtext.llm.batches import map_batches, texts
-from revtext.llm.tokens import encoder, tokenizer_path
+from revtext.llm.batches import map_batches
+from revtext.llm.tokens import ENCODED_ROWS, encoder, tokenizer_path
 from revtext.storage import stage
 
 END_ID = 2
@@ -70,12 +70,12 @@ def encode_documents(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFr
         enc = encoder(path)
         end = np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
-            ids = [x.tobytes() + end for x in enc.encode(texts(batch.column(1)))]
+            ids = [x.tobytes() + end for x in enc.encode(batch.column(1))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"]
             )
 
-    return map_batches(docs.select("doc_id", "text"), work, f"doc_id {id_type}, ids binary")
+    return map_batches(docs.select("doc_id", "text"), work, f"doc_id {id_type}, ids binary", ENCODED_ROWS)
 
 
 def frequency_ranks(encoded: DataFrame, path: str) -> np.ndarray:
@@ -108,7 +108,7 @@ def write_token_files(
     """
     path = path or tokenizer_path()
     spark = docs.sparkSession
-    encoded = stage(encode_documents(docs, path, end_id), "ids")
+    encoded = stage(encode_documents(docs, path, end_id), "ids", codec="zstd")
     by_rank = frequency_ranks(encoded, path)
     rank_of = np.empty(len(by_rank), np.uint32)
     rank_of[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
@@ -157,7 +157,7 @@ def write_token_files(
         f"part long, block long, first long, doc_ids array<{id_type}>, lengths array<bigint>, "
         "control binary, data binary",
     )
-    blocks.write.parquet(f"{out}/blocks")
+    blocks.write.option("compression", "zstd").parquet(f"{out}/blocks")
     ranks = spark.createDataFrame(
         [(r, int(i)) for r, i in enumerate(by_rank)], "rank long, id long"
     )

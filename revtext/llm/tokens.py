@@ -1,8 +1,10 @@
 """Token ids of whole texts through a public tokenizer, with a cache of words.
 
-The byte-level pre-tokenizer never joins what a single space between two
-non-space characters separates, and the space goes with what follows. So a
-text is cut there, pieces are looked up, and only new pieces are encoded.
+Texts are cut in their bytes where the byte-level pre-tokenizer always cuts:
+before a single space, around a single line end, and between ASCII letters and
+punctuation, apostrophes aside. Only the distinct units of a batch are looked up, and
+the ids of the batch are gathered from theirs. Texts that hold an added token
+of the tokenizer, which may end anywhere, or white space beyond ASCII are encoded whole.
 """
 
 from __future__ import annotations
@@ -12,20 +14,42 @@ import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Pieces of one generation of the cache; two are kept. Longer pieces are not.
+#: Rows of a batch of texts to encode: the more at once, the fewer distinct units.
+ENCODED_ROWS = 1_000
+#: Units of the cache; when it is full it starts anew.
 CACHE_ENTRIES = 250_000
-CACHE_CHARS = 40
-#: Punctuation that may follow a word; the pre-tokenizer parts it from letters.
-TAIL = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
+#: New units encoded in one text.
+TOGETHER = 20_000
+#: Longer units are encoded each time.
+CACHE_BYTES = 48
 
-_spaces_meet = re.compile(r" \s|\s ").search
-_space = re.compile(r"\s").search
-_safe_cut = re.compile(r"(?<=\S) (?=\S)").split
+#: White space that is one byte, and white space that is more or rare.
+_ASCII_SPACE = b" \t\n\x0b\x0c\r"
+_OTHER_SPACE = r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+#: Kinds of bytes: white space, letters, punctuation that no letter can follow in one unit, others.
+_SPACE, _LETTER, _SIGN, _REST = range(4)
+
+_fits_line = re.compile(rb" ?[^ \t\n\x0b\x0c\r]+").fullmatch
 
 _encoders: dict[str, Encoder] = {}
 
 
+def _byte_kinds() -> np.ndarray:
+    kinds = np.full(256, _REST, np.uint8)
+    kinds[list(b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~')] = _SIGN
+    kinds[ord("a") : ord("z") + 1] = _LETTER
+    kinds[ord("A") : ord("Z") + 1] = _LETTER
+    kinds[list(_ASCII_SPACE)] = _SPACE
+    return kinds
+
+
+_KIND = _byte_kinds()
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -39,76 +63,109 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def unit_starts(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Where units begin in the bytes of texts, which begin and end at ``edges``; texts begin units."""
+    kind = _KIND[data]
+    cut = np.zeros(len(data) + 1, bool)
+    if len(data) > 2:
+        before, here, after = kind[:-2], kind[1:-1], kind[2:]
+        # A text that ends or begins beside a white space is no neighbour of it.
+        lone = (here == _SPACE) & (before != _SPACE) & (after != _SPACE)
+        inner = edges[(edges > 0) & (edges < len(data))]
+        for beside in (inner, inner - 1):
+            beside = beside[(beside >= 1) & (beside < len(data) - 1)]
+            lone[beside - 1] = False
+        middle = data[1:-1]
+        cut[1:-2] |= lone & ((middle == 32) | (middle == 10))
+        cut[2:-1] |= lone & (middle == 10)
+    if len(data) > 1:
+        cut[1:-1] |= (kind[:-1] == _LETTER) & (kind[1:] == _SIGN)
+        cut[1:-1] |= (kind[:-1] == _SIGN) & (kind[1:] == _LETTER)
+    cut[edges] = True
+    cut[-1] = False
+    return np.flatnonzero(cut)
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.recent: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {}
-        # The byte-level alphabet: bytes without a visible character stand 256 and up.
-        hidden = [*range(33), *range(127, 161), 173]
-        self.shown = {b: 256 + i for i, b in enumerate(hidden)}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, without special tokens."""
-        if len(self.recent) > CACHE_ENTRIES:
-            self.older, self.recent = self.recent, {}
-        known, out = self.recent.get, []
-        for text in texts:
-            pieces = _safe_cut(text) if _spaces_meet(text) else text.split(" ")
-            found = list(map(known, pieces))
-            found[0] = self._head(pieces[0])
-            if None in found:
-                for i, ids in enumerate(found):
-                    if ids is None:
-                        found[i] = self._after_space(pieces[i])
-            out.append(np.frombuffer(b"".join(found), self.dtype))
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.units: dict[bytes, bytes] = {}
+        self.line_end = self.tokenizer.token_to_id("Ċ")
+
+    def encode(self, texts: pa.Array | list[str]) -> list[np.ndarray]:
+        """Ids of each text, null as empty, without special tokens."""
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        column = pc.fill_null(column, "")
+        whole = pc.match_substring_regex(column, _OTHER_SPACE)
+        for added in self.added:
+            whole = pc.or_(whole, pc.match_substring(column, added))
+        out = self._by_units(pc.if_else(whole, "", column))
+        for i in np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist():
+            out[i] = np.frombuffer(self._ids(column[i].as_py()), self.dtype)
         return out
 
-    def _bytes(self, ids: list[int]) -> bytes:
-        return array(self.code, ids).tobytes()
-
-    def _head(self, piece: str) -> bytes:
-        """Ids of a piece that no space precedes."""
-        ids = self.heads.get(piece)
-        if ids is None:
-            ids = self._split(piece, "")
-            if len(piece) <= CACHE_CHARS:
-                if len(self.heads) > CACHE_ENTRIES // 5:
-                    self.heads.clear()
-                self.heads[piece] = ids
-        return ids
-
-    def _after_space(self, piece: str) -> bytes:
-        """Ids of a piece and the space before it."""
-        ids = self.recent.get(piece) or self.older.get(piece) or self._split(piece, " ")
-        if len(piece) <= CACHE_CHARS:
-            self.recent[piece] = ids
-        return ids
-
-    def _split(self, piece: str, space: str) -> bytes:
-        """A word, its punctuation and what follows a line end are units apart; anything else stays whole."""
-        word = piece.rstrip(TAIL)
-        if word.isalpha() and len(word) <= CACHE_CHARS:
-            if len(word) == len(piece):
-                return self._word(word, "Ġ" if space else "")
-            own = self._after_space(word) if space else self._head(word)
-            return own + self._head(piece[len(word) :])
-        lines = piece.split("\n")
-        if len(lines) > 1 and all(x and not _space(x) for x in lines):
-            first = self._after_space(lines[0]) if space else self._head(lines[0])
-            return self._head("\n").join([first, *map(self._head, lines[1:])])
-        return self._bytes(self.tokenizer.encode(space + piece, add_special_tokens=False).ids)
-
-    def _word(self, word: str, start: str) -> bytes:
-        """Ids of letters, with a space before them or not, which are one unit of the pre-tokenizer."""
-        if not word.isascii():
-            word = word.encode().decode("latin-1").translate(self.shown)
-        return self._bytes([t.id for t in self.tokenizer.model.tokenize(start + word)])
+    def _ids(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _by_units(self, column: pa.Array) -> list[np.ndarray]:
+        joined = pa.concat_arrays([column.cast(pa.binary())])  # without the offset of a slice
+        offsets = np.frombuffer(joined.buffers()[1], np.int32)[joined.offset :][: len(joined) + 1]
+        first, last = int(offsets[0]), int(offsets[-1])
+        if first == last:
+            return [np.empty(0, self.dtype)] * len(joined)
+        raw = joined.buffers()[2]
+        edges = (offsets - first).astype(np.int64)
+        starts = unit_starts(np.frombuffer(raw, np.uint8)[first:last], edges)
+        bounds = np.append(starts, last - first).astype(np.int32) + np.int32(first)
+        units = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), raw])
+        coded = units.dictionary_encode()
+        found = self._known(coded.dictionary.to_pylist())
+        at = coded.indices.to_numpy()
+        # A batch is far below 2 ** 31 ids.
+        sizes = np.fromiter(map(len, found), np.int32, len(found)) // np.int32(self.dtype.itemsize)
+        begin = np.cumsum(sizes, dtype=np.int32) - sizes
+        own = sizes[at]
+        upto = np.cumsum(own, dtype=np.int32)
+        place = np.repeat(begin[at] - upto + own, own)
+        place += np.arange(len(place), dtype=np.int32)
+        ids = np.frombuffer(b"".join(found), self.dtype)[place]
+        # Ids before the unit at which each text begins.
+        ends = np.append(0, upto)[np.searchsorted(starts, edges)]
+        return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+    def _known(self, units: list[bytes]) -> list[bytes]:
+        """Ids of distinct units; new ones are encoded together, in one text with a unit per line."""
+        if len(self.units) > CACHE_ENTRIES:
+            self.units.clear()
+        found = list(map(self.units.get, units))
+        lines = []
+        for i in [i for i, ids in enumerate(found) if ids is None]:
+            if _fits_line(units[i]):
+                lines.append(i)
+            else:
+                found[i] = self._ids(units[i].decode())
+        for k in range(0, len(lines), TOGETHER):
+            some = lines[k : k + TOGETHER]
+            new = [units[i] for i in some]
+            for i, unit, ids in zip(some, new, self._together(new), strict=True):
+                found[i] = ids
+                if len(unit) <= CACHE_BYTES:
+                    self.units[unit] = ids
+        return found
+
+    def _together(self, units: list[bytes]) -> list[bytes]:
+        text, size = b"\n".join(units).decode(), self.dtype.itemsize
+        raw = array(self.code, self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+        at = np.flatnonzero(np.frombuffer(raw, self.dtype) == self.line_end)
+        if len(at) != len(units) - 1:
+            return [self._ids(unit.decode()) for unit in units]
+        edges = (at * size).tolist()
+        begins = [0, *(e + size for e in edges)]
+        return [raw[a:b] for a, b in zip(begins, [*edges, len(raw)], strict=True)]

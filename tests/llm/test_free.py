@@ -7,10 +7,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from revtext.llm import compression, packing, perplexity, pii, tokenfile, tokens, toxicity
+from revtext.llm import batches, compression, packing, perplexity, pii, tokenfile, tokens, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string"
 LONG = "lorem ipsum dolor " * 20_000
@@ -29,8 +30,10 @@ EDGES = ["", None, " \n\t", "a", "x" * 30_000, LONG, "a b c", "a b c", "é ß 
 
 @pytest.fixture(scope="module")
 def plain():
-    enc = tokens.Encoder(tokens.tokenizer_path())
-    return lambda t: enc.tokenizer.encode(t or "", add_special_tokens=False).ids
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(tokens.tokenizer_path())
+    return lambda t: fresh.encode(t or "", add_special_tokens=False).ids
 
 
 def test_cached_ids_are_the_tokenizers(plain):
@@ -43,6 +46,35 @@ def test_cached_ids_are_the_tokenizers(plain):
         assert ids.tolist() == plain(text), repr(text)[:80]
 
 
+def test_ids_of_slices_nulls_and_batches(plain):
+    enc = tokens.Encoder(tokens.tokenizer_path())
+    column = pa.array(["skipped ", " the", None, "", "a \n b\nc.", "\n", " ", "x <|endoftext|> y", "a\u00a0 b", "tab\there"])
+    for part in (column, column.slice(1), column.slice(2, 2), column.slice(3, 0)):
+        assert [ids.tolist() for ids in enc.encode(part)] == [plain(t) for t in part.to_pylist()]
+    assert plain("a <|endoftext|> b") == enc.encode(["a <|endoftext|> b"])[0].tolist() == [64, 220, 50256, 275]
+
+
+def test_a_full_cache_starts_anew(plain, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_ENTRIES", 3)
+    monkeypatch.setattr(tokens, "TOGETHER", 2)
+    enc = tokens.Encoder(tokens.tokenizer_path())
+    for text in ("one two three four five", "two six, seven!", "one éa ñandú (two)"):
+        assert enc.encode([text])[0].tolist() == plain(text)
+
+
+def test_batches_are_cut_by_rows_and_bytes(spark):
+    rows = pa.record_batch({"t": ["x" * 100] * 1000 + ["y" * 50_000] * 3 + [""] * 7})
+    cut = list(batches.sliced([rows], 300, 20_000))
+    assert pa.Table.from_batches(cut).equals(pa.Table.from_batches([rows]))
+    assert all(b.num_rows <= 300 and (b.nbytes <= 20_000 or b.num_rows == 1) for b in cut)
+    rows_setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows_setting)
+    spark.conf.set(batches.BYTES_SETTING, "64m")
+    assert batches.map_batches(spark.range(5).selectExpr("string(id) t"), lambda b: b, "t string").count() == 5
+    assert spark.conf.get(rows_setting) == before and batches._bytes(spark.conf.get(batches.BYTES_SETTING)) == 8 << 20
+    assert [batches._bytes(x) for x in ("7", "7b", "3k", "2MB")] == [7, 7, 3072, 2 << 20]
+
+
 @pytest.mark.parametrize("values", [[], [0], [255, 256, 65535, 65536, 2**24 - 1, 2**24, 2**32 - 1], [7] * 13])
 def test_values_round_trip(values):
     values = np.array(values, np.uint32)
@@ -86,6 +118,15 @@ def test_token_files_with_null_and_repeated_ids_and_of_nothing(spark, tmp_path):
 # --- packing ---------------------------------------------------------------------------------
 
 
+def test_shards_do_not_depend_on_the_place_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_BYTES", 20_000)
+    docs = frame(spark, [f"w{i} " * (i % 90 * 20) for i in range(120)])
+    columns = ["doc_id", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    runs = [docs.repartition(2), docs.orderBy(F.desc("doc_id")).repartition(5)]
+    first, second = (sorted(map(tuple, packing.placements(packing.pack(d)).select(*columns).collect())) for d in runs)
+    assert first == second and len({r[4] >> 32 for r in first}) > 3
+
+
 def plain_best_fit(lengths, window):
     free, placed = [], {}
     for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
@@ -489,3 +530,29 @@ def test_quality_scores_of_edge_rows(spark):
     assert compression.classify(df.where("doc_id > 99"), model).collect() == []
     with pytest.raises(ValueError):
         compression.classify(df.withColumn("score", F.lit(1)), model)
+
+
+def test_long_words_are_read_whole():
+    assert toxicity.words_of("short words stay, also with_signs!") == ["short", "words", "stay,", "also", "with_signs!"]
+    handle = "this_is_a_very_long_handle_badword_hidden_in_the_middle"
+    assert "badword" in toxicity.words_of(f"see {handle} there")
+    rng = random.Random(12)
+    for size in (25, 40, 41, 56, 57, 300):
+        word = "".join(rng.choices("abcdefghij", k=size))
+        parts = toxicity.words_of(word)
+        assert all(len(p) <= toxicity.WORD_CHARS for p in parts)
+        joined = parts[0]
+        for p in parts[1:]:
+            shared = toxicity.WORD_CHARS - toxicity.PART_STEP
+            assert joined[-shared:] == p[:shared]
+            joined += p[shared:]
+        assert joined == word
+    assert toxicity.words_of("") == [] and toxicity.words_of("_" * 30) == []
+
+
+def test_words_that_differ_in_the_middle_score_differently():
+    net = toxicity.start(["w"])
+    a, b = ("x" * 30 + middle + "y" * 30 for middle in ("stone" * 3, "river" * 3))
+    first, second = toxicity.Scorer(net).score([f"one {a} two", f"one {b} two"])
+    assert first != second
+    assert len(toxicity.Scorer(net).score(["", "_" * 40, "x" * 1_000_000, "字" * 5000])) == 4
