@@ -11,6 +11,7 @@ from revtext.llm import (
     chat,
     compression,
     merkle,
+    merkle_sql,
     mixing,
     packing,
     perplexity,
@@ -133,6 +134,7 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS
   sha256(loss) AS loss_sha256, formatted_chars
 FROM per
 """,
+    "op11_merkle_manifest": merkle_sql.SQL,
     "op4_mix_sources": r"""
 WITH sized AS (
   SELECT doc_id, source,
