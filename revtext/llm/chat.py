@@ -132,20 +132,26 @@ def format_chats(
 
 
 def read_chats(chats: DataFrame, conv: str = "conv_id") -> DataFrame:
-    """``read``: (role, text, loss) of each turn, taken out of ``formatted`` again.
+    """``read``: (role, text, loss, masked) of each turn, taken out of ``formatted`` again.
 
-    Placeholders come back as they are shown, so a text that spells one out
-    keeps its backslash until it is unescaped and the two stay apart.
+    ``text`` is what stands between a turn's marks, ``masked`` what its ``start`` and ``length`` cover; they
+    are the same as long as the spans are right. Placeholders come back as they are shown, so a text that
+    spells one out keeps its backslash until it is unescaped and the two stay apart.
     """
     blocks = F.slice(F.split("formatted", r"<\|im_start\|>"), 2, F.size("turns"))
 
-    def one(b: Column) -> Column:
-        block, loss = b["block"], b["turn"]["loss"]
+    def one(b: Column, i: Column) -> Column:
+        block, turn, before = b["block"], b["turn"], F.get("turns", i - 1)
         name = F.substring_index(block, "\n", 1)
         start = F.length(name) + 2
         content = F.substr(block, start, F.length(block) - start - (len(TAIL) - 1))
         role = unescape(F.replace(name, F.lit(LINE), F.lit("\n")))
-        return F.struct(role.alias("role"), unescape(content).alias("text"), loss.alias("loss"))
+        # A block begins where the one before ends, and its mark is cut off.
+        begin = F.coalesce(before["start"] + before["length"] + len(TAIL), F.lit(0)) + len(START)
+        span = F.substr(block, (turn["start"] - begin + 1).cast("int"), turn["length"].cast("int"))
+        return F.struct(
+            role.alias("role"), unescape(content).alias("text"), turn["loss"].alias("loss"), unescape(span).alias("masked")
+        )
 
     zipped = F.arrays_zip(blocks.alias("block"), F.col("turns").alias("turn"))
     return chats.select("*", F.transform(zipped, one).alias("read"))
@@ -156,7 +162,7 @@ def digest(chats: DataFrame, conv: str = "conv_id") -> DataFrame:
     turns = F.array_join(
         F.transform("read", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""
     )
-    learned = F.transform(F.filter("read", lambda t: t["loss"]), lambda t: t["text"])
+    learned = F.transform(F.filter("read", lambda t: t["loss"]), lambda t: t["masked"])
     read = read_chats(chats, conv).select("*", turns.alias("said"), F.array_join(learned, "").alias("learned"))
     return read.select(
         conv,
