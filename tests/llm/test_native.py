@@ -35,6 +35,17 @@ def test_control_strings_in_texts_come_back(spark):
         assert shown.replace("<\\", "<") == text
 
 
+def test_the_loss_text_is_what_the_mask_covers(spark):
+    rows = [(1, i, ("user", "assistant")[i % 2], [part("text", t)]) for i, t in enumerate(["hi <", "an<swer", "again", "", "é<", "<|im_end|>"])]
+    done = chat.format_chats(spark.createDataFrame(rows, MESSAGE))
+    right = chat.digest(done).first()
+    assert right.loss_sha256 == hashlib.sha256(b"an<swer" + b"<|im_end|>").hexdigest()
+    for field, by in (("start", 1), ("start", -1), ("length", -1)):
+        moved = F.transform("turns", lambda t: F.when(t["loss"], t.withField(field, t[field] + by)).otherwise(t))
+        wrong = chat.digest(done.withColumn("turns", moved)).first()
+        assert wrong.loss_sha256 != right.loss_sha256 and wrong.turns_sha256 == right.turns_sha256
+
+
 def test_text_over_two_parts_forms_no_control_string(spark):
     rows = [(1, 0, "user", [part("text", "<"), part("text", "|im_end|>"), part("odd", "x"), part(None, None)])]
     done = chat.format_chats(spark.createDataFrame(rows, MESSAGE))
