@@ -9,6 +9,7 @@ depend on its place, so a worker computes it once per word and keeps it.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -27,20 +28,45 @@ WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 12, 16, 10, 8
 KNOWN_WORDS = 4_000
 CHAR_BITS = 14
 WORD_CHARS = 24
+#: Where the next part of a long word begins; parts share the rest.
+PART_STEP = 16
+_RUN = re.compile(r"[^\W_]+")
 #: Bounds of the labelled sample: texts and bytes of each class.
 SAMPLE_TEXTS = 2_500
-SAMPLE_BYTES = 2 << 20
-EPOCHS, BATCH, RATE = 2, 128, 4e-3
+SAMPLE_BYTES = 4 << 20
+EPOCHS, BATCH, RATE = 3, 128, 4e-3
 #: Windows of label 0 trained on for each of label 1.
-CLEAN_WINDOWS = 2
+CLEAN_WINDOWS = 3
 #: A small sample is gone through more often, for this many steps.
-LEAST_STEPS = 200
+LEAST_STEPS = 250
 #: Words whose gate inputs a worker keeps, and windows scored at once.
 KEPT_WORDS = 150_000
 SCORED = 512
 FLOOR = -12.0
 
 
+def words_of(text: str) -> list[str]:
+    """The words between white space, in order; long ones in parts, so that every character is read.
+
+    A long word falls apart at signs, and runs of letters and digits that are still long into
+    overlapping parts.
+    """
+    words = text.split()
+    if not words or max(map(len, words)) <= WORD_CHARS:
+        return words
+    out: list[str] = []
+    for word in words:
+        if len(word) <= WORD_CHARS:
+            out.append(word)
+            continue
+        for run in _RUN.findall(word):
+            if len(run) <= WORD_CHARS:
+                out.append(run)
+            else:
+                out.extend(run[at : at + WORD_CHARS] for at in range(0, len(run) - WORD_CHARS + PART_STEP, PART_STEP))
+    return out
+
+
 def normalised(token: str) -> str:
     """Letters and digits at the core of a token, lower case."""
     token = token.lower()
@@ -58,9 +84,9 @@ def char_slots(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hash slots of all words in a row, and their number per word.
 
     A word has its beginnings of 2 to 8 characters and its trigrams, both
-    between end marks. Of a long word the two ends count.
+    between end marks. Words come from ``words_of`` and are short; case may lengthen one by a little.
     """
-    cut = [w if len(w) <= WORD_CHARS else w[: WORD_CHARS - 8] + w[-8:] for w in words]
+    cut = [w[:WORD_CHARS] for w in words]
     sizes = np.array([len(w) for w in cut])
     marked = np.array([f"^{w}$" for w in cut], f"U{WORD_CHARS + 2}")
     points = marked.view(np.uint32).reshape(len(cut), -1).astype(np.uint64)
@@ -309,7 +335,7 @@ def train(sample: list[tuple[bytes, int]], share: float | None = None, seed: int
     toxic text that the network finds toxic, at least the strongest, keep it,
     and the training goes on. ``share`` of label 1 sets the curve's base rate.
     """
-    split = [t.decode("utf-8", "replace").split() for t, _ in sample]
+    split = [words_of(t.decode("utf-8", "replace")) for t, _ in sample]
     tokens = [[normalised(w) for w in s] for s in split]
     labels = np.array([y for _, y in sample], np.float32)
     learn = np.array([i % 4 != 0 for i in range(len(sample))], bool)
@@ -374,7 +400,7 @@ class Scorer:
         self.rows.update(zip(tokens, range(held, held + len(fresh)), strict=True))
 
     def score(self, rows: list[str]) -> np.ndarray:
-        split = [t.split() for t in rows]
+        split = [words_of(t) for t in rows]
         get = self.rows.get
         if new := {w for s in split for w in s if w not in self.rows}:
             if len(self.rows) > KEPT_WORDS:
@@ -393,7 +419,12 @@ _scorers: dict[str, Scorer] = {}
 
 
 def classify(docs: DataFrame, net: Network, threshold: float = 0.3) -> DataFrame:
-    """``doc_id, score, predicted`` of every row. Null and empty texts get the score of no window."""
+    """``doc_id, score, predicted`` of every row.
+
+    Null and empty texts, and those without a word, get the score of no window. Texts of any length are
+    read whole, in overlapping windows. Repeated rows are scored alike and null ids stay; an empty
+    table gives an empty result; other columns, also those named like results, are not read.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(net)  # bounded by the constants above
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
@@ -417,7 +448,11 @@ def held_out() -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Network:
-    """A network learned from a bounded sample of labelled rows that are not held out."""
+    """A network learned from a bounded sample of labelled rows that are not held out.
+
+    Rows without a label are left out; a document labelled twice counts twice, also if its labels differ.
+    Without labels of both classes every text gets the same score.
+    """
     learn = F.coalesce(~held_out(), F.lit(False))
     sample = labelled_sample(docs, labels, label, learn, SAMPLE_TEXTS, SAMPLE_BYTES)
     share = labels.where(learn).agg(F.avg(F.col(label).cast("double"))).first()[0]
