@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 #: Rows of a batch that an operator works on at once, and the bytes that close it before that.
 BATCH_ROWS = 500
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 BYTES_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 

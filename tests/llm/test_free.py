@@ -71,7 +71,7 @@ def test_batches_are_cut_by_rows_and_bytes(spark):
     before = spark.conf.get(rows_setting)
     spark.conf.set(batches.BYTES_SETTING, "64m")
     assert batches.map_batches(spark.range(5).selectExpr("string(id) t"), lambda b: b, "t string").count() == 5
-    assert spark.conf.get(rows_setting) == before and batches._bytes(spark.conf.get(batches.BYTES_SETTING)) == 8 << 20
+    assert spark.conf.get(rows_setting) == before and batches._bytes(spark.conf.get(batches.BYTES_SETTING)) == batches.BATCH_BYTES
     assert [batches._bytes(x) for x in ("7", "7b", "3k", "2MB")] == [7, 7, 3072, 2 << 20]
 
 
