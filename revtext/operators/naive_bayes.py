@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from revtext.functions.labels import class_of
 from revtext.functions.lookup import MAX_ENTRIES, constant_array
+from revtext.functions.rules import bind
 from revtext.operators.scoring import add_prediction
 from revtext.schemas import VOCAB_SIZE, check_classes
 from revtext.storage import stage
@@ -155,10 +156,16 @@ class NaiveBayesModel:
 
 
 def softmax(scores: str) -> Column:
-    """Probabilities of log scores, safe against underflow."""
-    top = F.array_max(scores)
-    total = F.aggregate(scores, F.lit(0.0), lambda acc, s: acc + F.exp(s - top))
-    return F.transform(scores, lambda s: F.exp(s - top - F.log(total)))
+    """Probabilities of log scores, safe against underflow.
+
+    The scores are named once, so that they are computed once wherever the optimiser puts them.
+    """
+
+    def shares(each: Column, top: Column) -> Column:
+        total = F.aggregate(each, F.lit(0.0), lambda acc, s: acc + F.exp(s - top))
+        return bind(F.log(total), lambda log_total: F.transform(each, lambda s: F.exp(s - top - log_total)))
+
+    return bind(F.col(scores), lambda each: bind(F.array_max(each), lambda top: shares(each, top)))
 
 
 def fit_naive_bayes(

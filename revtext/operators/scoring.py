@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from revtext.functions.labels import class_of
+from revtext.functions.rules import bind
 from revtext.schemas import MAX_LEN, SCORING_BATCH
 
 
 def add_prediction(df: DataFrame, probability: str = "probability") -> DataFrame:
     """Add ``prediction``: the most probable class, first on ties."""
-    return df.withColumn("prediction", class_of(F.col(probability)))
+    return df.withColumn("prediction", bind(F.col(probability), class_of))
 
 
 def score_batches(
