@@ -26,7 +26,9 @@ from revtext.schemas import SEED, VOCAB_SIZE, check_classes
 # Embedding width and hidden layers for 2 and 5 classes.
 EMBEDDING = 128
 #: Rows that one task learns word vectors from, unless told otherwise.
-EMBEDDING_ROWS = 200_000
+EMBEDDING_ROWS = 25_000
+#: Rows of one task of a solver; more than so many for each given partition are spread over more tasks.
+SOLVER_ROWS = 20_000
 HIDDEN = {2: (128, 128), 5: (256, 128)}
 
 
@@ -63,13 +65,19 @@ def training_rows(
     """Labelled rows of a stored table for a solver, which keeps its own copy.
 
     Every pass of a solver starts one task per partition: ``num_partitions``
-    merges the tiny ones of a small table without a shuffle, None leaves them.
+    merges the tiny ones of a small table without a shuffle, None leaves them. A
+    larger table keeps a partition for every ``SOLVER_ROWS`` rows, as far as it has so many.
     """
     label = class_of(F.col("label_ohe")).cast("double")
     # Naming the classes keeps those absent from the training rows.
     nominal = {"ml_attr": {"type": "nominal", "num_vals": check_classes(num_classes)}}
     rows = encoded.select(features, label.alias("label", metadata=nominal))
-    return rows.coalesce(num_partitions) if num_partitions else rows
+    return rows.coalesce(max(num_partitions, encoded.count() // SOLVER_ROWS)) if num_partitions else rows
+
+
+def parts_of_embedding(encoded: DataFrame, given: int | None = None) -> int:
+    """In how many parts word vectors are learned: as many as given, or one for every ``EMBEDDING_ROWS`` rows."""
+    return 1 + encoded.count() // EMBEDDING_ROWS if given is None else given
 
 
 def fit_logistic_regression(
@@ -122,8 +130,6 @@ def fit_perceptron(
     averaged: more are faster and give other vectors, whatever the cluster. None
     takes a part for every ``EMBEDDING_ROWS`` rows.
     """
-    if embedding_partitions is None:
-        embedding_partitions = 1 + encoded.count() // EMBEDDING_ROWS
     classifier = MultilayerPerceptronClassifier(
         featuresCol="vector",
         layers=[embedding, *HIDDEN[check_classes(num_classes)], num_classes],
@@ -139,7 +145,7 @@ def fit_perceptron(
         vectorSize=embedding,
         minCount=1,
         maxIter=embedding_iter,
-        numPartitions=embedding_partitions,
+        numPartitions=parts_of_embedding(encoded, embedding_partitions),
         seed=seed,
     )
     pipe = Pipeline(stages=[known_words(), vectors, classifier])

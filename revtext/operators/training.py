@@ -12,7 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revtext.operators.metrics import evaluate_predictions
-from revtext.operators.spark_ml import EMBEDDING, HIDDEN, SparkMLModel, known_words, training_rows
+from revtext.operators.spark_ml import (
+    EMBEDDING,
+    HIDDEN,
+    SparkMLModel,
+    known_words,
+    parts_of_embedding,
+    training_rows,
+)
 from revtext.operators.splitting import POINTS, point
 from revtext.schemas import SEED, check_classes
 from revtext.storage import is_finished, stage
@@ -61,7 +68,7 @@ def train_in_slices(
     patience: int = PATIENCE,
     embedding: int = EMBEDDING,
     embedding_iter: int = 1,
-    embedding_partitions: int = 1,
+    embedding_partitions: int | None = None,
     hidden: tuple[int, ...] | None = None,
     seed: int = SEED,
     num_partitions: int | None = None,
@@ -71,6 +78,7 @@ def train_in_slices(
     A slice starts from the weights of the one before and reads ``batch_share`` of the rows, chosen by a
     hash of row and slice, in blocks of ``block_size``. Training ends after ``slices``, or after
     ``patience`` of them that did not lower the loss on ``evaluation``; the best one is the model.
+    Word vectors are learned in ``embedding_partitions`` parts, None for a part for every ``EMBEDDING_ROWS`` rows.
 
     Word vectors, both sets of vectors and the weights after each slice are stored under
     ``path``. A call with the same path and arguments takes up finished slices; more ``slices`` go on behind
@@ -80,7 +88,7 @@ def train_in_slices(
     layers = [embedding, *(hidden or HIDDEN[check_classes(num_classes)]), num_classes]
     words = _word_vectors(
         training_rows(encoded, num_classes, num_partitions), f"{path}/vectors", embedding, embedding_iter,
-        embedding_partitions, seed,
+        parts_of_embedding(encoded, embedding_partitions), seed,
     )
     rows = words.transform(encoded).select("label_ohe", "vector")
     rows = _stored(rows.withColumn("row", F.monotonically_increasing_id()), f"{path}/train")

@@ -33,3 +33,24 @@ def test_probabilities_of_null_scores_are_null(spark):
     null = rows.select("review_id", F.lit(None).cast("array<int>").alias("features"), "label_ohe")
     for r in model.predict(null).collect():
         assert r.prediction is None and (r.probability is None or set(r.probability) == {None})
+
+
+def test_a_large_table_keeps_tasks_for_its_rows(spark, monkeypatch):
+    monkeypatch.setattr(spark_ml, "SOLVER_ROWS", 10)
+    rows = encoded_rows(spark, 60, 12)
+    parts = lambda n: spark_ml.training_rows(rows, 2, n).rdd.getNumPartitions()
+    assert (parts(1), parts(8), parts(None)) == (6, 8, 12)
+    assert spark_ml.training_rows(rows.where("review_id < 19"), 2, 1).rdd.getNumPartitions() == 1
+
+
+def test_slices_learn_word_vectors_in_parts(spark, monkeypatch, tmp_path):
+    made, plain = [], training.Word2Vec
+    monkeypatch.setattr(training, "Word2Vec", lambda **given: (made.append(given["numPartitions"]), plain(**given))[1])
+    monkeypatch.setattr(spark_ml, "EMBEDDING_ROWS", 20)
+    rows = encoded_rows(spark, 50)
+    for name, given in (("by-rows", None), ("given", 2)):
+        done = training.train_in_slices(
+            rows, rows, str(tmp_path / name), 2, slices=1, steps=1, embedding=4, hidden=(4,), embedding_partitions=given
+        )
+        assert done.model.predict(rows).count() == 50
+    assert made == [3, 2]
