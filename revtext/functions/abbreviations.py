@@ -26,7 +26,7 @@ _SPLIT_OFF = rf"""^({_BEFORE}({WORD}))\.([\])}}>"'»”’]*{SPACE})$"""
 
 def pieces(text: Column) -> Column:
     """What lies between white space."""
-    return F.filter(F.split(text, f"{SPACE}+"), lambda p: p != "")
+    return F.array_remove(F.split(text, f"{SPACE}+"), "")
 
 
 def words_before_period(text: Column) -> Column:

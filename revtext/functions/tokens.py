@@ -39,8 +39,9 @@ CLOSING = (
         (
             Rule("''", " '' "),
             Rule('"', " '' "),
-            Rule(r"([^' ])('s|'m|'d|') ", "{1} {2} "),
-            Rule(r"([^' ])('ll|'re|'ve|n't) ", "{1} {2} "),
+            # From the apostrophe or the "n" on, which few characters are.
+            Rule(r"('(?<=[^' ]')[smd]?) ", " {1} "),
+            Rule(r"('(?<=[^' ]')(?:ll|re|ve)|n(?<=[^' ]n)'t) ", " {1} "),
         ),
     ),
     # Contractions written as one word.
@@ -91,7 +92,7 @@ def tokenize(text: Column, abbreviation: Callable[[Column], Column] | None = Non
     spaced = apply_rules(text, OPENING + PUNCTUATION)
     spaced = F.concat(F.lit(" "), spaced, F.lit(" "))
     spaced = apply_rules(spaced, CLOSING)
-    return F.filter(F.split(spaced, f"{SPACE}+"), lambda t: t != "")
+    return F.array_remove(F.split(spaced, f"{SPACE}+"), "")
 
 
 def remove_stop_words(tokens: Column, stop_words: Iterable[str] = STOP_WORDS) -> Column:

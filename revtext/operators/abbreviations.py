@@ -24,12 +24,18 @@ LEAST_SCORE = 0.3
 def word_periods(df: DataFrame, text: str = "text") -> DataFrame:
     """``word, n_final, n_plain``: how often each word has a period behind it, and has none."""
     piece = df.select(F.explode(pieces(F.col(text))).alias("piece"))
-    split = piece.select(
-        F.regexp_extract("piece", PIECE, 1).alias("word"),
+    # Counted before they are taken apart, so that each distinct piece is searched once. The word hangs
+    # on the count, as a filter of it would sink below the count otherwise, and the search with it.
+    counted = piece.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    split = counted.select(
+        F.when(F.col("n") > 0, F.regexp_extract("piece", PIECE, 1)).alias("word"),
         (F.regexp_extract("piece", PIECE, 2) == ".").cast("long").alias("final"),
+        "n",
+    )
+    words = split.where("word <> ''").groupBy("word")
+    return words.agg(
+        F.sum(F.col("final") * F.col("n")).alias("n_final"), F.sum((1 - F.col("final")) * F.col("n")).alias("n_plain")
     )
-    counted = split.where("word <> ''").groupBy("word")
-    return counted.agg(F.sum("final").alias("n_final"), F.sum(1 - F.col("final")).alias("n_plain"))
 
 
 def abbreviation_scores(counts: DataFrame) -> DataFrame:

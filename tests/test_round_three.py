@@ -54,3 +54,21 @@ def test_slices_learn_word_vectors_in_parts(spark, monkeypatch, tmp_path):
         )
         assert done.model.predict(rows).count() == 50
     assert made == [3, 2]
+
+
+def test_pieces_are_counted_before_they_are_searched(spark):
+    texts = spark.createDataFrame([("dr. who (dr.) dr",), ("dr. who, 7. ...",), (None,), ("",)], "text string")
+    counts = abbr.word_periods(texts)
+    assert {(r.word, r.n_final, r.n_plain) for r in counts.collect()} == {("dr", 3, 1), ("who", 0, 2)}
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract" not in plan[plan.index("Aggregate [piece") :]
+
+
+def test_contractions_behind_quotes_and_each_other(spark):
+    def split(text):
+        return spark.createDataFrame([(text,)], "text string").select(tokenize(F.col("text"))).first()[0]
+
+    assert split("he's she'd i'm dogs' they'll we've you're") == (
+        "he 's she 'd i 'm dogs ' they 'll we 've you 're".split()
+    )
+    assert split("don't n't 's won't") == "do n't n't 's wo n't".split()
