@@ -150,7 +150,7 @@ def index_by_join(
     found = joined.groupBy(key).agg(F.collect_list(F.struct("pos", "neg")).alias("found"))
 
     none = F.array().cast("array<struct<pos:int,neg:int>>")
-    at = F.array_sort(F.concat(in_place, F.coalesce("found", none)))
+    at = F.sort_array(F.concat(in_place, F.coalesce("found", none)))
     merged = df.join(found, key, "left").withColumn("found", at)
     first = F.filter(
         "found",
