@@ -109,6 +109,20 @@ def char_slots(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return slots[kept], kept.sum(axis=1)
 
 
+def slot_sums(table: np.ndarray, slots: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sum of the table's lines of each word; ``slots`` of all words in a row, words with most slots added first."""
+    order = np.argsort(-counts, kind="stable")
+    begin = (np.cumsum(counts) - counts)[order]
+    falling = -counts[order]
+    out = np.zeros((len(counts), table.shape[1]), table.dtype)
+    for k in range(int(counts.max(initial=0))):
+        there = np.searchsorted(falling, -k)
+        out[:there] += table[slots[begin[:there] + k]]
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
+    return out[back]
+
+
 def window_rows(ids: np.ndarray) -> np.ndarray:
     """Overlapping windows over one text's word rows; -1 beyond its end."""
     count = max(1, -(-(len(ids) - (WINDOW - STEP)) // STEP))
@@ -117,6 +131,9 @@ def window_rows(ids: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::STEP]
 
 
+_HALF = np.float32(0.5)
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 + 0.5 * np.tanh(0.5 * x)
 
@@ -130,8 +147,7 @@ class Network:
 
     def inputs(self, words: np.ndarray, slots: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Word and character embedding of each word; ``slots`` of all words in a row."""
-        begin = np.cumsum(counts) - counts
-        chars = np.add.reduceat(self.p["chars"][slots], begin) / counts[:, None]
+        chars = slot_sums(self.p["chars"], slots, counts) / counts[:, None].astype(np.float32)
         return np.concatenate([self.p["words"][words], chars], axis=1)
 
     def gates(self, words: list[str]) -> np.ndarray:
@@ -162,32 +178,52 @@ def start(vocabulary: list[str], seed: int = 7) -> Network:
     return Network({w: i + 1 for i, w in enumerate(vocabulary)}, p)
 
 
-def _direction(gates, rows, mask, u, steps, trace=None):
-    """States of one direction, (time, unit, window); ``gates`` has a line per word row.
+def _halved(p) -> tuple[np.ndarray, np.ndarray]:
+    """Both recurrent matrices, (direction, 3 * unit, unit), and what halves the arguments of the two gates.
 
-    ``trace`` keeps what the way back needs.
+    A sigmoid is computed from the tangent of half its argument; halves are exact.
     """
-    h = HIDDEN
-    state = np.zeros((h, rows.shape[1]), np.float32)
-    states = np.empty((len(rows), h, rows.shape[1]), np.float32)
-    turned, halves = np.ascontiguousarray(u.T), np.float32(0.5)
-    for t in steps:
-        x, hu = np.ascontiguousarray(gates[rows[t]].T), turned @ state
-        zr = x[: 2 * h] + hu[: 2 * h]
-        zr *= halves
+    half = np.ones(3 * HIDDEN, np.float32)
+    half[: 2 * HIDDEN] = 0.5
+    return np.stack([p["uf"].T, p["ub"].T]) * half[:, None], half
+
+
+def _states(gates, rows, mask, p, trace=None):
+    """States of both directions, (time, unit, window); ``gates`` has a line per word row.
+
+    Step k is the kth word of the first direction and the kth from the end of the second. ``trace`` keeps
+    what the way back needs.
+    """
+    h, length, width = HIDDEN, *rows.shape
+    turned, half = _halved(p)
+    table = np.ascontiguousarray(gates.T) * np.tile(half, 2)[:, None]
+    whole = mask.all(axis=1)
+    state = np.zeros((2, h, width), np.float32)
+    states = np.empty((length, 2, h, width), np.float32)
+    x = np.empty((2, 3 * h, width), np.float32)
+    for k in range(length):
+        ends = k, length - 1 - k
+        for d, t in enumerate(ends):
+            np.take(table[3 * h * d : 3 * h * (d + 1)], rows[t], axis=1, out=x[d], mode="clip")
+        hu = turned @ state
+        zr = x[:, : 2 * h] + hu[:, : 2 * h]
         np.tanh(zr, out=zr)
-        zr *= halves
-        zr += halves
-        z, r = zr[:h], zr[h:]
-        n = np.tanh(x[2 * h :] + r * hu[2 * h :])
+        zr *= _HALF
+        zr += _HALF
+        z, r = zr[:, :h], zr[:, h:]
+        n = r * hu[:, 2 * h :]
+        n += x[:, 2 * h :]
+        np.tanh(n, out=n)
         if trace is not None:
-            trace[t] = (state, z, r, n, hu[2 * h :])
+            trace.append((state, z, r, n, hu[:, 2 * h :]))
         new = state - n
         new *= z
         new += n
-        state = new if mask[t].all() else np.where(mask[t], new, state)
-        states[t] = state
-    return states
+        if not (whole[ends[0]] and whole[ends[1]]):
+            new = np.where(mask[list(ends), None], new, state)
+        state = new
+        states[ends[0], 0], states[ends[1], 1] = state
+    return states.reshape(length, 2 * h, width)
 
 
 def _pool(p, states, mask):
@@ -207,19 +243,13 @@ def _rows_and_mask(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def window_scores(net: Network, gates: np.ndarray, windows: np.ndarray) -> np.ndarray:
     """Logit of each window of word rows; ``gates`` has a line per word row."""
-    p, h = net.p, HIDDEN
-    forward, back = (np.ascontiguousarray(gates[:, i : i + 3 * h]) for i in (0, 3 * h))
+    p = net.p
     out = np.empty(len(windows), np.float32)
     for at in range(0, len(windows), SCORED):
-        rows, mask = _rows_and_mask(windows[at : at + SCORED])
-        states = np.concatenate(
-            [
-                _direction(forward, rows, mask, p["uf"], range(WINDOW)),
-                _direction(back, rows, mask, p["ub"], range(WINDOW)[::-1]),
-            ],
-            axis=1,
-        )
-        out[at : at + SCORED] = _pool(p, states, mask)[3]
+        used, local = np.unique(windows[at : at + SCORED], return_inverse=True)
+        rows, mask = _rows_and_mask(local.reshape(-1, WINDOW) - (used[0] < 0))
+        own = gates[used[used >= 0]] if used[-1] >= 0 else np.zeros((1, gates.shape[1]), np.float32)
+        out[at : at + SCORED] = _pool(p, _states(own, rows, mask, p), mask)[3]
     return out
 
 
@@ -229,12 +259,8 @@ def gradients(net: Network, windows, targets, words, slots, counts):
     rows, mask = _rows_and_mask(windows)
     x = net.inputs(words, slots, counts)
     gates = x @ p["wx"] + p["bx"]
-    traces, states = ({}, {}), []
-    parts = ((0, "uf", range(WINDOW)), (1, "ub", range(WINDOW)[::-1]))
-    for d, u, steps in parts:
-        own = np.ascontiguousarray(gates[:, 3 * h * d : 3 * h * (d + 1)])
-        states.append(_direction(own, rows, mask, p[u], steps, traces[d]))
-    both = np.concatenate(states, axis=1)
+    trace = []
+    both = _states(gates, rows, mask, p, trace)
     a, weights, pooled, logit = _pool(p, both, mask)
     slip = ((_sigmoid(logit) - targets) / len(targets)).astype(np.float32)
     g = {"wo": pooled @ slip, "bo": slip.sum(keepdims=True)}
@@ -245,36 +271,47 @@ def gradients(net: Network, windows, targets, words, slots, counts):
     d_a = d_e[:, None, :] * p["va"][:, None] * (1 - a * a)
     g["wa"] = np.einsum("tub,tab->ua", both, d_a, optimize=True)
     d_both = weights[:, None, :] * d_pooled + p["wa"] @ d_a
+    length, width = rows.shape
+    turned = np.stack([p["uf"], p["ub"]])
+    d_u, d_h = np.zeros_like(turned), np.zeros((2, h, width), np.float32)
+    d_x = np.empty((length, 2, 3 * h, width), np.float32)
+    d_hu = np.empty((2, 3 * h, width), np.float32)
+    split = d_both.reshape(length, 2, h, width)
+    for k in range(length)[::-1]:
+        ends = [k, length - 1 - k]
+        state, z, r, n, hun = trace[k]
+        there = mask[ends, None]
+        d_h += split[ends, [0, 1]]
+        new = d_h * there
+        d_n = new * (1 - z)
+        d_z = (state - n) * d_n
+        d_z *= z
+        d_n *= 1 - n * n
+        d_r = d_n * hun
+        d_r *= r * (1 - r)
+        d_hu[:, :h], d_hu[:, h : 2 * h] = d_z, d_r
+        np.multiply(d_n, r, out=d_hu[:, 2 * h :])
+        for d, t in enumerate(ends):
+            d_x[t, d, :h], d_x[t, d, h : 2 * h], d_x[t, d, 2 * h :] = d_z[d], d_r[d], d_n[d]
+        d_u += state @ d_hu.transpose(0, 2, 1)
+        d_h *= ~there
+        d_h += new * z
+        d_h += turned @ d_hu
+    g["uf"], g["ub"] = d_u
+    each = d_x.reshape(length, 6 * h, width).transpose(0, 2, 1)[mask]
+    flat = rows[mask]
+    order = np.argsort(flat, kind="stable")
     d_gates = np.zeros((len(x), 6 * h), np.float32)
-    for d, u, steps in parts:
-        d_u, d_h = np.zeros_like(p[u]), np.zeros((h, rows.shape[1]), np.float32)
-        d_x = np.zeros((*rows.shape, 3 * h), np.float32)
-        for t in steps[::-1]:
-            state, z, r, n, hun = traces[d][t]
-            d_h = d_h + d_both[t][h * d : h * (d + 1)]
-            new = d_h * mask[t]
-            d_n = new * (1 - z) * (1 - n * n)
-            d_z = new * (state - n) * z * (1 - z)
-            d_r = d_n * hun * r * (1 - r)
-            d_hu = np.concatenate([d_z, d_r, d_n * r])
-            d_x[t] = np.concatenate([d_z, d_r, d_n]).T
-            d_u += state @ d_hu.T
-            d_h = d_h * ~mask[t] + new * z + p[u] @ d_hu
-        g[u] = d_u
-        flat = rows[mask]
-        order = np.argsort(flat, kind="stable")
-        begin = np.flatnonzero(np.diff(flat[order], prepend=-1))
-        sums = np.add.reduceat(d_x[mask][order], begin)
-        d_gates[flat[order][begin], 3 * h * d : 3 * h * (d + 1)] = sums
+    begin = np.flatnonzero(np.diff(flat[order], prepend=-1))
+    d_gates[flat[order][begin]] = np.add.reduceat(each[order], begin)
     g["wx"], g["bx"] = x.T @ d_gates, d_gates.sum(axis=0)
     d_in = d_gates @ p["wx"].T
     g["words"] = np.zeros_like(p["words"])
     np.add.at(g["words"], words, d_in[:, :WORD_DIM])
-    each = np.repeat(d_in[:, WORD_DIM:] / counts[:, None], counts, axis=0)
-    order = np.argsort(slots, kind="stable")
-    begin = np.flatnonzero(np.diff(slots[order], prepend=-1))
-    g["chars"] = np.zeros_like(p["chars"])
-    g["chars"][slots[order][begin]] = np.add.reduceat(each[order], begin)
+    each = np.ascontiguousarray((d_in[:, WORD_DIM:] / counts[:, None].astype(np.float32)).T)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    sums = [np.bincount(slots, line[owner], len(p["chars"])) for line in each]
+    g["chars"] = np.stack(sums, axis=1).astype(np.float32)
     return g
 
 
@@ -300,11 +337,20 @@ def _fit_windows(net: Network, windows, targets, vocabulary, epochs: int, seed:
             own = np.repeat(begin[used] - (np.cumsum(n) - n), n) + np.arange(n.sum())
             g = gradients(net, local, targets[pick], ids[used], slots[own], n)
             step += 1
+            scale = np.float32(RATE * np.sqrt(1 - 0.99**step) / (1 - 0.9**step))
             for k, grad in g.items():
-                m[k] += 0.1 * (grad - m[k])
-                v[k] += 0.01 * (grad * grad - v[k])
-                scale = RATE * np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
-                net.p[k] -= (scale * m[k] / (np.sqrt(v[k]) + 1e-7)).astype(np.float32)
+                # 0.9 and 0.99 of what was, in place.
+                m[k] *= np.float32(0.9)
+                m[k] += np.float32(0.1) * grad
+                np.square(grad, out=grad)
+                grad *= np.float32(0.01)
+                v[k] *= np.float32(0.99)
+                v[k] += grad
+                np.sqrt(v[k], out=grad)
+                grad += np.float32(1e-7)
+                np.divide(m[k], grad, out=grad)
+                grad *= scale
+                net.p[k] -= grad
 
 
 def features(best: np.ndarray, count: np.ndarray) -> np.ndarray:
