@@ -29,6 +29,19 @@ def sliced(
                 yield part
 
 
+def joined(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches that end at ``size`` bytes or with the row batch that passes them."""
+    held, held_bytes = [], 0
+    for batch in batches:
+        held.append(batch)
+        held_bytes += batch.nbytes
+        if held_bytes >= size:
+            yield pa.concat_batches(held)
+            held, held_bytes = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _bytes(setting: str) -> int:
     """A size as Spark writes it: digits and a unit."""
     digits = setting.rstrip("bkmgtBKMGT")

@@ -18,8 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revtext.llm.batches import map_batches
-from revtext.llm.tokens import ENCODED_ROWS, encoder, tokenizer_path
+from revtext.llm.batches import joined, map_batches
+from revtext.llm.tokens import ENCODED_BYTES, ENCODED_ROWS, encoder, tokenizer_path
 
 WINDOW = 2048
 END_ID = 1
@@ -98,7 +98,7 @@ def pieces(docs: DataFrame, window: int = WINDOW, path: str | None = None) -> Da
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         end = np.array([END_ID], enc.dtype)
-        for batch in batches:
+        for batch in joined(batches, ENCODED_BYTES):
             keys, starts, lengths, totals, raw = [], [], [], [], []
             encoded = enc.encode(batch.column(1))
             for key, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):

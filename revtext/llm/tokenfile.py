@@ -24,39 +24,42 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from revtext.llm.batches import map_batches
-from revtext.llm.tokens import ENCODED_ROWS, encoder, tokenizer_path
+from revtext.llm.batches import joined, map_batches
+from revtext.llm.tokens import ENCODED_BYTES, ENCODED_ROWS, encoder, tokenizer_path
 from revtext.storage import stage
 
 END_ID = 2
 BLOCK_IDS = 1 << 18
 
 #: Bytes of each of the four values of a control byte.
-WIDTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
+WIDTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1).astype(np.uint8)
 
 
 def encode_values(values: np.ndarray) -> tuple[bytes, bytes]:
     """Control and data bytes of unsigned 32-bit ``values``."""
     values = values.astype("<u4")
-    octets = values.view(np.uint8).reshape(-1, 4)
-    widths = 1 + (values > 0xFF) + (values > 0xFFFF) + (values > 0xFFFFFF)
-    data = octets[np.arange(4) < widths[:, None]].tobytes()
     codes = np.zeros(-(-len(values) // 4) * 4, np.uint8)
-    codes[: len(values)] = widths - 1
-    quads = codes.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)
-    return quads.sum(axis=1, dtype=np.uint8).tobytes(), data
+    widest = int(values.max(initial=0))
+    bounds = [x for x in (0xFF, 0xFFFF, 0xFFFFFF) if widest > x]
+    kept = np.ones((len(values), 1 + len(bounds)), bool)
+    for k, bound in enumerate(bounds, start=1):
+        np.greater(values, bound, out=kept[:, k])
+        codes[: len(values)] += kept[:, k]
+    octets = values.view(np.uint8).reshape(-1, 4)[:, : 1 + len(bounds)]
+    control = codes[0::4] | codes[1::4] << 2 | codes[2::4] << 4 | codes[3::4] << 6
+    return control.tobytes(), octets[kept].tobytes()
 
 
 def decode_values(control: bytes, data: bytes, count: int) -> np.ndarray:
     """The ``count`` values behind control and data bytes."""
     widths = WIDTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:count]
-    ends = np.cumsum(widths)
+    ends = np.cumsum(widths, dtype=np.int64)
     begin = ends - widths
     if count and ends[-1] != len(data):
         raise ValueError("the data bytes do not fit the control bytes")
     octets = np.frombuffer(data + b"\0\0\0", np.uint8)
     values = octets[begin].astype(np.uint32)
-    for k in (1, 2, 3):
+    for k in range(1, int(widths.max(initial=1))):
         wide = np.flatnonzero(widths > k)
         values[wide] |= octets[begin[wide] + k].astype(np.uint32) << np.uint32(8 * k)
     return values
@@ -69,7 +72,7 @@ def encode_documents(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFr
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         end = np.array([end_id], enc.dtype).tobytes()
-        for batch in batches:
+        for batch in joined(batches, ENCODED_BYTES):
             ids = [x.tobytes() + end for x in enc.encode(batch.column(1))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"]

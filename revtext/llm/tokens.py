@@ -24,6 +24,8 @@ if TYPE_CHECKING:
 
 #: Rows of a batch of texts to encode: the more at once, the fewer distinct units.
 ENCODED_ROWS = 1_000
+#: Bytes of texts that are encoded together, where a task has that many.
+ENCODED_BYTES = 4 << 20
 #: Units of the cache; when it is full, those that were not met again since it was full last go.
 CACHE_ENTRIES = 500_000
 #: New units encoded in one text.

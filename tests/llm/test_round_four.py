@@ -1,9 +1,9 @@
-"""Single-precision training, sums of slots, the cache of units."""
+"""Single-precision training, sums of slots, the cache of units, batches of texts."""
 
 import numpy as np
 import pyarrow as pa
 
-from revtext.llm import tokens, toxicity
+from revtext.llm import batches, tokenfile, tokens, toxicity
 
 
 def test_training_stays_in_single_precision():
@@ -66,3 +66,23 @@ def test_units_met_again_stay_when_the_cache_is_full(monkeypatch):
         assert enc.encode(rows)[0].tolist() == plain_ids(enc, rows[0])
         assert len(enc.units) <= 6 and (k == 0 or pa.scalar(b"often", pa.binary()) in list(enc.units))
         assert len(enc.ids) == enc.sizes.sum() and len(enc.met) == len(enc.units)
+
+
+def test_batches_are_joined_up_to_a_size():
+    parts = [pa.RecordBatch.from_arrays([pa.array([i] * 10)], ["i"]) for i in range(7)]
+    got = list(batches.joined(iter(parts), 200))
+    assert [b.num_rows for b in got] == [30, 30, 10]
+    assert pa.Table.from_batches(got).equals(pa.Table.from_batches(parts).combine_chunks())
+    assert list(batches.joined([], 200)) == []
+
+
+def test_values_of_every_width_come_back():
+    rng = np.random.default_rng(9)
+    for top in (1, 0x100, 0x101, 0x10000, 0x10001, 0x1000000, 0x1000001, 1 << 32):
+        for count in (0, 1, 3, 4, 1001):
+            values = rng.integers(0, top, count, dtype=np.uint32)
+            values[:1] = top - 1
+            control, data = tokenfile.encode_values(values)
+            assert len(control) == -(-count // 4)
+            assert len(data) == sum(max(1, -(-int(v).bit_length() // 8)) for v in values)
+            assert tokenfile.decode_values(control, data, count).tolist() == values.tolist()
