@@ -16,6 +16,9 @@ from revtext.storage import stage
 _LAST_SUFFIX = r"(?:es|s|ed|ing)\z"
 _STACKED = r"(?:s|ed|ing)(?:e?s|ed|ing)\z"
 
+#: So many changed words are told from the others by a set, which is probed in less time than the constant table.
+MAX_LISTED = 1_000
+
 
 def regular_forms(lexicon: DataFrame) -> DataFrame:
     """``form, lemma``: every form one suffix rule leads back to a ``lemma`` of the table, with the best one.
@@ -58,17 +61,29 @@ def _stems(word: Column, longest: int) -> Column:
     return F.aggregate(rounds, F.array(short), step)
 
 
+def _stacked(word: Column) -> Column:
+    # The plain suffix tests spare most words the regex.
+    ending = word.endswith("s") | word.endswith("ed") | word.endswith("ing")
+    return ending & word.rlike(_STACKED)
+
+
 def word_lemmas(words: DataFrame, lexicon: DataFrame, exceptions: DataFrame | None = None) -> DataFrame:
-    """``word, lemma`` of the distinct ``word`` rows whose lemma is another word."""
+    """``word, lemma`` of the distinct ``word`` rows whose lemma is another word.
+
+    Only words that may be a form, or end in several suffixes, leave their task: the filter sinks below
+    the exchange that makes the words distinct.
+    """
     regular = stage(regular_forms(lexicon), "regular-forms")
     first = regular
     if exceptions is not None:
         listed = irregular_forms(exceptions, lexicon)
         first = regular.join(listed.select("form"), "form", "left_anti").unionByName(listed)
+        first = stage(first, "first-forms")
     longest = regular.agg(F.max(F.length("form"))).first()[0] or 0
-    words = words.where("word IS NOT NULL")
+    may_change = BloomFilter(first, "form").may_hold(F.col("word")) | _stacked(F.col("word"))
+    words = words.where(F.col("word").isNotNull() & may_change)
     direct = stage(words.join(first.withColumnRenamed("form", "word"), "word", "left"), "direct-lemmas")
-    stacked = direct.where(F.col("lemma").isNull() & F.col("word").rlike(_STACKED)).select("word")
+    stacked = direct.where(F.col("lemma").isNull() & _stacked(F.col("word"))).select("word")
     stems = stacked.select("word", F.posexplode(_stems(F.col("word"), longest)).alias("round", "form"))
     best = F.min(F.struct("round", "lemma"))
     later = stems.join(regular, "form").groupBy("word").agg(best["lemma"].alias("lemma"))
@@ -91,8 +106,14 @@ def lemmatize_table(
     changed = stage(word_lemmas(words, lexicon, exceptions), "changed-words")
     small = small_table(changed)
     if small is not None:
-        lookup = Lookup({row.word: row.lemma for row in small}, "string")
-        return df.withColumn(tokens, F.transform(tokens, lambda t: F.coalesce(lookup.get(t), t)))
+        entries = {row.word: row.lemma for row in small}
+        lookup = Lookup(entries, "string")
+
+        def reduced(t: Column) -> Column:
+            lemma = F.coalesce(lookup.get(t), t)
+            return F.when(t.isin(list(entries)), lemma).otherwise(t) if len(entries) <= MAX_LISTED else lemma
+
+        return df.withColumn(tokens, F.transform(tokens, reduced))
     columns = df.columns
     rows = stage(df.withColumn("_row", F.monotonically_increasing_id()), "numbered")
     met = rows.select("_row", F.posexplode(tokens).alias("pos", "word"))

@@ -207,6 +207,29 @@ def test_lemmas_by_table_are_those_of_the_constant(spark, monkeypatch, limit):
     assert got == want
 
 
+def test_only_words_that_may_change_leave_their_task(spark, monkeypatch):
+    stored, real = {}, lemmas.stage
+    monkeypatch.setattr(lemmas, "stage", lambda df, label, *a, **b: stored.setdefault(label, real(df, label, *a, **b)))
+    stay = spark.range(5000).select(F.array(F.concat(F.lit("w"), "id"), F.lit("walks"), F.lit("walkeds"), F.lit("went")).alias("tokens"))
+    tables = lemma_tables(spark, VERBS, IRREGULAR)
+    done = lemmas.lemmatize_table(stay, *tables)
+    assert done.where("tokens[1] = 'walk' and tokens[2] = 'walk' and tokens[3] = 'go' and tokens[0] like 'w%'").count() == 5000
+    assert done.select("tokens").distinct().count() == 5000
+    assert 3 <= stored["direct-lemmas"].count() < 500
+    words = stay.select(F.explode("tokens").alias("word")).distinct()
+    plan = lemmas.word_lemmas(words, *tables)
+    assert {(r.word, r.lemma) for r in plan.collect()} == {("walks", "walk"), ("walkeds", "walk"), ("went", "go")}
+
+
+def test_more_changed_words_than_the_set_holds(spark, monkeypatch):
+    df = spark.createDataFrame([(["walks", "stone", "", None, "went"],), ([],), (None,)], "tokens array<string>")
+    tables = lemma_tables(spark, VERBS, IRREGULAR)
+    want = [["walk", "stone", "", None, "go"], [], None]
+    for most in (lemmas.MAX_LISTED, 1):
+        monkeypatch.setattr(lemmas, "MAX_LISTED", most)
+        assert [r.tokens for r in lemmas.lemmatize_table(df, *tables).collect()] == want
+
+
 def test_a_lexicon_of_300_000_forms(spark):
     lexicon = spark.range(100_000).select(F.concat(F.lit("verb"), "id", F.lit("e")).alias("lemma"))
     assert lemmas.regular_forms(lexicon).count() >= 300_000
